@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import bpe, language_id, quality, token_store
+from basalt.llm import bpe, decontaminate, language_id, line_dedup, quality, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
     "op4_token_store": token_store.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_byte_bpe": bpe.query,
+    "op8_decontaminate": decontaminate.query,
+    "op9_warc": warc.query,
     "op10_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+    "op9_warc": warc.SQL,
+}
