@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import bpe, decontaminate, language_id, line_dedup, quality, token_store, warc
+from basalt.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
+    "op2_near_dedup": near_dedup.query,
     "op4_token_store": token_store.query,
     "op5_line_dedup": line_dedup.query,
     "op6_byte_bpe": bpe.query,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": near_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
