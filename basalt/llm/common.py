@@ -87,3 +87,31 @@ def quiet_threads() -> None:
     """One thread for each Python worker: Spark's cores are the parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+class Memory(dict):
+    """What a Python worker remembers of words: at most ``limit`` entries, of which those in use survive.
+
+    When it is full, the entries become the old generation, from which the
+    ones that are asked for again return.
+    """
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit, self.old = limit // 2, {}
+
+    def learn(self, keys: set, make) -> None:
+        """Make sure that all ``keys`` are here; ``make`` gives the values of a list of new ones."""
+        new = keys.difference(self)
+        if not new:
+            return
+        if len(self) + len(new) > self.limit:
+            self.old = dict(self)
+            self.clear()
+            new = keys
+        if self.old:
+            back = {k: self.old[k] for k in new if k in self.old}
+            self.update(back)
+            new = new.difference(back)
+        new = list(new)
+        self.update(zip(new, make(new), strict=True))
