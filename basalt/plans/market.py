@@ -99,7 +99,7 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Market:
     sym = sym.unionByName(extra.select("instrument_id", F.col("primary_market_scope").alias("market_scope"), *span(F.when(F.col("instrument_id") == "MKT", "SPY").otherwise(F.col("name")), F.lit(None), F.lit(None))))
     symbols = sym.withColumn("is_primary", F.lit(True))
 
-    dates = line.select("market_date").distinct()
+    dates = line.select("market_date").union(minutes.select("market_date")).distinct()
     calendar = dates.withColumn("calendar_id", F.explode(F.array(F.lit("XNYS"), F.lit("XSHG")))).select("calendar_id", "market_date", (F.dayofmonth("market_date") != 13).alias("is_open"), F.lit(False).alias("is_half_day"))
     exchanges = spark.createDataFrame([("XNYS", "us_stocks", "XNYS"), ("XSHG", "cn_stocks", "XSHG")], "exchange_mic string, market_scope string, calendar_id string")
     m = Market(bars.unionByName(index).unionByName(daily), instruments, symbols, actions, calendar, exchanges, minutes)
