@@ -52,7 +52,8 @@ def residuals(pairs: DataFrame, keys: list[str]) -> DataFrame:
     beta, pbeta = F.try_divide("c", "vb"), F.try_divide("pc", "pvb")
     sigma2 = lambda v, b, x, k: F.greatest(F.col(v) + k * k * F.col(b) - 2 * k * F.col(x), F.lit(0.0))
     before2 = sigma2("pvs", "pvb", "pc", pbeta)
-    z = F.when((F.col("n_all") == PAIRS + 1) & (F.col("pvb") > 0) & (before2 > 0), (F.col("s0") - pbeta * F.col("b0")) / F.sqrt(before2))
+    # a variance that is nothing but rounding is none
+    z = F.when((F.col("n_all") == PAIRS + 1) & (F.col("pvb") > 0) & (before2 > 1e-12 * F.col("pvs")), (F.col("s0") - pbeta * F.col("b0")) / F.sqrt(before2))
     grow = lambda c: F.exp(c) - 1
     figures = {
         "beta": beta, "corr": F.col("c") / F.sqrt(F.col("vb") * F.col("vs")),
