@@ -15,7 +15,7 @@ CODE = r"^(sh|sz)\.[0-9]{6}$"
 _is_code = lambda c: F.col(c).rlike(CODE)
 _date = lambda c: F.try_to_date(F.nullif(F.col(c), F.lit("")))
 _number = lambda c: F.expr(f"try_cast(nullif({c}, '') as double)")
-_label = F.coalesce(F.nullif("code", F.lit("")), F.lit("(blank)"))
+_label = lambda: F.coalesce(F.nullif("code", F.lit("")), F.lit("(blank)"))
 
 
 def exchanges(spark: SparkSession) -> DataFrame:
@@ -41,7 +41,7 @@ def identity(raw: DataFrame) -> Identity:
     again = b.join(reused, "code", "left_semi").groupBy("code").agg(F.max("snapshot_date").alias("day"), F.array_join(F.array_sort(F.collect_set("ipo_text")), ",").alias("listing_dates"))
     unresolved = unresolved_rows(again, "stock_basic", SCOPE, "code", "day", "code_reuse_suspected", F.to_json(F.struct("listing_dates")))
     sample = F.to_json(F.struct(F.col("ipo_text").alias("ipoDate"), F.col("out_text").alias("outDate"), F.col("type_code").alias("type")))
-    unresolved = unresolved.unionByName(unresolved_rows(b.filter(bad), "stock_basic", SCOPE, _label, "snapshot_date", "bad_row", sample))
+    unresolved = unresolved.unionByName(unresolved_rows(b.filter(bad), "stock_basic", SCOPE, _label(), "snapshot_date", "bad_row", sample))
     good = first_by(b.filter(~bad).join(reused, "code", "left_anti"), ["code"], F.desc_nulls_last("snapshot_date"), F.asc("code_name"))
     good = good.withColumns({"symbol": F.substring("code", 4, 6), "mic": F.when(F.col("code").startswith("sh."), "XSHG").otherwise("XSHE")})
     good = good.withColumn("instrument_id", deterministic_uuid("instrument", F.concat(F.lit("cn:"), "mic", F.lit(":"), "symbol")))
@@ -95,7 +95,7 @@ def corporate_actions(raw: DataFrame, identifiers: DataFrame) -> tuple[DataFrame
     wrong = broken("cash_text", "cash_amount") | broken("bonus_text", "bonus_ratio") | broken("conversion_text", "conversion_ratio")
     code = F.coalesce(_is_code("code"), F.lit(False))
     sample = F.to_json(F.struct(F.col("ex_text").alias("ex_date"), F.col("cash_text").alias("cash"), F.col("bonus_text").alias("bonus"), F.col("conversion_text").alias("conversion")))
-    bad = unresolved_rows(r.filter((F.col("ex_text") != "") & (~code | F.col("ex_date").isNull() | wrong)), "dividend", SCOPE, _label, F.coalesce("ex_date", "evidence_date"), "bad_row", sample)
+    bad = unresolved_rows(r.filter((F.col("ex_text") != "") & (~code | F.col("ex_date").isNull() | wrong)), "dividend", SCOPE, _label(), F.coalesce("ex_date", "evidence_date"), "bad_row", sample)
     done = first_by(r.filter(F.col("ex_date").isNotNull() & code & ~wrong), ["code", "ex_date"], F.desc("file"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     null = F.lit(None).cast("double")
@@ -123,7 +123,7 @@ def bars_daily(raw: DataFrame, identifiers: DataFrame) -> tuple[DataFrame, DataF
     traded = F.coalesce(F.col("status") == "1", F.lit(False))
     idle = F.coalesce(F.col("status") == "0", F.lit(False))
     sample = F.to_json(F.struct(F.col("date_text").alias("date"), F.col("status").alias("trade_status"), "open", "high", "low", "close", "volume"))
-    bad = unresolved_rows(r.filter(~idle & ~(traded & bar_is_valid())), "daily_k", SCOPE, _label, F.coalesce("market_date", "evidence_date"), "bad_row", sample)
+    bad = unresolved_rows(r.filter(~idle & ~(traded & bar_is_valid())), "daily_k", SCOPE, _label(), F.coalesce("market_date", "evidence_date"), "bad_row", sample)
     good = _resolve(r.filter(traded & bar_is_valid()), identifiers, "market_date", ["code", "market_date"])
     bars = good.filter("instrument_id is not null").select(F.lit(SOURCE).alias("source_id"), "instrument_id", "market_date", F.lit(SCOPE).alias("market_scope"), F.substring("code", 4, 6).alias("symbol_as_traded"), "open", "high", "low", "close", "volume", F.lit(None).cast("double").alias("vwap"), F.lit(None).cast("long").alias("trade_count"))
     return bars, bad.unionByName(unresolved_rows(good.filter("instrument_id is null"), "daily_k", SCOPE, "code", "market_date", "no_symbol_match", F.to_json(F.struct("close", "is_st"))))

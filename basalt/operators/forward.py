@@ -51,7 +51,7 @@ def forward_returns(market, t: dt.date, policy: str = "split_dividend", horizons
     """
     horizons, _ = checked_horizons(horizons), one_of(entry, ENTRIES, "entry")
     m = market if ids is None else market.only(ids)
-    targets = _targets(m, t, horizons).cache()
+    targets = _targets(market, t, horizons).cache()
     last = targets.agg(F.max("target")).first()[0]
     if anchor is not None and last is not None and anchor < last:
         raise ValueError(f"the adjustment anchor {anchor} is before the horizon {last}")
@@ -91,7 +91,7 @@ def forward_from_minute(market, scope: str, day: dt.date, minute: str, ids: list
     s = SESSIONS[scope]
     at = session_minute(minute)
     m = market if ids is None else market.only(ids)
-    days = future_days(m, day).filter((F.col("market_scope") == scope) & F.col("n").isin(1, 3))
+    days = future_days(market, day).filter((F.col("market_scope") == scope) & F.col("n").isin(1, 3))
     target = {r["n"]: r["target"] for r in days.collect()}  # two rows
     D, date = F.lit(day), F.col("market_date")
     mb = m.bars_minute.filter(date == D) if ids is None else m.bars_minute.filter((date == D) & F.col("instrument_id").isin(*ids))

@@ -7,7 +7,7 @@ TICKERS = "ticker string, name string, market string, locale string, primary_exc
 EXCHANGES = "id string, type string, asset_class string, locale string, name string, mic string, operating_mic string"
 SPLITS = "id string, ticker string, execution_date string, split_from double, split_to double"
 DIVIDENDS = "id string, ticker string, ex_dividend_date string, cash_amount double, currency string, declaration_date string, dividend_type string, frequency int, pay_date string, record_date string"
-GROUPED_DAILY = "T string, o double, h double, l double, c double, v double, vw double, t long, n long"
+GROUPED_DAILY = "T string, o double, h double, l double, c double, v double, vw double, n long"
 #: One object with a nested array, and a top-level array.
 TICKER_EVENTS = "results struct<composite_figi: string, events: array<struct<ticker_change: struct<ticker: string>, type: string, date: string>>>"
 HOLIDAYS = "exchange string, name string, date string, status string, open string, close string"
