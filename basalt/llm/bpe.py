@@ -20,22 +20,26 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm.common import small_batches
+from basalt.llm.common import Memory, small_batches
 
 INF = np.int32(2**31 - 1)
 #: Cells in one matrix; widths from which minima are kept by block; cells in such a block.
 CELLS, WIDE, BLOCK = 1 << 19, 1024, 64
 #: Units remembered by a Python worker.
-CACHE = 300_000
+CACHE = 600_000
+#: Texts whose new units are encoded together.
+GROUP = 250
 #: A vocabulary file is sent to the executors; larger ones are refused.
 MAX_FILE_BYTES = 64 << 20
 
 _BESIDE_SPACE = re.compile(r" \s|\s ")
+_RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -46,7 +50,11 @@ def split_units(text: str) -> list[str]:
     contains the character after it, so each later unit is encoded with one
     space before it.
     """
-    return _SAFE_SPACE.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
+    if text.isascii():  # a few searches for one string are faster than a pattern
+        odd = "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, _RARE_SPACE)) and _BESIDE_SPACE.search(text)
+    else:
+        odd = _BESIDE_SPACE.search(text)
+    return _SAFE_SPACE.split(text) if odd else text.split(" ")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -98,6 +106,7 @@ class ByteBpe:
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.latin = r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.vocab[rank] = token
@@ -105,8 +114,7 @@ class ByteBpe:
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pairs = PairTable(pairs)
-        self.units: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.units, self.firsts, self.known = Memory(CACHE), Memory(CACHE // 16), Memory(CACHE)
 
     # -- matrices ---------------------------------------------------------
 
@@ -188,31 +196,39 @@ class ByteBpe:
 
     # -- texts ------------------------------------------------------------
 
-    def _learn(self, units: dict[str, str], cache: dict[str, bytes]) -> None:
-        """Encode new units (key in the cache: text) together."""
-        found = {u: [m.encode() for m in self.find(text)] for u, text in units.items()}
-        ids = self.encode_matches([m for ms in found.values() for m in ms])
-        if len(cache) + len(found) > CACHE:
-            cache.clear()
-        cache.update((u, b"".join([ids[m] for m in ms])) for u, ms in found.items())
+    def _encode_units(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are encoded together."""
+        found = [self._matches(t) for t in texts]
+        self.known.learn(set(chain.from_iterable(found)), self._encode_strings)
+        known = self.known.data
+        return [known[ms[0]] if len(ms) == 1 else b"".join([known[m] for m in ms]) for ms in found]
+
+    def _encode_strings(self, matches: list[str]) -> list[bytes]:
+        raw = [m.encode() for m in matches]
+        ids = self.encode_matches(raw)
+        return [ids[m] for m in raw]
+
+    def _matches(self, text: str) -> list[str]:
+        """Matches of the pattern. A word of Latin letters is one, and so is a mark after it, whatever the pattern's other branches."""
+        word = text[1:]
+        if self.latin and text[:1] == " " and word and max(word) < "\u0250":
+            if word.isalpha():
+                return [text]
+            if word[-1] in ".," and word[:-1].isalpha():
+                return [text[:-1], text[-1]]
+        return self.find(text)
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for i in range(0, len(texts), 64):
-            parts = [split_units(t) if t else [""] for t in texts[i : i + 64]]
-            fresh = {u: f" {u}" for p in parts for u in p[1:] if u not in self.units}
-            heads = {p[0]: p[0] for p in parts if p[0] not in self.firsts}
-            if fresh:
-                if len(self.units) + len(fresh) > CACHE:
-                    fresh = {u: f" {u}" for p in parts for u in p[1:]}
-                self._learn(fresh, self.units)
-            if heads:
-                if len(self.firsts) + len(heads) > CACHE // 8:
-                    self.firsts.clear()
-                    heads = {p[0]: p[0] for p in parts}
-                self._learn(heads, self.firsts)
-            for p in parts:
-                yield np.frombuffer(b"".join([self.firsts[p[0]], *map(self.units.__getitem__, p[1:])]), "<i4")
+        for i in range(0, len(texts), GROUP):
+            parts = [split_units(t) if t else [""] for t in texts[i : i + GROUP]]
+            firsts = self.firsts.values([p[0] for p in parts], self._encode_units)
+            units = self.units.values(list(chain.from_iterable(p[1:] for p in parts)), lambda us: self._encode_units([f" {u}" for u in us]))
+            at = 0
+            for p, first in zip(parts, firsts, strict=True):
+                stop = at + len(p) - 1
+                yield np.frombuffer(first + b"".join(units[at:stop]), "<i4")
+                at = stop
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids."""
@@ -243,7 +259,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = encoder(data.value, pattern)
         for b in batches:
             ids = list(bpe.encode_batch(b.column(1).to_pylist()))
-            out = [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())]
+            at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            out = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]))), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

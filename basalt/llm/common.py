@@ -89,29 +89,35 @@ def quiet_threads() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
-class Memory(dict):
+class Memory:
     """What a Python worker remembers of words: at most ``limit`` entries, of which those in use survive.
 
     When it is full, the entries become the old generation, from which the
-    ones that are asked for again return.
+    ones that are asked for again return. ``data`` is a plain dict, which sets
+    know how to search.
     """
 
     def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit, self.old = limit // 2, {}
+        self.limit, self.old, self.data = limit // 2, {}, {}
 
     def learn(self, keys: set, make) -> None:
-        """Make sure that all ``keys`` are here; ``make`` gives the values of a list of new ones."""
-        new = keys.difference(self)
+        """Make sure that all ``keys`` are in ``data``; ``make`` gives the values of a list of new ones."""
+        data = self.data
+        new = keys.difference(data)
         if not new:
             return
-        if len(self) + len(new) > self.limit:
-            self.old = dict(self)
-            self.clear()
+        if len(data) + len(new) > self.limit:
+            self.old = dict(data)
+            data.clear()
             new = keys
         if self.old:
             back = {k: self.old[k] for k in new if k in self.old}
-            self.update(back)
+            data.update(back)
             new = new.difference(back)
         new = list(new)
-        self.update(zip(new, make(new), strict=True))
+        data.update(zip(new, make(new), strict=True))
+
+    def values(self, keys: list, make) -> list:
+        """The values of ``keys``, new ones made together."""
+        self.learn(set(keys), make)
+        return list(map(self.data.__getitem__, keys))

@@ -32,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import materialise, small_batches
+from basalt.llm.common import Memory, materialise, small_batches
 from basalt.llm.components import components
 
 WORDS, PERCENT, K, MISS = 5, 85, 64, 1e-8
 #: Sets, and shingles, of a block of a list.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-CACHE = 400_000
 
 
 def need(percent: int, k: int = K, miss: float = MISS) -> float:
@@ -63,7 +62,7 @@ class Shingler:
     """Hashed shingle sets of texts; hashes of words are remembered by a Python worker."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.cache = words, {}
+        self.n, self.cache = words, Memory(600_000)
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Ascending distinct 63-bit hashes. bytes.lower() and bytes.split() know ASCII only, as asked for."""
@@ -72,13 +71,8 @@ class Shingler:
         words = text.encode().lower().split() if text else []
         if not words:
             return np.zeros(0, np.int64)
-        new = set(words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set(words)
-        for w in new:
-            self.cache[w] = xxhash.xxh3_64_intdigest(w)
-        a = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
+        self.cache.learn(set(words), lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws])
+        a = np.fromiter(map(self.cache.data.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(a))
         h = np.full(len(a) - n + 1, n, np.uint64)
         for i in range(n):
@@ -209,7 +203,8 @@ def _links(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, sha
     """a, b: links between classes."""
     members = materialise(rows.join(lists, "value"), "members")
     mine = members.groupBy("rep").agg(F.collect_list("value").alias("lists"))
-    texts = docs.select("doc_id", "text").join(mine, F.col("doc_id") == F.col("rep")).select("rep", "lists", "text")
+    # Always a sort-merge join: the candidates grow with the documents, so they are never broadcast.
+    texts = docs.select("doc_id", "text").join(mine.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "lists", "text")
 
     def full(batches):
         shingler = Shingler()

@@ -44,7 +44,7 @@ class Reader:
 
         words = text.encode().lower().split() if text else []
         self.memory.learn(set(words), lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws])
-        return np.fromiter(map(self.memory.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.memory.data.__getitem__, words), np.uint64, len(words))
 
 
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
