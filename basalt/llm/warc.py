@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from basalt.llm.common import new_path, small_batches
 
 END = "\r\n\r\n"
-#: Most records of one file.
-RECORDS_PER_FILE = 10_000
+#: Payload bytes of one file, about.
+FILE_BYTES = 16 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROW = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -76,8 +76,8 @@ def _uuid(*cols):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write(resolved: DataFrame, path: str) -> None:
-    """Write the archives: one record for each row."""
+def write(resolved: DataFrame, path: str, payload_bytes: int | None = None) -> None:
+    """Write the archives: one record for each row. ``payload_bytes``: how much the rows hold, for the number of files."""
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     body = F.when(revisit, http).otherwise(F.concat(http, "html"))
@@ -95,7 +95,9 @@ def write(resolved: DataFrame, path: str) -> None:
         F.lit(END), F.col("body"),
     )
     rows = resolved.withColumn("body", body).select(head.alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    if payload_bytes is not None:  # files of even size, however many partitions the rows come in
+        rows = rows.coalesce(max(1, -(-payload_bytes // FILE_BYTES)))
+    rows.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(stream):
@@ -162,7 +164,8 @@ def restore(archive: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: all pages are archived in the shared folder, then the archives are read."""
     path = new_path(spark, "warc")
-    write(resolve(records(spark.read.parquet(f"{sf_dir}/pages.parquet"))), path)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write(resolve(records(pages)), path, pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
     return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
