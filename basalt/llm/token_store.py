@@ -1,10 +1,11 @@
 """Content-addressed store of token ids.
 
-Layout under one root: ``kind=chunk`` holds each distinct chunk of ids once,
-named by its SHA-256; ``kind=recipe`` holds a row for each document, in
-ascending doc_id order, with the names of its chunks and the Merkle root over
-them; ``kind=manifest`` holds a row for each recipe segment with its totals
-and the Merkle root over its documents. Chunks are cut where a rolling hash of
+Layout under one root: ``staged`` holds each distinct chunk of ids once, named
+by its SHA-256, and the recipes as they came; ``index`` holds a recipe for each
+document, in ascending doc_id order, with the names of its chunks and the
+Merkle root over them, and a manifest for each segment of recipes with its
+totals and the Merkle root over its documents. A column tells the kinds apart;
+as files are columnar, readers of one kind skip the other's columns. Chunks are cut where a rolling hash of
 the last ids has its low bits zero, so equal passages give equal chunks
 wherever they stand.
 
@@ -23,18 +24,19 @@ from __future__ import annotations
 import hashlib
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.bpe import read_vocab, split_units
-from basalt.llm.common import new_path, quiet_threads, small_batches
+from basalt.llm.bpe import GROUP, read_vocab, split_units
+from basalt.llm.common import Memory, new_path, quiet_threads, small_batches
 
 #: Ids in a chunk: least, usual and most; ids that the rolling hash sees.
 CHUNK_MIN, CHUNK_BITS, CHUNK_MAX, WINDOW = 256, 10, 4096, 8
-#: Units remembered by a Python worker.
+#: Chunk names that a task remembers to have sent.
 CACHE = 300_000
 ROW = "kind string, name binary, payload binary, doc_id long, n_tokens long, chunks binary"
 _TABLE = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 62, 1 << 16, dtype=np.uint64)
@@ -50,25 +52,44 @@ class Encoder:
         self.tok = Tokenizer.from_str(data.decode())
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.units: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.leads = np.zeros(max(vocab.values(), default=-1) + 2, bool)  # ids whose bytes begin with a space
+        self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.units, self.firsts = Memory(1_000_000), Memory(30_000)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.wide).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each after a space. Units without a space are encoded many at a time: no id
+        crosses the space before a unit, so the ids are parted again where one begins with a space."""
+        out = dict.fromkeys(units)
+        plain = [u for u in units if u and " " not in u]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for us, e in zip(groups, self.tok.encode_batch_fast(["".join([f" {u}" for u in us]) for us in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            at = np.flatnonzero(self.leads[ids])
+            if len(at) != len(us) or (len(at) and at[0]):
+                continue  # encoded alone below
+            raw, w = ids.astype(self.wide).tobytes(), np.dtype(self.wide).itemsize
+            cut = [*(at * w).tolist(), len(raw)]
+            out.update((u, raw[a:b]) for u, a, b in zip(us, cut, cut[1:], strict=False))
+        rest = [u for u, ids in out.items() if ids is None]
+        out.update(zip(rest, self._ids([f" {u}" for u in rest]), strict=True))
+        return list(out.values())
 
     def encode(self, texts: list[str | None], end: int):
         """Ids of each text and the end id, in the store's id type."""
         tail = np.array([end], self.wide).tobytes()
-        for i in range(0, len(texts), 64):
-            parts = [split_units(t) if t else [""] for t in texts[i : i + 64]]
-            for cache, keys, lead in ((self.units, [u for p in parts for u in p[1:]], " "), (self.firsts, [p[0] for p in parts], "")):
-                fresh = list(dict.fromkeys(u for u in keys if u not in cache))
-                if len(cache) + len(fresh) > CACHE:
-                    cache.clear()
-                    fresh = list(dict.fromkeys(keys))
-                cache.update(zip(fresh, self._ids([lead + u for u in fresh]), strict=True))
-            for p in parts:
-                yield np.frombuffer(b"".join([self.firsts[p[0]], *map(self.units.__getitem__, p[1:]), tail]), self.wide)
+        for i in range(0, len(texts), GROUP):
+            parts = [split_units(t) if t else [""] for t in texts[i : i + GROUP]]
+            firsts = self.firsts.values([p[0] for p in parts], self._ids)
+            units = self.units.values(list(chain.from_iterable(p[1:] for p in parts)), self._unit_ids)
+            at = 0
+            for p, first in zip(parts, firsts, strict=True):
+                stop = at + len(p) - 1
+                yield np.frombuffer(first + b"".join(units[at:stop]) + tail, self.wide)
+                at = stop
 
 
 @lru_cache(2)
@@ -137,8 +158,8 @@ def write(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 0) -> N
 
     # What a name's copies need is the same reducer; recipes travel along and stay spread out.
     rows = docs.select("doc_id", "text").mapInArrow(split, ROW).repartition("name").mapInArrow(once, ROW)
-    rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{root}/staged")
-    staged = spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(f"{root}/staged")
+    rows.write.option("compression", "zstd").parquet(f"{root}/staged")
+    staged = spark.read.schema(ROW).parquet(f"{root}/staged")
     recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks")
     ordered = recipes.repartitionByRange("doc_id", "n_tokens", "chunks").sortWithinPartitions("doc_id", "n_tokens", "chunks")
     out = "kind string, segment int, doc_id long, at long, n_tokens long, chunks binary, root binary"
@@ -159,16 +180,16 @@ def write(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 0) -> N
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([segment], pa.int32()), pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.binary()), pa.array([roots.digest()], pa.binary())], ["kind", "segment", "doc_id", "at", "n_tokens", "chunks", "root"])
 
-    ordered.mapInArrow(segments, out).write.partitionBy("kind").parquet(f"{root}/index")
+    ordered.mapInArrow(segments, out).write.parquet(f"{root}/index")
 
 
 def _index(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    return spark.read.schema("segment int, doc_id long, at long, n_tokens long, chunks binary, root binary, kind string").parquet(f"{root}/index").filter(F.col("kind") == kind)
+    return spark.read.schema("kind string, segment int, doc_id long, at long, n_tokens long, chunks binary, root binary").parquet(f"{root}/index").filter(F.col("kind") == kind)
 
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:
     """name, payload of the stored chunks."""
-    return spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(f"{root}/staged").filter("kind = 'chunk'").select("name", "payload")
+    return spark.read.schema(ROW).parquet(f"{root}/staged").filter("kind = 'chunk'").select("name", "payload")
 
 
 def recipes(spark: SparkSession, root: str) -> DataFrame:
@@ -198,6 +219,7 @@ def read_ids(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
     return docs.mapInArrow(join, "doc_id long, start long, ids array<long>")
 
 
+@lru_cache(1)
 def _crc_steps() -> np.ndarray:
     """Matrices over GF(2) that append 2**k zero bytes to a CRC-32, for k = 0..39."""
 
@@ -217,18 +239,18 @@ def _crc_steps() -> np.ndarray:
     return np.array(steps)
 
 
-def crc32_join(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) -> np.ndarray:
-    """CRC-32 of two joined byte strings from their CRCs and the second's length."""
-    out = first.astype(np.uint32)
+def crc32_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What CRC-32s contribute when so many bytes follow. The CRC-32 of joined strings is the
+    exclusive or of their CRC-32s, each shifted by the bytes after it."""
+    out = crc.astype(np.uint32)
     for k, m in enumerate(_crc_steps()):
-        on = (second_bytes >> k) & 1 == 1
-        if not on.any():
-            continue
-        v, new = out[on], np.zeros(int(on.sum()), np.uint32)
-        for bit in range(32):
-            new ^= np.where((v >> np.uint32(bit)) & np.uint32(1), m[bit], np.uint32(0))
-        out[on] = new
-    return out ^ second.astype(np.uint32)
+        on = np.flatnonzero((n_bytes >> k) & 1)
+        if len(on):
+            v, new = out[on], np.zeros(len(on), np.uint32)
+            for bit in range(32):
+                new ^= np.where((v >> np.uint32(bit)) & np.uint32(1), m[bit], np.uint32(0))
+            out[on] = new
+    return out
 
 
 def verify(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
@@ -257,13 +279,14 @@ def verify(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
                 if hashlib.sha256(names).digest() != doc_root:
                     raise ValueError("a recipe is damaged")
             parts = [sorted((p["i"], p["n"], p["crc"]) for p in ps) for ps in t["parts"]]
-            total, crc = np.array([sum(p[1] for p in ps) for ps in parts], np.int64), np.zeros(len(parts), np.uint32)
+            total = np.array([sum(p[1] for p in ps) for ps in parts], np.int64)
             if (total != np.array(t["n_tokens"], np.int64)).any():
                 raise ValueError("a document has lost ids")
-            for i in range(max(map(len, parts), default=0)):
-                rows = np.array([k for k, ps in enumerate(parts) if i < len(ps)])
-                new, size = (np.array([parts[k][i][j] for k in rows], np.int64) for j in (2, 1))
-                crc[rows] = new if i == 0 else crc32_join(crc[rows], new, size * 4)
+            flat = np.array([p for ps in parts for p in ps], np.int64).reshape(-1, 3)
+            of = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+            end, upto = np.cumsum(total), np.cumsum(flat[:, 1])
+            crc = np.zeros(len(parts), np.uint32)
+            np.bitwise_xor.at(crc, of, crc32_shift(flat[:, 2], (end[of] - upto) * 4))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     small_batches(spark)
