@@ -9,6 +9,9 @@ sorted by their words; each is compared with its neighbours of other documents
 before and after it, and the match is extended to the right and to the left.
 A match of at least :data:`PASSAGE` words is a repeat in both documents.
 
+Suffixes that agree to the right are sorted by their words to the left, so that
+a neighbour is also the longest match to the left among them.
+
 The sort is by range over words, document and position, so suffixes that begin
 alike are split over many tasks; the first and last suffix of each range, two
 rows for each task, are compared on the driver. Only first words' hashes are
@@ -139,7 +142,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "pos", "right", "left"])
 
     rows = texts.mapInArrow(suffixes, "doc_id long, pos long, right binary, left binary")
-    ordered = rows.repartitionByRange("right", "doc_id", "pos").sortWithinPartitions("right", "doc_id", "pos")
+    ordered = rows.repartitionByRange("right", "left", "doc_id", "pos").sortWithinPartitions("right", "left", "doc_id", "pos")
     schema = "doc_id long, begin long, stop long, other long, part int, place int, right binary, left binary"
 
     def neighbours(batches):
