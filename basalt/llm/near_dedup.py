@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     roots = components(_links(docs, rows, lists, percent, share, k))
     of_class = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("of_class"))
     out = base.drop("sketch").join(of_class, ["s1", "s2"], "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("of_class", "root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
