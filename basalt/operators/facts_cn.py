@@ -138,3 +138,32 @@ def vendor_factors(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = F.lag("cumulative_factor").over(Window.partitionBy("vendor_code").orderBy("event_date"))
     events = good.withColumn("before", before).select("vendor_code", "event_date", "cumulative_factor", (F.col("before") / F.col("cumulative_factor")).alias("factor"), F.when(F.col("before").isNull(), "vendor_baseline").otherwise("comparable").alias("status"))
     return events, r.filter("reason is not null").select("vendor_code", "event_date_text", "cumulative_factor_text", "reason")
+
+
+def raw_windows(fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Complete download windows of daily rows, and those that are not, with the reason.
+
+    ``fetches``: source_id, dataset and request_params (JSON with code, start_date, end_date, frame_count), a row for each frame.
+    """
+    p = F.from_json("request_params", "code string, start_date string, end_date string, frame_count string")
+    f = fetches.filter("source_id = 'baostock' and dataset = 'daily_k'").select(p.alias("p")).select("p.*")
+    w = f.groupBy(F.col("code").alias("vendor_code"), "start_date", "end_date").agg(F.count(F.lit(1)).alias("actual"), F.max(F.expr("try_cast(frame_count as int)")).alias("expected"))
+    w = w.withColumns({"window_start": F.try_to_date("start_date"), "window_end": F.try_to_date("end_date")})
+    shape = F.coalesce(_is_code("vendor_code"), F.lit(False)) & F.col("window_start").isNotNull() & F.col("window_end").isNotNull() & (F.col("window_start") <= F.col("window_end"))
+    counted = F.coalesce(F.col("expected") > 0, F.lit(False))
+    why = F.when(~counted, "missing_frame_count").when(F.col("actual") != F.col("expected"), "incomplete_raw_window").when(~F.coalesce(shape, F.lit(False)), "invalid_raw_window")
+    w = w.withColumn("reason", why)
+    text = F.concat(F.coalesce("start_date", F.lit("")), F.lit(".."), F.coalesce("end_date", F.lit("")))
+    bad = w.filter("reason is not null").select(F.coalesce("vendor_code", F.lit("(blank)")).alias("vendor_code"), text.alias("market_date_text"), "reason")
+    return w.filter("reason is null").select("vendor_code", "window_start", "window_end"), bad
+
+
+def daily_coverage(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vendor_code, market_date, is_traded, is_suspended of the latest file's rows, and invalid rows."""
+    r = raw.select(F.col("c2").alias("vendor_code"), F.col("c1").alias("market_date_text"), _date("c1").alias("market_date"), F.col("c12").alias("status"), _number("c8").alias("volume"), "file")
+    traded = F.coalesce(F.col("status") == "1", F.lit(False))
+    why = F.when(~F.coalesce(_is_code("vendor_code"), F.lit(False)), "invalid_vendor_code").when(F.col("market_date").isNull(), "invalid_market_date").when(~F.coalesce(F.col("status").isin("0", "1"), F.lit(False)), "invalid_trade_status").when(traded & (F.coalesce("volume", F.lit(0.0)) <= 0), "traded_without_volume")
+    r = r.withColumn("reason", why)
+    good = first_by(r.filter("reason is null"), ["vendor_code", "market_date"], F.desc("file"))
+    bad = r.filter("reason is not null").select(F.coalesce(F.nullif("vendor_code", F.lit("")), F.lit("(blank)")).alias("vendor_code"), "market_date_text", "reason")
+    return good.select("vendor_code", "market_date", (F.col("status") == "1").alias("is_traded"), (F.col("status") == "0").alias("is_suspended")), bad

@@ -159,3 +159,63 @@ def test_text_and_dates():
     assert text.session_minute("09:31") == 571
     with pytest.raises(ValueError):
         text.session_minute("9:31")
+
+
+def test_cn_windows_and_coverage(spark):
+    p = lambda code, a, b, n: ("baostock", "daily_k", json.dumps({"code": code, "start_date": a, "end_date": b, "frame_count": n}))
+    rows = [p("sh.600000", "2024-01-01", "2024-01-31", 2)] * 2 + [p("sh.600000", "2024-02-01", "2024-02-28", 2), p("sh.600000", "2024-03-01", "2024-02-01", 1), p(None, "x", "y", None)]
+    good, bad = facts_cn.raw_windows(spark.createDataFrame(rows, "source_id string, dataset string, request_params string"))
+    assert [(r.window_start, r.window_end) for r in good.collect()] == [(D(2024, 1, 1), D(2024, 1, 31))]
+    assert {r.reason for r in bad.collect()} == {"incomplete_raw_window", "invalid_raw_window", "missing_frame_count"}
+    k = lambda code, d, v, s: [d, code, *[""] * 5, v, *[""] * 3, s, "f"]
+    names = ", ".join(f"c{i} string" for i in range(1, 13)) + ", file string"
+    raw = spark.createDataFrame([k("sh.600000", "2024-01-02", "5", "1"), k("sh.600000", "2024-01-03", "0", "0"), k("sh.600000", "2024-01-04", "0", "1"), k("zz", "2024-01-04", "0", "1"), k("sh.600000", "x", "1", "1"), k("sh.600000", "2024-01-05", "1", "9")], names)
+    cov, inv = facts_cn.daily_coverage(raw)
+    assert {(r.market_date.day, r.is_traded, r.is_suspended) for r in cov.collect()} == {(2, True, False), (3, False, True)}
+    assert {r.reason for r in inv.collect()} == {"traded_without_volume", "invalid_vendor_code", "invalid_market_date", "invalid_trade_status"}
+    from basalt.operators import verify
+
+    ids = spark.createDataFrame([("baostock_code", "sh.600000", "I")], "identifier_type string, identifier_value string, instrument_id string")
+    gaps = verify.cn_gaps(ids, good, D(2024, 1, 30), D(2024, 2, 2)).first()
+    assert (gaps.missing_dates, gaps.first_missing, gaps.last_missing) == (2, D(2024, 2, 1), D(2024, 2, 2))
+    sym = spark.createDataFrame([("I", "cn_stocks", None, None)], "instrument_id string, market_scope string, valid_from date, valid_to date")
+    cal = spark.createDataFrame([("cn_equities", D(2024, 1, d), True) for d in (2, 3, 8)], "calendar_id string, market_date date, is_open boolean")
+    lost = verify.cn_missing_rows(ids, sym, cal, cov, D(2024, 1, 1), D(2024, 1, 31)).first()
+    assert (lost.missing_dates, lost.first_missing) == (1, D(2024, 1, 8))
+
+
+def test_factor_comparison(spark):
+    from basalt.operators import verify
+
+    local = spark.createDataFrame([("I", D(2024, 6, 2), "cash_dividend", 0.5), ("I", D(2024, 7, 2), "stock_dividend", 0.9)], "instrument_id string, event_date date, action_type string, price_factor double")
+    vendor = spark.createDataFrame([("sh.600000", D(2024, 1, 2), 2.0, None, "vendor_baseline"), ("sh.600000", D(2024, 6, 2), 4.0, 0.51, "comparable"), ("sz.000001", D(2024, 6, 2), 4.0, 0.5, "comparable")], "vendor_code string, event_date date, cumulative_factor double, factor double, status string")
+    ids = spark.createDataFrame([("baostock_code", "sh.600000", "I", D(1999, 1, 1), None)], "identifier_type string, identifier_value string, instrument_id string, valid_from date, valid_to date")
+    rows = verify.factor_comparison(local, vendor, ids)
+    assert {(r.comparison_class, r.action_segment) for r in rows.collect()} == {("vendor_baseline", "no_local_factor"), ("comparable", "cash_only"), ("vendor_code_unresolved", "no_local_factor"), ("no_vendor_event", "stock_only")}
+    s = verify.factor_segments(rows).first()
+    assert s.events == 1 and s.max_absolute_residual == pytest.approx(0.01)
+
+
+def test_build_writes_a_generation_even_from_nothing(spark, tmp_path):
+    from basalt.plans import build
+
+    root = tmp_path / "raw"
+    put(root / "polygon/exchanges/snapshot_date=2025-01-01/exchanges.json.gz", {"results": [{"mic": "XNYS", "name": "NYSE", "type": "exchange", "asset_class": "stocks", "locale": "us"}]})
+    g = str(tmp_path / "facts")
+    build.build(spark, str(root), g)
+    assert {r.exchange_mic for r in raw_zone.read_generation(spark, g, "exchanges").collect()} == {"XNYS", "XSHG", "XSHE"}
+    assert raw_zone.read_generation(spark, g, "bars_daily").count() == 0
+
+
+def test_streaming_minute_bars(spark, tmp_path):
+    from basalt.streaming.bars import minute_bars
+
+    ts = lambda m, s: dt.datetime(2025, 1, 2, 9, m, s)
+    trades = spark.createDataFrame([("A", ts(30, 1), 5.0, 1.0, 1), ("A", ts(30, 50), 7.0, 2.0, 2), ("A", ts(31, 5), 6.0, 1.0, 3)], "symbol string, ts timestamp, price double, size double, trade_id long")
+    trades.write.parquet(f"{tmp_path}/in")
+    stream = minute_bars(spark.readStream.schema(trades.schema).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("bars_out").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.window_start_utc.minute, r.open, r.high, r.close, r.volume, r.transactions) for r in spark.sql("select * from bars_out").collect()}
+    assert got == {(30, 5.0, 7.0, 7.0, 3.0, 2), (31, 6.0, 6.0, 6.0, 1.0, 1)}
