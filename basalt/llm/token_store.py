@@ -24,15 +24,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.bpe import GROUP, read_vocab, split_units
-from basalt.llm.common import Memory, new_path, quiet_threads, small_batches
+from basalt.llm.bpe import read_vocab
+from basalt.llm.common import new_path, quiet_threads, small_batches
+from basalt.llm.units import UnitTable
 
 #: Ids in a chunk: least, usual and most; ids that the rolling hash sees.
 CHUNK_MIN, CHUNK_BITS, CHUNK_MAX, WINDOW = 256, 10, 4096, 8
@@ -43,7 +43,7 @@ _TABLE = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 62, 1 << 16, d
 
 
 class Encoder:
-    """A tokenizer file of the tokenizers library with a memory for units."""
+    """A tokenizer file of the tokenizers library, with a table of the units it has met."""
 
     def __init__(self, data: bytes):
         quiet_threads()
@@ -55,41 +55,36 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.leads = np.zeros(max(vocab.values(), default=-1) + 2, bool)  # ids whose bytes begin with a space
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.units, self.firsts = Memory(1_000_000), Memory(30_000)
+        self.table = UnitTable(self.encode, self.wide)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """Ids of units, each after a space. Units without a space are encoded many at a time: no id
-        crosses the space before a unit, so the ids are parted again where one begins with a space."""
-        out = dict.fromkeys(units)
-        plain = [u for u in units if u and " " not in u]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each string. Strings with one space, at their beginning, are encoded many at a time: no id
+        crosses that space, so the ids are parted again where one begins with a space."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace() and " " not in t[1:]]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for us, e in zip(groups, self.tok.encode_batch_fast(["".join([f" {u}" for u in us]) for us in groups], add_special_tokens=False), strict=True):
+        for g, e in zip(groups, self.tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
             at = np.flatnonzero(self.leads[ids])
-            if len(at) != len(us) or (len(at) and at[0]):
+            if len(at) != len(g) or at[0]:
                 continue  # encoded alone below
             raw, w = ids.astype(self.wide).tobytes(), np.dtype(self.wide).itemsize
-            cut = [*(at * w).tolist(), len(raw)]
-            out.update((u, raw[a:b]) for u, a, b in zip(us, cut, cut[1:], strict=False))
-        rest = [u for u, ids in out.items() if ids is None]
-        out.update(zip(rest, self._ids([f" {u}" for u in rest]), strict=True))
-        return list(out.values())
+            stops = [*(at * w).tolist(), len(raw)]
+            for i, a, b in zip(g, stops, stops[1:], strict=False):
+                out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.wide).tobytes()
+        return out
 
-    def encode(self, texts: list[str | None], end: int):
+    def documents(self, col: pa.Array, end: int):
         """Ids of each text and the end id, in the store's id type."""
-        tail = np.array([end], self.wide).tobytes()
-        for i in range(0, len(texts), GROUP):
-            parts = [split_units(t) if t else [""] for t in texts[i : i + GROUP]]
-            firsts = self.firsts.values([p[0] for p in parts], self._ids)
-            units = self.units.values(list(chain.from_iterable(p[1:] for p in parts)), self._unit_ids)
-            at = 0
-            for p, first in zip(parts, firsts, strict=True):
-                stop = at + len(p) - 1
-                yield np.frombuffer(first + b"".join(units[at:stop]) + tail, self.wide)
-                at = stop
+        tail = np.array([end], self.wide)
+        for i in range(0, len(col), 250):
+            ids, n = self.table.ids(col.slice(i, 250))
+            stop = np.cumsum(n)
+            for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True):
+                yield np.concatenate([ids[a:b], tail])
 
 
 @lru_cache(2)
@@ -128,7 +123,7 @@ def write(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 0) -> N
         enc, sent = tokenizer(data.value), set()
         for b in batches:
             rows = {c: [] for c in ("kind", "name", "payload", "doc_id", "n_tokens", "chunks")}
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist(), end_id), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.documents(b.column(1), end_id), strict=True):
                 names, start = [], 0
                 for stop in cuts(ids):
                     payload = ids[start:stop].tobytes()
