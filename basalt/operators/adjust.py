@@ -46,24 +46,30 @@ def _source_names() -> Column:
     return F.array_join(F.array_sort(F.collect_list(F.concat("source_id", F.lit(":"), "source_action_id"))), ",").alias("evidence")
 
 
-def factor_events(actions: DataFrame, instruments: DataFrame, canonical: DataFrame) -> DataFrame:
-    """instrument_id, event_date, action_type, price_factor, volume_factor, evidence of every usable action."""
+def ratio_factors(actions: DataFrame) -> DataFrame:
+    """Factors of splits and stock dividends, which need no bars.
+
+    Splits stated twice for a day count once, the least id; equal stock statements count once, others add up.
+    """
     key = ["instrument_id", "ex_date"]
     splits = actions.filter("action_type = 'split' and split_from > 0 and split_to > 0")
     splits = splits.groupBy(*key).agg(F.min_by(F.struct("split_from", "split_to"), "source_action_id").alias("s"), _source_names())
     splits = splits.select("instrument_id", F.col("ex_date").alias("event_date"), F.lit("split").alias("action_type"), (F.col("s.split_from") / F.col("s.split_to")).alias("price_factor"), (F.col("s.split_to") / F.col("s.split_from")).alias("volume_factor"), "evidence")
-
-    cash = asof_join(dividend_cash(actions, instruments), canonical, ["instrument_id"], "ex_date", "market_date", {"close": "prev_close"}, inner=True)
-    cash = cash.filter("cash_amount > 0 and prev_close > cash_amount")
-    cash = cash.select("instrument_id", F.col("ex_date").alias("event_date"), F.lit("cash_dividend").alias("action_type"), (1 - F.col("cash_amount") / F.col("prev_close")).alias("price_factor"), F.lit(1.0).alias("volume_factor"), "evidence")
-
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     stock = actions.filter("action_type = 'stock_dividend'").withColumns({"bonus": zero("bonus_ratio"), "conversion": zero("conversion_ratio")}).filter("bonus + conversion > 0")
-    stock = stock.groupBy(*key, "bonus", "conversion").agg(F.min(F.struct("source_id", "source_action_id")).alias("s"))  # equal statements count once
+    stock = stock.groupBy(*key, "bonus", "conversion").agg(F.min(F.struct("source_id", "source_action_id")).alias("s"))
     stock = stock.select(*key, "bonus", "conversion", "s.*").groupBy(*key).agg(F.sum("bonus").alias("bonus"), F.sum("conversion").alias("conversion"), _source_names())
     more = 1.0 + F.col("bonus") + F.col("conversion")
     stock = stock.select("instrument_id", F.col("ex_date").alias("event_date"), F.lit("stock_dividend").alias("action_type"), (1.0 / more).alias("price_factor"), more.alias("volume_factor"), "evidence")
-    return splits.unionByName(cash).unionByName(stock)
+    return splits.unionByName(stock)
+
+
+def factor_events(actions: DataFrame, instruments: DataFrame, canonical: DataFrame) -> DataFrame:
+    """instrument_id, event_date, action_type, price_factor, volume_factor, evidence of every usable action."""
+    cash = asof_join(dividend_cash(actions, instruments), canonical, ["instrument_id"], "ex_date", "market_date", {"close": "prev_close"}, inner=True)
+    cash = cash.filter("cash_amount > 0 and prev_close > cash_amount")
+    cash = cash.select("instrument_id", F.col("ex_date").alias("event_date"), F.lit("cash_dividend").alias("action_type"), (1 - F.col("cash_amount") / F.col("prev_close")).alias("price_factor"), F.lit(1.0).alias("volume_factor"), "evidence")
+    return ratio_factors(actions).unionByName(cash)
 
 
 def unadjustable_dividends(actions: DataFrame, instruments: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -75,40 +81,64 @@ def unadjustable_dividends(actions: DataFrame, instruments: DataFrame, canonical
     return bad.select("instrument_id", "ex_date", "prev_close", reason.alias("reason"), "cash_amount", "expected_currency", "currency_mismatch_rows")
 
 
-def with_factors(bars: DataFrame, events: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
-    """``bars`` (instrument_id, market_date, ...) with cum_price_factor and cum_volume_factor.
+def _carry(rows: DataFrame) -> DataFrame:
+    """Bars (``_bar``) with the product of the factors (``_pf``, ``_vf``) of later events.
 
-    A bar's factor is the product over later events, of which those count that
-    have a bar on or after them. Bars and events run in one stream for each
-    instrument from the latest date to the earliest, a bar before the events
-    of its own date, and the product is carried along. One shuffle, linear; no
-    range join, and nothing is broadcast.
+    An event counts that has a bar on or after it. Bars and events run in one
+    stream for each instrument from the latest date to the earliest, a bar
+    before the events of its own date, and the product is carried along. One
+    shuffle, linear; no range join, and nothing is broadcast.
     """
-    one_of(policy, tuple(POLICIES), "policy")
-    if as_of is not None:
-        bars = bars.filter(F.col("market_date") <= F.lit(as_of))
-    if not POLICIES[policy]:
-        return bars.withColumns({"cum_price_factor": F.lit(1.0), "cum_volume_factor": F.lit(1.0)})
-    used = events.filter(F.col("action_type").isin(*POLICIES[policy])).groupBy("instrument_id", F.col("event_date").alias("_day")).agg(F.product("price_factor").alias("_pf"), F.product("volume_factor").alias("_vf"))
-    rows = bars.select("instrument_id", F.col("market_date").alias("_day"), F.struct(*bars.columns).alias("_bar")).unionByName(used, allowMissingColumns=True)
-    w = Window.partitionBy("instrument_id").orderBy(F.desc("_day"), F.col("_bar").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("instrument_id").orderBy(F.desc("_day"), F.col("_bar").isNull(), "_pf").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_seen", F.count("_bar").over(w))
     live = F.col("_bar").isNull() & (F.col("_seen") > 0)
     factor = lambda c: F.coalesce(F.product(F.when(live, F.col(c))).over(w), F.lit(1.0))
     return rows.withColumns({"cum_price_factor": factor("_pf"), "cum_volume_factor": factor("_vf")}).filter("_bar is not null").select("_bar.*", "cum_price_factor", "cum_volume_factor")
 
 
+def _stream(bars: DataFrame, *more: str) -> DataFrame:
+    return bars.select("instrument_id", F.col("market_date").alias("_day"), F.struct(*bars.columns).alias("_bar"), *more)
+
+
+def _upto(bars: DataFrame, as_of: dt.date | None) -> DataFrame:
+    return bars if as_of is None else bars.filter(F.col("market_date") <= F.lit(as_of))
+
+
+def with_factors(bars: DataFrame, events: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
+    """``bars`` (instrument_id, market_date, ...) with cum_price_factor and cum_volume_factor from given factor events."""
+    one_of(policy, tuple(POLICIES), "policy")
+    bars = _upto(bars, as_of)
+    if not POLICIES[policy]:
+        return bars.withColumns({"cum_price_factor": F.lit(1.0), "cum_volume_factor": F.lit(1.0)})
+    used = events.filter(F.col("action_type").isin(*POLICIES[policy])).select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
+    return _carry(_stream(bars).unionByName(used, allowMissingColumns=True))
+
+
+def with_action_factors(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
+    """As :func:`with_factors`, from the actions themselves: a dividend's close before its date is found in the
+    same stream as the product, so canonical bars are made and shuffled once."""
+    one_of(policy, tuple(POLICIES), "policy")
+    kinds = POLICIES[policy]
+    if "cash_dividend" not in kinds:
+        return with_factors(canonical, ratio_factors(actions), policy, as_of)
+    ratios = ratio_factors(actions).select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
+    cash = dividend_cash(actions, instruments).filter("cash_amount > 0").select("instrument_id", F.col("ex_date").alias("_day"), F.col("cash_amount").alias("_cash"))
+    rows = _stream(_upto(canonical, as_of), "close").withColumnRenamed("close", "_close").unionByName(ratios, allowMissingColumns=True).unionByName(cash, allowMissingColumns=True)
+    before = Window.partitionBy("instrument_id").orderBy("_day", F.col("_bar").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_prev", F.last("_close", ignorenulls=True).over(before))
+    usable = F.when(F.col("_prev") > F.col("_cash"), 1 - F.col("_cash") / F.col("_prev"))
+    return _carry(rows.withColumn("_pf", F.coalesce("_pf", usable)))
+
+
 def apply_factors(rows: DataFrame) -> DataFrame:
     """Prices and volume multiplied by the factors."""
     new = {c: F.col(c) * F.col("cum_price_factor") for c in PRICES if c in rows.columns}
     return rows.withColumns(new | {"volume": F.col("volume") * F.col("cum_volume_factor")})
 
 
-def adjusted_bars(canonical: DataFrame, events: DataFrame, policy: str, as_of: dt.date | None = None, instruments: list[str] | None = None) -> DataFrame:
-    """Adjusted daily bars of all or some instruments. A choice of instruments is pushed below every shuffle."""
-    if instruments is not None:
-        canonical, events = (d.filter(F.col("instrument_id").isin(*instruments)) for d in (canonical, events))
-    rows = apply_factors(with_factors(canonical, events, policy, as_of))
+def adjusted_bars(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
+    """Adjusted daily bars."""
+    rows = apply_factors(with_action_factors(canonical, actions, instruments, policy, as_of))
     return rows.select("instrument_id", "market_date", F.lit(policy).alias("adjustment_policy"), *PRICES[:4], "volume", "vwap", "cum_price_factor", "cum_volume_factor", "symbol_as_traded")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.columns import ratio, safe_ln, sample_kurtosis, valid_at, when_idx
-from basalt.operators.adjust import apply_factors, dividend_cash, with_factors
+from basalt.operators.adjust import apply_factors, dividend_cash, with_action_factors
 from basalt.operators.asof import asof_join
 from basalt.plans.catalog import DAILY, NO_EVENT_IDS, long_rows
 
@@ -46,7 +46,7 @@ def calc(market, t: dt.date) -> DataFrame:
     """Bars up to T of the instruments that have one on T: raw and adjusted prices, idx, returns and their like."""
     raw = {f"raw_{c}": F.col(c) for c in ("open", "high", "low", "close", "volume")}
     bars = market.canonical.withColumns(raw)
-    rows = apply_factors(with_factors(bars, market.factors, "split_dividend", t))
+    rows = apply_factors(with_action_factors(bars, market.corporate_actions, market.instruments, "split_dividend", t))
     w = Window.partitionBy("instrument_id").orderBy(F.desc("market_date"))
     rows = rows.withColumns({"idx": F.row_number().over(w) - 1, "prev": F.lead("close").over(w), "last_date": F.max("market_date").over(Window.partitionBy("instrument_id"))})
     rows = rows.filter(F.col("last_date") == F.lit(t))

@@ -46,7 +46,7 @@ class Market:
 
     def adjusted(self, policy: str, as_of=None, ids: list[str] | None = None) -> DataFrame:
         m = self if ids is None else self.only(ids)
-        return adjust.adjusted_bars(m.canonical, m.factors, policy, as_of)
+        return adjust.adjusted_bars(m.canonical, m.corporate_actions, m.instruments, policy, as_of)
 
 
 def from_driver(spark: SparkSession, sf_dir: str) -> Market:

@@ -74,3 +74,12 @@ def test_event_after_the_last_bar_has_no_effect(spark):
 def test_plan_has_one_exchange_by_instrument(m):
     plan = m.adjusted("split", None, ["A"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_one_stream_equals_factor_events(m):
+    for policy in adjust.POLICIES:
+        for as_of in (None, J(2), J(3), J(6)):
+            one = adjust.with_action_factors(m.canonical, m.corporate_actions, m.instruments, policy, as_of)
+            two = adjust.with_factors(m.canonical, m.factors, policy, as_of)
+            see = lambda d: sorted((r.instrument_id, r.market_date, round(r.cum_price_factor, 12), round(r.cum_volume_factor, 12)) for r in d.collect())
+            assert see(one) == see(two)
