@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import ascii_lower
+from basalt.llm.common import ascii_lower, materialise
 
 MARKS = r"^[ \t]*(>[ \t]*)+"
 TURNS = 1024
@@ -84,7 +84,7 @@ def link(parsed: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, n_quotes, n_linked, max_level, reply_conv, reply_turn, body."""
-    m = parse(messages)
+    m = materialise(parse(messages), "messages")
     own = F.col("to_conv") == F.col("conv_id")
     best = F.min_by(F.struct("to_conv", "to_turn"), F.struct("level", F.when(own, 0).otherwise(1), -F.col("to_turn"), "to_conv"))
     linked = link(m).filter("to_conv is not null").distinct().groupBy("conv_id", "turn", "mid").agg(F.count(F.lit(1)).alias("n_linked"), best.alias("reply"))
@@ -100,7 +100,53 @@ def conversations(messages: DataFrame) -> DataFrame:
     )
 
 
+def digests(messages: DataFrame) -> DataFrame:
+    """:func:`conversations` with the body's SHA-256 in its place."""
+    return conversations(messages).select("conv_id", "turn", "position", "n_quotes", "n_linked", "max_level", "reply_conv", "reply_turn", F.sha2("body", 256).alias("body_sha256"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all conversations."""
-    c = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return c.select("conv_id", "turn", "position", "n_quotes", "n_linked", "max_level", "reply_conv", "reply_turn", F.sha2("body", 256).alias("body_sha256"))
+    return digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+_NORMAL = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+SQL = f"""
+WITH m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), l AS (
+  SELECT rid, conv_id, turn, unnest(generate_series(1, len(ls))) AS p, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM m)
+), x AS (
+  SELECT *, regexp_extract(line, '^[ \\t]*(>[ \\t]*)+') AS mark FROM l
+), y AS (
+  SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS bare FROM x
+), z AS (
+  SELECT *, CASE WHEN level > 0 THEN -1 WHEN {_NORMAL.format("line")} = '' THEN 0 ELSE 1 END AS kind FROM y
+), r AS (
+  SELECT *, sum(CASE WHEN a THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS run, sum(CASE WHEN b THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS para
+  FROM (SELECT *, coalesce(level = lag(level) OVER w, false) AS a, coalesce(kind = lag(kind) OVER w, false) AS b FROM z WINDOW w AS (PARTITION BY rid ORDER BY p))
+), quotes AS (
+  SELECT * FROM (SELECT rid, conv_id, turn, run, level, {_NORMAL.format("string_agg(bare, ' ' ORDER BY p)")} AS key FROM r WHERE level > 0 GROUP BY ALL) WHERE key <> ''
+), bodies AS (
+  SELECT rid, conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (level = 0), '') AS body FROM r GROUP BY ALL
+), parts AS (
+  SELECT conv_id, turn, {_NORMAL.format("body")} AS key FROM bodies
+  UNION ALL SELECT conv_id, turn, {_NORMAL.format("string_agg(line, ' ' ORDER BY p)")} FROM r WHERE kind = 1 GROUP BY rid, conv_id, turn, para
+  UNION ALL SELECT conv_id, turn, {_NORMAL.format("line")} FROM r WHERE level = 0
+), near AS (
+  SELECT conv_id, key, min(turn) AS near FROM parts WHERE key <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+), far AS (
+  SELECT key, conv_id AS far_conv, near AS far_turn FROM near QUALIFY row_number() OVER (PARTITION BY key ORDER BY conv_id, near) = 1
+), links AS (
+  SELECT q.rid, q.run, q.level, q.conv_id, CASE WHEN near < turn THEN q.conv_id WHEN far_conv <> q.conv_id THEN far_conv END AS to_conv, CASE WHEN near < turn THEN near WHEN far_conv <> q.conv_id THEN far_turn END AS to_turn
+  FROM quotes q LEFT JOIN near ON near.conv_id = q.conv_id AND near.key = q.key LEFT JOIN far ON far.key = q.key WHERE q.conv_id IS NOT NULL AND q.turn IS NOT NULL
+), best AS (
+  SELECT rid, to_conv, to_turn, count(*) OVER (PARTITION BY rid) AS n FROM links WHERE to_conv IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, CASE WHEN to_conv = conv_id THEN 0 ELSE 1 END, -to_turn, to_conv) = 1
+), q AS (
+  SELECT rid, count(*) AS n, max(level) AS level FROM quotes GROUP BY 1
+)
+SELECT m.conv_id, m.turn, CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id, m.turn IS NULL ORDER BY m.turn, m.role, m.text) END AS position,
+  CAST(coalesce(q.n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(best.n, 0) AS BIGINT) AS n_linked, CAST(coalesce(q.level, 0) AS BIGINT) AS max_level, best.to_conv AS reply_conv, best.to_turn AS reply_turn, sha256(b.body) AS body_sha256
+FROM m JOIN bodies b USING (rid) LEFT JOIN q USING (rid) LEFT JOIN best USING (rid)
+"""
