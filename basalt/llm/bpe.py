@@ -2,8 +2,8 @@
 
 Texts are cut into units at single spaces between non-space characters; no
 match of the pre-tokenizer's pattern crosses such a place, so units can be
-encoded alone and remembered. The matches of new units are gathered over a
-whole Arrow batch, sorted into buckets of similar length and put into padded
+encoded alone and remembered (see units). The matches of new units are gathered
+over many texts, sorted into buckets of similar length and put into padded
 matrices, one match a row. In each round every row merges its leftmost pair
 of minimum rank. Pairs are found in an open-addressing hash table; rows that
 are done leave the matrix, and merged cells are squeezed out of it.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,35 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from basalt.llm.common import Memory, small_batches
+from basalt.llm.units import UnitTable
 
 INF = np.int32(2**31 - 1)
 #: Cells in one matrix; widths from which minima are kept by block; cells in such a block.
 CELLS, WIDE, BLOCK = 1 << 19, 1024, 64
-#: Units remembered by a Python worker.
-CACHE = 600_000
+#: Matches remembered by a Python worker.
+CACHE = 150_000
 #: Texts whose new units are encoded together.
 GROUP = 250
 #: A vocabulary file is sent to the executors; larger ones are refused.
 MAX_FILE_BYTES = 64 << 20
 
-_BESIDE_SPACE = re.compile(r" \s|\s ")
-_RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def split_units(text: str) -> list[str]:
-    """Parts of ``text`` between single spaces that have a non-space character on both sides.
-
-    Joined by a space they are ``text``. A space begins the match that
-    contains the character after it, so each later unit is encoded with one
-    space before it.
-    """
-    if text.isascii():  # a few searches for one string are faster than a pattern
-        odd = "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, _RARE_SPACE)) and _BESIDE_SPACE.search(text)
-    else:
-        odd = _BESIDE_SPACE.search(text)
-    return _SAFE_SPACE.split(text) if odd else text.split(" ")
-
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
@@ -114,7 +96,7 @@ class ByteBpe:
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pairs = PairTable(pairs)
-        self.units, self.firsts, self.known = Memory(CACHE), Memory(CACHE // 16), Memory(CACHE)
+        self.known, self.table = Memory(CACHE), UnitTable(self._encode_units, "<i4")
 
     # -- matrices ---------------------------------------------------------
 
@@ -218,17 +200,14 @@ class ByteBpe:
                 return [text[:-1], text[-1]]
         return self.find(text)
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for i in range(0, len(texts), GROUP):
-            parts = [split_units(t) if t else [""] for t in texts[i : i + GROUP]]
-            firsts = self.firsts.values([p[0] for p in parts], self._encode_units)
-            units = self.units.values(list(chain.from_iterable(p[1:] for p in parts)), lambda us: self._encode_units([f" {u}" for u in us]))
-            at = 0
-            for p, first in zip(parts, firsts, strict=True):
-                stop = at + len(p) - 1
-                yield np.frombuffer(first + b"".join(units[at:stop]), "<i4")
-                at = stop
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for i in range(0, len(col), GROUP):
+            ids, n = self.table.ids(col.slice(i, GROUP))
+            stop = np.cumsum(n)
+            for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True):
+                yield ids[a:b]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids."""
@@ -258,7 +237,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = encoder(data.value, pattern)
         for b in batches:
-            ids = list(bpe.encode_batch(b.column(1).to_pylist()))
+            ids = list(bpe.encode_batch(b.column(1)))
             at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             out = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, "<i4"), *ids]))), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["doc_id", "ids", "decoded"])
@@ -277,7 +256,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe, sha = encoder(data.value, pattern), lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for x in bpe.encode_batch(b.column(1).to_pylist()):
+            for x in bpe.encode_batch(b.column(1)):
                 ids = x.tolist()
                 n.append(len(ids))
                 ids_sha.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()))
