@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints/basalt"
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _workspaces: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,8 +64,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, so that their Python needs no path to it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root, data = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(path := os.path.join(folder, n), os.path.relpath(path, os.path.dirname(root)))
+    path = f"{workspace(spark)}/basalt.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, where the user has not chosen otherwise."""
+    """Ready the session for Python operators: ship the package, and bound Arrow batches by rows and
+    bytes, where the user has not chosen otherwise."""
+    ship(spark)
     for key, value, default in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "268435456"),
