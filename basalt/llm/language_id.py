@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from basalt.llm.common import small_batches
 
 #: Fitting: labelled documents of a language, and words and n-grams kept in all.
-DOCS_PER_LANG, MAX_GRAMS = 4000, 300_000
+DOCS_PER_LANG, MAX_GRAMS = 4000, 200_000
 #: Longest n-grams that an unseen word falls back to.
 LONGEST = 5
 #: Smallest share of the score with which a document is accepted.
 ACCEPT = 0.4
-CACHE = 200_000
+CACHE = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -54,29 +54,33 @@ def grams_of(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies by language. counts: rows (lang, n, gram, count); n is 0 for words."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]]):
-        self.langs = sorted({r[0] for r in rows})
+    def __init__(self, counts: list[tuple[str, int, str, int]]):
+        self.langs = sorted({r[0] for r in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(LONGEST + 1)]
-        for lang, n, gram, c in rows:
-            counts[n][gram][at[lang]] += c
-        self.tables: list[dict[str, np.ndarray]] = []
-        for table in counts:
-            total = sum(table.values(), np.zeros(len(at))) + 1
-            self.tables.append({g: np.log((c + 0.5) / total) for g, c in table.items()})
+        #: By length, n-gram (word) to its row of ``logs``.
+        self.index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        rows = 0
+        for _, n, gram, _ in counts:
+            if gram not in self.index[n]:
+                self.index[n][gram] = rows
+                rows += 1
+        seen = np.zeros((rows, len(at)))
+        for lang, n, gram, c in counts:
+            seen[self.index[n][gram], at[lang]] += c
+        for table in self.index:
+            mine = np.fromiter(table.values(), np.int64, len(table))
+            seen[mine] = np.log((seen[mine] + 0.5) / (seen[mine].sum(0) + 1))
+        self.logs = seen.astype(np.float32)
         self.cache: dict[str, np.ndarray] = {}
 
-    def word(self, w: str) -> np.ndarray:
-        """Scores of one word by language."""
-        known = self.tables[0].get(w)
-        if known is not None:
-            return known
+    def unseen(self, w: str) -> np.ndarray:
+        """Scores by language of a word that the model does not know."""
         got = self.cache.get(w)
         if got is None:
-            got = np.zeros(len(self.langs))
+            got = np.zeros(len(self.langs), np.float32)
             for n in range(LONGEST, 0, -1):
-                if found := [g for x in grams_of(w, n) if (g := self.tables[n].get(x)) is not None]:
-                    got = np.mean(found, axis=0)
+                if found := [i for x in grams_of(w, n) if (i := self.index[n].get(x)) is not None]:
+                    got = self.logs[found].mean(0)
                     break
             if len(w) < 64:
                 if len(self.cache) >= CACHE:
@@ -89,8 +93,12 @@ class Model:
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        seen = Counter(words)
-        total = np.array(list(seen.values()), float) @ np.array([self.word(w) for w in seen])
+        seen, known = Counter(words), self.index[0]
+        place = list(map(known.get, seen))
+        rows = [i for i in place if i is not None]
+        total = np.array([c for c, i in zip(seen.values(), place, strict=True) if i is not None], float) @ self.logs[rows] if rows else np.zeros(len(self.langs))
+        if new := [(w, c) for (w, c), i in zip(seen.items(), place, strict=True) if i is None]:
+            total = total + np.array([c for _, c in new], float) @ np.array([self.unseen(w) for w, _ in new])
         p = np.exp((total - total.max()) / np.sqrt(len(words)))
         best = int(total.argmax())
         return self.langs[best], float(p[best] / p.sum())
@@ -113,7 +121,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MA
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches):
-        for b in batches:
+        for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):  # bounds the tables
             by_lang: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by_lang[lang].update(words_of(text))
@@ -131,7 +139,8 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MA
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, n int, gram string, c long")
     total = counts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).filter("c > 1 or n = 1")
-    return Model([tuple(r) for r in total.orderBy(F.desc("c"), "lang", "n", "gram").limit(max_grams).collect()])
+    top = total.orderBy(F.desc("c"), "lang", "n", "gram").limit(max_grams).toArrow()
+    return Model(list(zip(*(top[c].to_pylist() for c in ("lang", "n", "gram", "c")), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -139,12 +148,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rest = docs.drop("lang_pred", "score")
-    sent = spark.sparkContext.broadcast((model.langs, model.tables))
+    sent = spark.sparkContext.broadcast((model.langs, model.index, model.logs))
     at = rest.columns.index("text")
 
     def run(batches):
         m = Model.__new__(Model)
-        (m.langs, m.tables), m.cache = sent.value, {}
+        (m.langs, m.index, m.logs), m.cache = sent.value, {}
         for b in batches:
             found = [m.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
