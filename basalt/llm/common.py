@@ -52,14 +52,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, fewer_files: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts lineage: a lost executor costs only tasks of the reader, never the
-    work before the write.
+    work before the write. ``fewer_files``, for rows much smaller than what
+    was shuffled to make them: a file for four shuffle partitions.
     """
     path = new_path(df.sparkSession, name)
     schema = df.schema
+    if fewer_files:
+        df = df.coalesce(max(48, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 

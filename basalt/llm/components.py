@@ -30,11 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     """node, root of every node of ``links`` (two columns of ids) but the roots, each its component's least id."""
     a, b = links.columns
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = materialise(edges, "edges"), None
+    edges, before = materialise(edges, "edges", fewer_files=True), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         if now[0]:
-            edges = materialise(_small(_large(edges)), "edges")
+            edges = materialise(_small(_large(edges)), "edges", fewer_files=True)

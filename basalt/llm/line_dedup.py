@@ -118,7 +118,7 @@ def dropped(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     store = LineStore(spark)
     for k in range(len(set(cuts)) + 1):
         store.add(lines.filter(F.col("batch") == k))
-    shared = materialise(store.shared(), "shared-lines")
+    shared = materialise(store.shared(), "shared-lines", fewer_files=True)
     store.close()
     lost = lines.join(shared, ["h1", "h2"]).filter(F.col("doc_id") != F.col("owner"))
     return lost.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))

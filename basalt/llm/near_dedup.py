@@ -62,7 +62,7 @@ class Shingler:
     """Hashed shingle sets of texts; hashes of words are remembered by a Python worker."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.cache = words, Memory(600_000)
+        self.n, self.cache = words, Memory(150_000)
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Ascending distinct 63-bit hashes. bytes.lower() and bytes.split() know ASCII only, as asked for."""
@@ -101,7 +101,7 @@ def _lists(classes: DataFrame, share: float, k: int) -> tuple[DataFrame, DataFra
     shared = values.join(often, "value").groupBy("rep", "n").agg(F.collect_set(F.struct("df", "value")).alias("vs"))
     least = F.ceil(F.least("n", F.lit(k)) * share)  # values found once come first, so what is left of the prefix is cut from the end
     prefix = F.slice(F.array_sort("vs"), 1, F.greatest(F.size("vs") - least + 1, F.lit(0)).cast("int"))
-    rows = materialise(shared.select("rep", "n", F.explode(prefix).alias("v")).select("rep", "n", F.col("v.value").alias("value")), "lists")
+    rows = materialise(shared.select("rep", "n", F.explode(prefix).alias("v")).select("rep", "n", F.col("v.value").alias("value")), "lists", fewer_files=True)
     same = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")).filter("size > 1")
     lists = same.groupBy("size", "shingles", "x1", "x2").agg(F.min("value").alias("value"))  # lists of the same members count once
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
@@ -201,7 +201,7 @@ def link_blocks(value: int, sets: list[np.ndarray], lists: list[np.ndarray], lef
 
 def _links(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, share: float, k: int) -> DataFrame:
     """a, b: links between classes."""
-    members = materialise(rows.join(lists, "value"), "members")
+    members = materialise(rows.join(lists, "value"), "members", fewer_files=True)
     mine = members.groupBy("rep").agg(F.collect_list("value").alias("lists"))
     # Always a sort-merge join: the candidates grow with the documents, so they are never broadcast.
     texts = docs.select("doc_id", "text").join(mine.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "lists", "text")
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     share = need(percent, k)
     base = materialise(sketches(docs, k), "sketches")
     same = base.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
-    same = materialise(same.filter("c > 1").drop("c"), "equal-sets")
+    same = materialise(same.filter("c > 1").drop("c"), "equal-sets", fewer_files=True)
     ids = base.filter("s1 is not null and doc_id is not null")
     classes = ids.join(same, ["s1", "s2"], "left").filter("rep is null or rep = doc_id").select("doc_id", "n", "sketch")
     rows, lists = _lists(classes, share, k)

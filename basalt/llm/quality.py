@@ -32,7 +32,7 @@ MIN_WORDS, MAX_REPEATED_PERCENT, MIN_PROBABILITY = 50, 50, 0.5
 #: Labelled documents of each class that are fitted on; buckets of the hashed features.
 PER_CLASS, BITS = 1000, 16
 SIZE = 1 << BITS
-CACHE = 300_000
+CACHE = 150_000
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Bytes that begin a code point.
 _STARTS = np.array([(b & 0xC0) != 0x80 for b in range(256)])

@@ -40,7 +40,7 @@ class Reader:
     """Word hashes of texts, A-Z in lower case, words parted by ASCII white space."""
 
     def __init__(self):
-        self.memory = Memory(600_000)
+        self.memory = Memory(150_000)
 
     def words(self, text: str | None) -> np.ndarray:
         import xxhash
