@@ -39,12 +39,16 @@ class Market:
     def factors(self) -> DataFrame:
         return adjust.factor_events(self.corporate_actions, self.instruments, self.canonical)
 
-    def only(self, ids: list[str]) -> Market:
-        """The market with bars and actions of some instruments, filtered below every shuffle."""
-        keep = F.col("instrument_id").isin(*ids)
-        return replace(self, bars_daily=self.bars_daily.filter(keep), corporate_actions=self.corporate_actions.filter(keep))
-
-    def adjusted(self, policy: str, as_of=None, ids: list[str] | None = None) -> DataFrame:
+    def only(self, ids: list[str] | DataFrame) -> Market:
+        """The market with bars and actions of some instruments (their ids, or rows with instrument_id), chosen below every shuffle."""
+        if isinstance(ids, DataFrame):
+            chosen = ids.select("instrument_id").distinct()
+            keep = lambda df: df.join(chosen, "instrument_id", "left_semi")
+        else:
+            keep = lambda df: df.filter(F.col("instrument_id").isin(*ids))
+        return replace(self, bars_daily=keep(self.bars_daily), corporate_actions=keep(self.corporate_actions))
+
+    def adjusted(self, policy: str, as_of=None, ids: list[str] | DataFrame | None = None) -> DataFrame:
         m = self if ids is None else self.only(ids)
         return adjust.adjusted_bars(m.canonical, m.corporate_actions, m.instruments, policy, as_of)
 

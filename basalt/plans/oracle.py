@@ -213,7 +213,7 @@ ORACLE_SQL = {
     "f7_classification": f"SELECT {_case(1)} AS instrument_type, {_case(2)} AS security_form, coalesce(upper(code) = 'CS', false) AS is_clean_common_stock, count(*) AS n FROM (SELECT ['CS', 'etf', 'PFD', 'zz', 'ADRC', 'LT'][1 + p_partkey % 7] AS code FROM part) GROUP BY ALL",
     "s1_json_parse": "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1",
     "j2_temporal_join": f"{M}, b AS (SELECT DISTINCT s.symbol, b.market_date FROM bars b JOIN (SELECT DISTINCT instrument_id, symbol FROM symbols) s USING (instrument_id)), r AS (SELECT b.symbol, b.market_date, s.instrument_id AS resolved FROM b LEFT JOIN symbols s ON s.symbol = b.symbol AND (s.valid_from IS NULL OR b.market_date >= s.valid_from) AND (s.valid_to IS NULL OR b.market_date < s.valid_to) QUALIFY row_number() OVER (PARTITION BY b.symbol, b.market_date ORDER BY s.valid_from DESC NULLS LAST) = 1) SELECT symbol, resolved, count(*) AS days FROM r GROUP BY 1, 2",
-    "w14_moving_averages": f"{M} SELECT market_date, " + ", ".join(f"CASE WHEN row_number() OVER (ORDER BY market_date) >= {n} THEN {q4(f'avg(close) OVER (ORDER BY market_date ROWS {n - 1} PRECEDING)')} END AS sma{n}" for n in (20, 50, 200)) + " FROM canonical WHERE instrument_id = 'MKT'",
+    "w14_moving_averages": f"{M} SELECT instrument_id, market_date, " + ", ".join(f"CASE WHEN row_number() OVER (PARTITION BY instrument_id ORDER BY market_date) >= {n} THEN {q4(f'avg(close) OVER (PARTITION BY instrument_id ORDER BY market_date ROWS {n - 1} PRECEDING)', 3)} END AS sma{n}" for n in (20, 50, 200)) + " FROM canonical",
     "d22_minute_identity": f"{M} SELECT instrument_id, market_date, count(*) AS minutes, CAST(sum(transactions) AS BIGINT) AS transactions FROM minutes GROUP BY 1, 2",
     "d23_minute_unresolved": f"{M} SELECT market_date, symbol, count(*) AS minute_bars FROM raw_minutes ANTI JOIN (SELECT DISTINCT market_date, symbol FROM minutes) USING (market_date, symbol) GROUP BY 1, 2",
     "d24_canonical_bars": f"{M} SELECT * FROM canonical",
@@ -224,7 +224,7 @@ ORACLE_SQL = {
     "d28_adjusted_split": Q.CA[1],
     "d28_adjusted_none": Q._adjusted("none")[1],
     "d28_adjusted_as_of": Q._adjusted("split_dividend", Q.AS_OF)[1],
-    "d29_adjusted_for": Q._adjusted("split_dividend", None, ["1", "7", "44"])[1],
+    "d29_adjusted_for": Q._adjusted("split_dividend", None, "cn_stocks")[1],
     "d30_adjusted_minutes": f"{M} SELECT instrument_id, market_date, start AS window_start_utc, {', '.join(f'{q(f'{c} * f')} AS {c}' for c in ('open', 'high', 'low', 'close'))}, {q('volume / f')} AS volume, transactions, f AS cum_price_factor, 1 / f AS cum_volume_factor FROM (SELECT *, CASE WHEN instrument_id = 'EV_click' AND market_date < DATE '2024-01-15' THEN 0.5 ELSE 1.0 END AS f FROM minutes)",
     "d33_return_series": f"{M}, {adjusted_sql('split_dividend', T)}, r AS (SELECT * FROM adjusted QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY market_date DESC) <= 30) SELECT instrument_id, market_date AS date, {q('close')} AS close, {q('close / lag(close) OVER w - 1')} AS one_day_return, {q('close / first_value(close) OVER (PARTITION BY instrument_id ORDER BY market_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - 1')} AS return_from_start FROM r WINDOW w AS (PARTITION BY instrument_id ORDER BY market_date)",
     "d35_metrics_at": f"{M}, {CALC}, {METRICS} {_metric_rows()}",
@@ -235,7 +235,7 @@ ORACLE_SQL = {
     "d42_forward_t_close": _forward("t_close"),
     "d43_session_metrics": _session(),
     "d44_forward_from_minute": _minute_forward(),
-    "d45_parity": f"{M}, {adjusted_sql('split')}, o AS (SELECT * FROM adjusted WHERE symbol_as_traded IN ('A', 'SPY')), p AS (SELECT i.delisted_date IS NULL AS active, abs(o.close - o.rc) AS diff, abs(o.close - o.rc) > greatest(0.01, o.rc * 0.0005) AS bad, abs(o.volume - o.rv) > o.rv * 0.005 + 1 AS vbad FROM o JOIN instruments i USING (instrument_id)) SELECT CASE WHEN grouping(active) = 1 THEN 'all' WHEN active THEN 'active instruments' ELSE 'delisted instruments' END AS segment, count(*) AS bars_compared, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, {q4('max(diff)')} AS max_close_diff, count(*) FILTER (vbad) AS volume_mismatches FROM p GROUP BY GROUPING SETS ((active), ())",
+    "d45_parity": f"{M}, {adjusted_sql('split')}, o AS (SELECT * FROM adjusted), p AS (SELECT i.delisted_date IS NULL AS active, abs(o.close - o.rc) AS diff, abs(o.close - o.rc) > greatest(0.01, o.rc * 0.0005) AS bad, abs(o.volume - o.rv) > o.rv * 0.005 + 1 AS vbad FROM o JOIN instruments i USING (instrument_id)) SELECT CASE WHEN grouping(active) = 1 THEN 'all' WHEN active THEN 'active instruments' ELSE 'delisted instruments' END AS segment, count(*) AS bars_compared, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, {q4('max(diff)')} AS max_close_diff, count(*) FILTER (vbad) AS volume_mismatches FROM p GROUP BY GROUPING SETS ((active), ())",
     "d46_minute_segments": f"{M}, {COMPARE} SELECT CASE WHEN auction THEN 'auction bar' ELSE 'no auction bar' END AS close_source, CASE WHEN n >= 390 THEN 'continuous (>=390 bars)' WHEN n >= 100 THEN 'intermittent (100-389)' ELSE 'sparse (<100 bars)' END AS trading_pattern, count(*) AS instrument_days, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, {q4('median(ratio)')} AS volume_ratio_median FROM cmp GROUP BY 1, 2",
     "d46_minute_summary": f"{M}, {COMPARE} SELECT count(*) AS instrument_days, count(DISTINCT market_date) AS dates, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, count(*) FILTER (viol) AS volume_violations, {q4('median(ratio)')} AS volume_ratio_median, {q4('quantile_cont(ratio, 0.1)')} AS volume_ratio_p10 FROM cmp",
     "d47_continuity": f"{M}, wk AS ({WEEK}), x AS (SELECT DISTINCT market_date, day(market_date) AS d FROM days WHERE market_scope = 'us_stocks'), g AS (SELECT market_date, d <> 13 AS open FROM x WHERE d <> 9), f AS (SELECT DISTINCT market_date FROM bars WHERE source_id = 'polygon' AND day(market_date) <> 17), mr AS (SELECT market_date FROM x WHERE d <> 11), mp AS (SELECT DISTINCT market_date FROM minutes), late AS (SELECT wk.market_date FROM wk JOIN g USING (market_date) WHERE open AND wk.market_date >= DATE '2024-01-05') SELECT 'missing_raw' AS problem, market_date FROM wk WHERE market_date NOT IN (SELECT market_date FROM g) UNION ALL SELECT 'open_day_missing_facts', market_date FROM wk JOIN g USING (market_date) WHERE open AND market_date NOT IN (SELECT market_date FROM f) UNION ALL SELECT 'contradicted_closure', market_date FROM wk JOIN g USING (market_date) WHERE NOT open AND market_date IN (SELECT market_date FROM mp) UNION ALL SELECT 'intraday_missing_raw', market_date FROM late WHERE market_date NOT IN (SELECT market_date FROM mr) UNION ALL SELECT 'intraday_missing_parquet', market_date FROM late WHERE market_date IN (SELECT market_date FROM mr) AND market_date NOT IN (SELECT market_date FROM mp)",
