@@ -1,21 +1,19 @@
-"""Repeated passages by sparse suffix arrays.
-
-Of a document's suffixes (from a word to the end) only those at minimiser
-positions are kept: in every run of :data:`PASSAGE` words, the one whose first
-:data:`KMER` words have the least hash. The choice depends on the words alone,
-so a passage of :data:`PASSAGE` words keeps the same suffix wherever it stands.
-Suffixes whose first words no other document has are left out. The others are
-sorted by their words; each is compared with its neighbours of other documents
-before and after it, and the match is extended to the right and to the left.
-A match of at least :data:`PASSAGE` words is a repeat in both documents.
-
-Suffixes that agree to the right are sorted by their words to the left, so that
-a neighbour is also the longest match to the left among them.
-
-The sort is by range over words, document and position, so suffixes that begin
-alike are split over many tasks; the first and last suffix of each range, two
-rows for each task, are compared on the driver. Only first words' hashes are
-shuffled for all kept suffixes; texts meet the documents with candidates.
+"""Repeated passages by their windows, met at minimisers.
+
+A window is a run of :data:`PASSAGE` words. Each window of a document belongs
+to its minimiser: the run of :data:`KMER` words in it with the least hash, the
+first one of equals. The choice depends on the words alone, so equal windows
+belong to equal minimisers. Windows whose minimiser no other document has are
+left out. The others are hashed and compared with all windows of the same
+minimiser: a window that two documents hold is a repeat in both, and removable
+in all of them but the one with the smallest doc_id. No window is left out for
+what stands around it, nor for how many documents or how often one document
+holds it.
+
+The windows of a minimiser meet in one task, as one row for each place, as long
+as they have at most :data:`GROUP` places. Those of more frequent minimisers are
+dealt by the hash of the window: the smallest and the largest doc_id of each
+are found by a combining aggregation, and joined to the windows.
 
 Defined results: null and empty texts and texts shorter than a passage have no
 repeats; repeats within one document do not count; rows that repeat a doc_id
@@ -33,7 +31,8 @@ from pyspark.sql import functions as F
 from basalt.llm.common import Memory, materialise, small_batches
 
 PASSAGE, KMER = 50, 8
-LEFT = PASSAGE - KMER  # a kept suffix begins at most so many words after its passage
+LEFT = PASSAGE - KMER  # a minimiser begins at most so many words after its window
+GROUP = 20_000  # places of a minimiser that are compared in one task
 
 
 class Reader:
@@ -50,66 +49,101 @@ class Reader:
         return np.fromiter(map(self.memory.data.__getitem__, words), np.uint64, len(words))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def kmers(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of :data:`KMER` words."""
+    h = np.zeros(max(0, len(words) - KMER + 1), np.uint64)
+    for i in range(KMER):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(h)]
+    return _mixed(h)
+
+
+def windows(words: np.ndarray) -> np.ndarray:
+    """Hashes of all windows: of runs of 1, 2, 4, ... words, then of those that make up a window."""
+    n = max(0, len(words) - PASSAGE + 1)
+    run, size, out, at = _mixed(words), 1, np.zeros(n, np.uint64), 0
+    while n:
+        if PASSAGE & size:
+            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + run[at : at + n])
+            at += size
+        if size * 2 > PASSAGE:
+            break
+        run = _mixed(run[:-size] * np.uint64(0x9E3779B97F4A7C15) + run[size:])
+        size *= 2
+    return out
+
+
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions and the hashes of the first words there."""
+    """Places and hashes of the minimisers. A place is (first window << 12) + (windows << 6) + words from the
+    first window to the minimiser."""
     if len(words) < PASSAGE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(len(words) - KMER + 1, np.uint64)
-    for i in range(KMER):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(h)]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    low = h.copy()  # minima over runs of 1, 2, 4, ... k-mers, then over LEFT + 1
+    h = kmers(words)
+    low = h  # minima over runs of 1, 2, 4, ... k-mers, then over LEFT + 1
     size = 1
     while size * 2 <= LEFT + 1:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     n = len(h) - LEFT
     low = np.minimum(low[:n], low[LEFT + 1 - size : LEFT + 1 - size + n])
-    # a position is kept if it holds the minimum of a run that contains it; equal ones are all kept
-    change = np.zeros(len(h), bool)
+    # the windows from a to b have the same minimum: each belongs to the first place of it that it contains
     starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     stops = np.concatenate([starts[1:], [n]])
+    first, at = [], []
     for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        at = np.flatnonzero(h[a : b + LEFT] == low[a])
-        change[a + at] = True
-    pos = np.flatnonzero(change)
-    return pos, h[pos].view(np.int64)
-
-
-def _matches(rows: dict) -> list[tuple[int, int, int, int]]:
-    """(row, left, right, other row) of matches between neighbours of different documents."""
-    doc, right, left = rows["doc_id"], rows["right"], rows["left"]
-    n = len(doc)
-    if n < 2:
-        return []
-    run = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
-    first = np.searchsorted(run, np.arange(run[-1] + 1))
-    last = np.concatenate([first[1:], [n]]) - 1
+        places = a + np.flatnonzero(h[a : b + LEFT] == low[a])
+        begin = np.concatenate([[a], places[:-1] + 1])
+        use = begin < b
+        first.append(begin[use])
+        at.append(places[use])
+    first, at = np.concatenate(first), np.concatenate(at)
+    many = np.diff(first, append=n)
+    return (first << 12) + (many << 6) + (at - first), h[at].view(np.int64)
+
+
+def _compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """doc_id, begin, stop, later: repeats among the windows of whole minimisers."""
+    t = pa.Table.from_batches(rows)
+    doc, begin = t["doc_id"].to_numpy(), t["begin"].to_numpy()
+    parts = t["hashes"].to_pylist()
+    many = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
+    h = np.frombuffer(b"".join(parts), np.uint64)
+    if not len(h):
+        return _spans([], [], [], [])
+    row = np.repeat(np.arange(len(parts)), many)
+    at = begin[row] + np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    starts, group, d = np.flatnonzero(new), np.cumsum(new) - 1, doc[row]
+    low, high = np.minimum.reduceat(d[order], starts), np.maximum.reduceat(d[order], starts)
+    repeated, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    repeated[order] = (low < high)[group]
+    later[order] = low[group] < d[order]
+    edge = np.concatenate([[True], row[1:] != row[:-1]])
     out = []
-    for other in (first[run] - 1, last[run] + 1):
-        at = np.flatnonzero((other >= 0) & (other < n))
-        o = other[at]
-        r = _same(right[at], right[o], PASSAGE)
-        lf = _same(left[at], left[o], LEFT)
-        ok = r + lf >= PASSAGE
-        out += zip(at[ok].tolist(), lf[ok].tolist(), r[ok].tolist(), o[ok].tolist(), strict=True)
-    return out
-
+    for mask in (repeated, later):
+        a = np.flatnonzero(mask & (edge | ~np.concatenate([[False], mask[:-1]])))
+        b = np.flatnonzero(mask & np.concatenate([edge[1:] | ~mask[1:], [True]]))
+        out.append((a, b))
+    (a, b), (c, e) = out
+    whole = np.concatenate([[0], np.cumsum(later)])
+    some = whole[b + 1] - whole[a] < b + 1 - a  # the others are among the later ones
+    a, b = np.concatenate([a[some], c]), np.concatenate([b[some], e])
+    return _spans(d[a], at[a], at[b] + PASSAGE, np.arange(len(a)) >= some.sum())
 
-def _same(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Number of leading equal words, 0 marking a text's end."""
-    equal = (a == b) & (a != 0)
-    return np.where(equal.all(1), width, equal.argmin(1))
 
-
-def _unpack(col, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in col), ">u4").reshape(-1, width) if len(col) else np.zeros((0, width), np.uint32)
+def _spans(*cols) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "begin", "stop", "later"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, begin, stop, other: passages (words begin..stop-1) that document ``other`` has too."""
+    """doc_id, begin, stop, later: passages (words begin..stop-1) whose windows another document has too, all of
+    them a document with a smaller doc_id where ``later``. Together the rows cover all repeats."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
@@ -118,66 +152,63 @@ def repeats(docs: DataFrame) -> DataFrame:
         reader = Reader()
         for b in batches:
             got = [minimisers(reader.words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.list_(pa.int64()))], ["doc_id", "pos", "kmer"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.list_(pa.int64()))], ["doc_id", "place", "kmer"])
 
-    kept = materialise(docs.mapInArrow(seeds, "doc_id long, pos array<long>, kmer array<long>").filter(F.size("pos") > 0), "seeds")
-    flat = kept.select("doc_id", F.explode(F.arrays_zip("pos", "kmer")).alias("s")).select("doc_id", "s.pos", "s.kmer")
-    twice = flat.groupBy("kmer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("kmer")
-    wanted = flat.join(twice, "kmer").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "at", "text")
+    kept = materialise(docs.mapInArrow(seeds, "doc_id long, place array<long>, kmer array<long>").filter(F.size("place") > 0), "seeds")
+    flat = kept.select("doc_id", F.explode(F.arrays_zip("place", "kmer")).alias("s")).select("doc_id", "s.place", "s.kmer")
+    shared = flat.groupBy("kmer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b")
+    shared = materialise(shared.select("kmer", (F.col("n") > GROUP).alias("frequent")), "shared")
+    wanted = flat.join(shared, "kmer").groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("frequent") == f, F.col("place"))).alias(c) for c, f in (("few", False), ("many", True))])
+    wanted = materialise(wanted, "wanted")
 
-    def suffixes(batches):
+    def hashed(batches):
+        """kmer, doc_id, begin, hashes: windows of the places asked for."""
         reader = Reader()
         for b in batches:
             out = []
-            for doc_id, at, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = (reader.words(text) & np.uint64(0xFFFFFFFF)).astype(">u4")
-                w[w == 0] = 1
-                w = np.concatenate([np.zeros(LEFT, ">u4"), w, np.zeros(PASSAGE, ">u4")])
-                for p in at:
-                    if p + KMER + LEFT + PASSAGE <= len(w):
-                        out.append((doc_id, p, w[p + LEFT : p + LEFT + PASSAGE].tobytes(), w[p : p + LEFT][::-1].tobytes()))
+            for doc_id, places, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                w = reader.words(text)
+                h, k = windows(w), kmers(w).view(np.int64)
+                for p in places:
+                    first, n, at = p >> 12, p >> 6 & 63, p & 63
+                    if first + n <= len(h):
+                        out.append((int(k[first + at]), doc_id, first, h[first : first + n].tobytes()))
             for i in range(0, len(out), 20_000):
-                part = out[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "pos", "right", "left"])
-
-    rows = texts.mapInArrow(suffixes, "doc_id long, pos long, right binary, left binary")
-    ordered = rows.repartitionByRange("right", "left", "doc_id", "pos").sortWithinPartitions("right", "left", "doc_id", "pos")
-    schema = "doc_id long, begin long, stop long, other long, part int, place int, right binary, left binary"
+                part = zip(*out[i : i + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kmer", "doc_id", "begin", "hashes"])
 
-    def neighbours(batches):
-        from pyspark import TaskContext
-
-        part, tail, first = TaskContext.get().partitionId(), None, None
-        names = ["doc_id", "begin", "stop", "other", "part", "place", "right", "left"]
-        edge = lambda r, place: (r["doc_id"], r["pos"], None, None, part, place, r["right"], r["left"])
+    def compared(batches):
+        held = []  # rows of the last minimiser, which may go on
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([*([tail] if tail is not None else []), b])
-            doc, pos = t["doc_id"].to_numpy(), t["pos"].to_numpy()
-            first = first or edge(b.slice(0, 1).to_pylist()[0], 0)
-            found = _matches({"doc_id": doc, "right": _unpack(t["right"], PASSAGE), "left": _unpack(t["left"], LEFT)})
-            out = [(doc[i], pos[i] - lf, pos[i] + r, doc[o], part, None, None, None) for i, lf, r, o in found]
-            yield _table(out, names)
-            # the next batch is compared with this one's end: from the last row of another document on
-            change = np.flatnonzero(doc != doc[-1])
-            keep = t.slice(max(int(change[-1]) if len(change) else 0, len(doc) - 1000)).combine_chunks()
-            tail = keep.to_batches()[0]
-        if first:
-            yield _table([first, edge(tail.slice(tail.num_rows - 1, 1).to_pylist()[0], 1)], names)
-
-    def _table(out, names):
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names)
-
-    found = materialise(ordered.mapInArrow(neighbours, schema), "repeats")
-    edges = sorted(found.filter("place is not null").collect(), key=lambda r: (r["part"], r["place"]))  # two for each task
-    doc = np.array([r["doc_id"] for r in edges], np.int64)
-    across = _matches({"doc_id": doc, "right": np.frombuffer(b"".join(r["right"] for r in edges), ">u4").reshape(-1, PASSAGE), "left": np.frombuffer(b"".join(r["left"] for r in edges), ">u4").reshape(-1, LEFT)})
-    more = [(int(doc[i]), edges[i]["begin"] - lf, edges[i]["begin"] + r, int(doc[o])) for i, lf, r, o in across]
-    result = found.filter("place is null").select("doc_id", "begin", "stop", "other")
-    return result.union(spark.createDataFrame(more, "doc_id long, begin long, stop long, other long")) if more else result
+            kmer = b.column(0).to_numpy()
+            if held and held[0].column(0)[0].as_py() == kmer[-1]:
+                held.append(b)
+                continue
+            cut = int(np.searchsorted(kmer, kmer[-1]))
+            if held or cut:
+                yield _compared([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        if held:
+            yield _compared(held)
+
+    def single(batches):
+        """A row for each window."""
+        for b in hashed(batches):
+            parts = b.column(3).to_pylist()
+            many = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
+            begin = np.repeat(b.column(2).to_numpy() - np.cumsum(many) + many, many) + np.arange(many.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), many)), pa.array(begin)], ["window", "doc_id", "begin"])
+
+    texts = lambda c: docs.join(wanted.filter(F.size(c) > 0).select("doc_id", c), "doc_id").select("doc_id", c, "text")
+    rows = texts("few").mapInArrow(hashed, "kmer long, doc_id long, begin long, hashes binary")
+    found = rows.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(compared, "doc_id long, begin long, stop long, later boolean")
+    if shared.filter("frequent").isEmpty():
+        return found
+    each = materialise(texts("many").mapInArrow(single, "window long, doc_id long, begin long"), "windows")
+    both = materialise(each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low"), "frequent")
+    return found.union(each.join(both, "window").select("doc_id", "begin", (F.col("begin") + PASSAGE).alias("stop"), (F.col("low") < F.col("doc_id")).alias("later")))
 
 
 def _merged(spans):
@@ -197,7 +228,7 @@ def mark(docs: DataFrame) -> DataFrame:
     with a smaller doc_id has too) of each document."""
     found = repeats(docs)
     span = F.struct("begin", "stop")
-    by = found.groupBy("doc_id").agg(F.collect_set(span).alias("all"), F.collect_set(F.when(F.col("other") < F.col("doc_id"), span)).alias("later"))
+    by = found.groupBy("doc_id").agg(F.collect_set(span).alias("all"), F.collect_set(F.when(F.col("later"), span)).alias("later"))
     by = by.select("doc_id", _merged(F.col("all")).alias("spans"), _merged(F.col("later")).alias("removable"))
     out = docs.select("doc_id").join(by, "doc_id", "left")
     none = F.expr("array_repeat(named_struct('begin', 0L, 'stop', 0L), 0)")

@@ -378,3 +378,41 @@ def test_quotation(spark):
     assert quotation.conversations(m.limit(0)).count() == 0
     plan = quotation.conversations(m)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def exact_spans(texts):
+    """Words in repeats, and those that an earlier document has too, by brute force."""
+    where, words = {}, {i: t.encode().lower().split() for i, t in texts.items()}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    out = {}
+    for i, w in words.items():
+        hit, later = set(), set()
+        for k in range(len(w) - 49):
+            have = where[tuple(w[k : k + 50])]
+            hit.update(range(k, k + 50) if len(have) > 1 else ())
+            later.update(range(k, k + 50) if min(have) < i else ())
+        out[i] = (hit, later)
+    return out
+
+
+def check_spans(spark, texts):
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    want = exact_spans(texts)
+    flat = lambda spans: {w for s in spans for w in range(s.begin, s.stop)}
+    got = {r.doc_id: r for r in suffix_dedup.mark(docs).collect()}
+    for i, r in got.items():
+        assert (flat(r.spans), flat(r.removable)) == want[i], i
+        assert (r.n_repeated, r.n_removable) == tuple(map(len, want[i]))
+    return got
+
+
+@pytest.mark.parametrize("group", [20_000, 10])
+def test_suffix_dedup_passage_of_many_documents(spark, monkeypatch, group):
+    """Each document but the first loses the passage, whatever stands around it."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group, raising=False)
+    r = random.Random(7)
+    passage = prose(57, r)
+    got = check_spans(spark, {i: f"{prose(r.randint(60, 90), r)} {passage} {prose(r.randint(60, 90), r)}" for i in range(120)})
+    assert got[0].n_removable == 0 and all(got[i].n_removable >= 57 for i in range(1, 120))
