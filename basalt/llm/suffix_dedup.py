@@ -158,7 +158,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     flat = kept.select("doc_id", F.explode(F.arrays_zip("place", "kmer")).alias("s")).select("doc_id", "s.place", "s.kmer")
     shared = flat.groupBy("kmer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b")
     shared = materialise(shared.select("kmer", (F.col("n") > GROUP).alias("frequent")), "shared")
-    wanted = flat.join(shared, "kmer").groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("frequent") == f, F.col("place"))).alias(c) for c, f in (("few", False), ("many", True))])
+    wanted = flat.join(shared.hint("merge"), "kmer").groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("frequent") == f, F.col("place"))).alias(c) for c, f in (("few", False), ("many", True))])
     wanted = materialise(wanted, "wanted")
 
     def hashed(batches):
@@ -201,14 +201,15 @@ def repeats(docs: DataFrame) -> DataFrame:
             begin = np.repeat(b.column(2).to_numpy() - np.cumsum(many) + many, many) + np.arange(many.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), many)), pa.array(begin)], ["window", "doc_id", "begin"])
 
-    texts = lambda c: docs.join(wanted.filter(F.size(c) > 0).select("doc_id", c), "doc_id").select("doc_id", c, "text")
+    # sort-merge joins at every size: what is broadcast here would grow with the input
+    texts = lambda c: docs.join(wanted.filter(F.size(c) > 0).select("doc_id", c).hint("merge"), "doc_id").select("doc_id", c, "text")
     rows = texts("few").mapInArrow(hashed, "kmer long, doc_id long, begin long, hashes binary")
     found = rows.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(compared, "doc_id long, begin long, stop long, later boolean")
     if shared.filter("frequent").isEmpty():
         return found
     each = materialise(texts("many").mapInArrow(single, "window long, doc_id long, begin long"), "windows")
     both = materialise(each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low"), "frequent")
-    return found.union(each.join(both, "window").select("doc_id", "begin", (F.col("begin") + PASSAGE).alias("stop"), (F.col("low") < F.col("doc_id")).alias("later")))
+    return found.union(each.join(both.hint("merge"), "window").select("doc_id", "begin", (F.col("begin") + PASSAGE).alias("stop"), (F.col("low") < F.col("doc_id")).alias("later")))
 
 
 def _merged(spans):

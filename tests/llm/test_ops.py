@@ -416,3 +416,12 @@ def test_suffix_dedup_passage_of_many_documents(spark, monkeypatch, group):
     passage = prose(57, r)
     got = check_spans(spark, {i: f"{prose(r.randint(60, 90), r)} {passage} {prose(r.randint(60, 90), r)}" for i in range(120)})
     assert got[0].n_removable == 0 and all(got[i].n_removable >= 57 for i in range(1, 120))
+
+
+@pytest.mark.parametrize("group", [20_000, 10])
+def test_suffix_dedup_one_word_many_times(spark, monkeypatch, group):
+    """Thousands of equal windows in each of two documents."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group, raising=False)
+    r = random.Random(8)
+    got = check_spans(spark, {i: f"{prose(60, r)} {'word ' * (3000 + 500 * i)} {prose(60, r)}" for i in range(2)})
+    assert got[0].n_repeated >= 3000 and got[1].n_removable >= 3500
