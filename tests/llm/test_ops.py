@@ -425,3 +425,14 @@ def test_suffix_dedup_one_word_many_times(spark, monkeypatch, group):
     r = random.Random(8)
     got = check_spans(spark, {i: f"{prose(60, r)} {'word ' * (3000 + 500 * i)} {prose(60, r)}" for i in range(2)})
     assert got[0].n_repeated >= 3000 and got[1].n_removable >= 3500
+
+
+@pytest.mark.parametrize("group", [20_000, 10])
+def test_suffix_dedup_beside_a_frequent_phrase(spark, monkeypatch, group):
+    """Pairs share a few words of their own before a phrase that many documents hold."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group, raising=False)
+    r = random.Random(9)
+    phrase, own = prose(35, r), [prose(25, r) for _ in range(40)]
+    texts = {i: f"{prose(40, r)} {phrase} {prose(40, r)}" for i in range(600)}
+    got = check_spans(spark, texts | {1000 + i: f"{prose(40, r)} {own[i % 40]} {phrase} {prose(40, r)}" for i in range(80)})
+    assert all((got[1000 + i].n_repeated >= 60) and (got[1000 + i].n_removable >= 60) == (i >= 40) for i in range(80))
