@@ -69,7 +69,8 @@ class Model:
             seen[self.index[n][gram], at[lang]] += c
         for table in self.index:
             mine = np.fromiter(table.values(), np.int64, len(table))
-            seen[mine] = np.log((seen[mine] + 0.5) / (seen[mine].sum(0) + 1))
+            # one vocabulary for all languages: what is unseen is not likelier where little is labelled
+            seen[mine] = np.log((seen[mine] + 0.5) / (seen[mine].sum(0) + 0.5 * len(mine)))
         self.logs = seen.astype(np.float32)
         self.cache: dict[str, np.ndarray] = {}
 

@@ -436,3 +436,14 @@ def test_suffix_dedup_beside_a_frequent_phrase(spark, monkeypatch, group):
     texts = {i: f"{prose(40, r)} {phrase} {prose(40, r)}" for i in range(600)}
     got = check_spans(spark, texts | {1000 + i: f"{prose(40, r)} {own[i % 40]} {phrase} {prose(40, r)}" for i in range(80)})
     assert all((got[1000 + i].n_repeated >= 60) and (got[1000 + i].n_removable >= 60) == (i >= 40) for i in range(80))
+
+
+def test_language_of_few_labels(spark):
+    """A language with a few labelled documents does not take the texts of the others."""
+    r = random.Random(6)
+    words = {lang: ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(n)] for lang, letters, n in (("aa", "abcdeghi", 300), ("bb", "efghijkl", 300), ("cc", "ijklmnop", 300))}
+    rows = [(i, " ".join(r.choices(words[lang], k=60)), lang) for i in range(400) for lang in [r.choice(["bb", "cc"])]]
+    rows += [(1000 + i, " ".join(r.choices(words["aa"][:20], k=15)), "aa") for i in range(8)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert "aa" in model.langs and all(model.predict(t)[0] == lang for t, lang in held)
