@@ -447,3 +447,14 @@ def test_language_of_few_labels(spark):
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     held = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert "aa" in model.langs and all(model.predict(t)[0] == lang for t, lang in held)
+
+
+def test_language_of_foreign_text(spark):
+    """Foreign and random texts are not accepted, held-out ones in a learned language are."""
+    r = random.Random(10)
+    stems = {"xx": ["water", "house", "street", "people"], "yy": ["agua", "casa", "calle", "gente"]}
+    ends = [a + b for a in ("", "ne", "ta") for b in ("s", "r", "lo")]
+    rows = [(i, " ".join(r.choice(stems[lang]) + r.choice(ends) for _ in range(20)), lang) for i in range(200) for lang in [r.choice(["xx", "yy"])]]
+    odd = [(2000, "talvella järvi jäätyy ja lumi peittää metsän", None), (2001, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)), None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in language_id.accepted(docs, language_id.fit(docs)).collect()} == {i for i, _, _ in rows}
