@@ -6,8 +6,10 @@ first length with known n-grams their log frequencies are averaged. A text's
 score for a language is the sum over its words.
 
 The model is fitted on a bounded sample, at most ``docs_per_lang`` labelled
-documents of each language chosen by a hash of doc_id, and keeps at most
-``max_grams`` words and n-grams; so what is sent to the executors is bounded.
+documents of each language chosen by a hash of doc_id, and keeps of each
+language at most ``max_grams`` words and as many n-grams of each length, the
+most frequent ones; so what is sent to the executors is bounded by the number
+of languages.
 Every text is scored whole.
 
 Defined results: a text that is null, empty or without a letter is ``und``
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import small_batches
+from basalt.llm.common import materialise, small_batches
 
-#: Fitting: labelled documents of a language, and words and n-grams kept in all.
-DOCS_PER_LANG, MAX_GRAMS = 4000, 200_000
+#: Fitting: labelled documents of a language, and its words, and its n-grams of each length, that are kept.
+DOCS_PER_LANG, MAX_GRAMS = 4000, 50_000
 #: Longest n-grams that an unseen word falls back to.
 LONGEST = 5
 #: Smallest share of the score with which a document is accepted.
@@ -120,7 +122,7 @@ def held_out():
 
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS) -> Model:
-    """Count words and n-grams over the sample; the most frequent ones come to the driver."""
+    """Count words and n-grams over the sample; the most frequent ones of each language and length come to the driver."""
     spark = docs.sparkSession
     small_batches(spark)
     labelled = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
@@ -148,8 +150,19 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MA
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["lang", "n", "gram", "c"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, n int, gram string, c long")
-    total = counts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).filter("c > 1 or n = 1")
-    top = total.orderBy(F.desc("c"), "lang", "n", "gram").limit(max_grams).toArrow()
+    total = materialise(counts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "grams")
+    # for each language and length the least count that is kept, and the share of the grams with just that count
+    held, least = Counter(), {}
+    for lang, n, c, many in sorted((tuple(r) for r in total.groupBy("lang", "n", "c").count().collect()), key=lambda r: -r[2]):
+        if held[lang, n] < max_grams:
+            least[lang, n] = (lang, n, c, min(1.0, (max_grams - held[lang, n]) / many))
+            held[lang, n] += many
+    if not least:
+        return Model([])
+    bounds = spark.createDataFrame(list(least.values()), "lang string, n int, least long, share double")
+    some = (F.col("c") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    top = total.join(F.broadcast(bounds), ["lang", "n"]).filter((F.col("c") > F.col("least")) | some).select("lang", "n", "gram", "c").toArrow()
+    top = top.sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
     return Model(list(zip(*(top[c].to_pylist() for c in ("lang", "n", "gram", "c")), strict=True)))
 
 

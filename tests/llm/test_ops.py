@@ -458,3 +458,14 @@ def test_language_of_foreign_text(spark):
     odd = [(2000, "talvella järvi jäätyy ja lumi peittää metsän", None), (2001, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)), None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
     assert {x.doc_id for x in language_id.accepted(docs, language_id.fit(docs)).collect()} == {i for i, _, _ in rows}
+
+
+def test_language_keeps_words_of_a_small_one(spark):
+    """The bound on words and n-grams holds for each language and length, also for words seen once."""
+    r = random.Random(11)
+    rows = [(i, " ".join(f"{a}{b}" for a, b in (r.choices("abcdefghijklm", k=2) for _ in range(40))), "big") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (2001, "uno dos tres", "small")], "doc_id long, text string, lang string")
+    assert zlib.crc32(b"2001") % 4 != 2
+    model = language_id.fit(docs, max_grams=60)
+    assert {"uno", "dos", "tres"} <= set(model.index[0])
+    assert all(len(model.index[n]) <= 2 * 60 + 20 for n in range(language_id.LONGEST + 1))
