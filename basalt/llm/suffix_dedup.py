@@ -1,19 +1,29 @@
-"""Repeated passages by their windows, met at minimisers.
-
-A window is a run of :data:`PASSAGE` words. Each window of a document belongs
-to its minimiser: the run of :data:`KMER` words in it with the least hash, the
-first one of equals. The choice depends on the words alone, so equal windows
-belong to equal minimisers. Windows whose minimiser no other document has are
-left out. The others are hashed and compared with all windows of the same
-minimiser: a window that two documents hold is a repeat in both, and removable
-in all of them but the one with the smallest doc_id. No window is left out for
-what stands around it, nor for how many documents or how often one document
-holds it.
-
-The windows of a minimiser meet in one task, as one row for each place, as long
-as they have at most :data:`GROUP` places. Those of more frequent minimisers are
-dealt by the hash of the window: the smallest and the largest doc_id of each
-are found by a combining aggregation, and joined to the windows.
+"""Repeated passages by a sparse suffix array.
+
+Only suffixes that begin at minimisers are retained: of the :data:`STEP` places
+at which a window of :data:`PASSAGE` words can begin its second half, the one
+whose next :data:`PREFIX` words have the least hash (the first of equals). The
+choice depends on the words alone, so two documents that share a window retain
+the same suffix in it, and that suffix goes on for :data:`PREFIX` words within
+the window at least.
+
+The array holds each retained suffix of a document once, sorted by its first
+words (their hash) and by document over ranges of the whole corpus; a suffix
+whose neighbours both begin otherwise is left. The others are extended, up to
+``STEP - 1`` words to the left and as far to the right, over all windows that
+belong to them. The windows are sorted in the same way and compared with their
+neighbours: a window that two documents hold is a repeat in both, and
+removable in all of them but the one with the smallest doc_id. So each window
+that two documents share is found, whatever stands around it and however many
+hold it.
+
+Both sorts are by range, over the document too: a passage that a third of all
+documents hold is dealt over many tasks. Where a run of equal windows reaches
+an edge of a range (two runs of each range at most) its rows are settled by the
+least and the greatest doc_id of all its parts. Documents of the same words are
+one text throughout, that of the smallest doc_id; the others are repeats as a
+whole. Hashes have 64 bits: of n windows, a share of about n / 2**64 could be
+taken for a repeat by chance.
 
 Defined results: null and empty texts and texts shorter than a passage have no
 repeats; repeats within one document do not count; rows that repeat a doc_id
@@ -23,6 +33,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,23 +42,13 @@ from pyspark.sql import functions as F
 
 from basalt.llm.common import Memory, materialise, small_batches
 
-PASSAGE, KMER = 50, 8
-LEFT = PASSAGE - KMER  # a minimiser begins at most so many words after its window
-GROUP = 20_000  # places of a minimiser that are compared in one task
-
-
-class Reader:
-    """Word hashes of texts, A-Z in lower case, words parted by ASCII white space."""
-
-    def __init__(self):
-        self.memory = Memory(150_000)
-
-    def words(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        words = text.encode().lower().split() if text else []
-        self.memory.learn(set(words), lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws])
-        return np.fromiter(map(self.memory.data.__getitem__, words), np.uint64, len(words))
+PASSAGE, PREFIX = 50, 25
+STEP = PASSAGE - PREFIX + 1  # places of a window at which its retained suffix can begin
+#: Equal windows of one document that wait for a neighbour of another one; more are settled like those at an edge.
+WAIT = 1_000_000
+#: Words that are hashed at once.
+WORDS = 1 << 18
+SPANS = "doc_id long, begin long, stop long, later boolean"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -54,91 +56,152 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of :data:`KMER` words."""
-    h = np.zeros(max(0, len(words) - KMER + 1), np.uint64)
-    for i in range(KMER):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(h)]
-    return _mixed(h)
-
-
-def windows(words: np.ndarray) -> np.ndarray:
-    """Hashes of all windows: of runs of 1, 2, 4, ... words, then of those that make up a window."""
-    n = max(0, len(words) - PASSAGE + 1)
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words: of runs of 1, 2, 4, ... words, then of those that make it up."""
+    n = max(0, len(words) - length + 1)
     run, size, out, at = _mixed(words), 1, np.zeros(n, np.uint64), 0
     while n:
-        if PASSAGE & size:
+        if length & size:
             out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + run[at : at + n])
             at += size
-        if size * 2 > PASSAGE:
+        if size * 2 > length:
             break
         run = _mixed(run[:-size] * np.uint64(0x9E3779B97F4A7C15) + run[size:])
         size *= 2
     return out
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the minimisers. A place is (first window << 12) + (windows << 6) + words from the
-    first window to the minimiser."""
-    if len(words) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = kmers(words)
-    low = h  # minima over runs of 1, 2, 4, ... k-mers, then over LEFT + 1
-    size = 1
-    while size * 2 <= LEFT + 1:
-        low = np.minimum(low[:-size], low[size:])
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each ``width`` neighbours, the first of equals."""
+
+    def better(a, b):
+        return np.where(h[b] < h[a], b, a)
+
+    at, size = np.arange(len(h)), 1
+    while size * 2 <= width:
+        at = better(at[:-size], at[size:])
         size *= 2
-    n = len(h) - LEFT
-    low = np.minimum(low[:n], low[LEFT + 1 - size : LEFT + 1 - size + n])
-    # the windows from a to b have the same minimum: each belongs to the first place of it that it contains
-    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    stops = np.concatenate([starts[1:], [n]])
-    first, at = [], []
-    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        places = a + np.flatnonzero(h[a : b + LEFT] == low[a])
-        begin = np.concatenate([[a], places[:-1] + 1])
-        use = begin < b
-        first.append(begin[use])
-        at.append(places[use])
-    first, at = np.concatenate(first), np.concatenate(at)
-    many = np.diff(first, append=n)
-    return (first << 12) + (many << 6) + (at - first), h[at].view(np.int64)
-
-
-def _compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """doc_id, begin, stop, later: repeats among the windows of whole minimisers."""
-    t = pa.Table.from_batches(rows)
-    doc, begin = t["doc_id"].to_numpy(), t["begin"].to_numpy()
-    parts = t["hashes"].to_pylist()
-    many = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
-    h = np.frombuffer(b"".join(parts), np.uint64)
-    if not len(h):
-        return _spans([], [], [], [])
-    row = np.repeat(np.arange(len(parts)), many)
-    at = begin[row] + np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    starts, group, d = np.flatnonzero(new), np.cumsum(new) - 1, doc[row]
-    low, high = np.minimum.reduceat(d[order], starts), np.maximum.reduceat(d[order], starts)
-    repeated, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    repeated[order] = (low < high)[group]
-    later[order] = low[group] < d[order]
-    edge = np.concatenate([[True], row[1:] != row[:-1]])
-    out = []
-    for mask in (repeated, later):
-        a = np.flatnonzero(mask & (edge | ~np.concatenate([[False], mask[:-1]])))
-        b = np.flatnonzero(mask & np.concatenate([edge[1:] | ~mask[1:], [True]]))
-        out.append((a, b))
-    (a, b), (c, e) = out
-    whole = np.concatenate([[0], np.cumsum(later)])
-    some = whole[b + 1] - whole[a] < b + 1 - a  # the others are among the later ones
-    a, b = np.concatenate([a[some], c]), np.concatenate([b[some], e])
-    return _spans(d[a], at[a], at[b] + PASSAGE, np.arange(len(a)) >= some.sum())
-
-
-def _spans(*cols) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "begin", "stop", "later"])
+    n = len(h) - width + 1
+    return better(at[:n], at[width - size : width - size + n])
+
+
+class Reader:
+    """Word hashes of texts, A-Z in lower case, words parted by ASCII white space."""
+
+    def __init__(self):
+        self.memory = Memory(150_000)
+
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one text after the other, and where each begins (and the last ends)."""
+        import xxhash
+
+        parts, n = [], []
+        for t in texts:
+            words = t.encode().lower().split() if t else []
+            self.memory.learn(set(words), lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws])
+            parts.append(np.fromiter(map(self.memory.data.__getitem__, words), np.uint64, len(words)))
+            n.append(len(words))
+        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *n])
+
+    def windows(self, texts: list[str | None]):
+        """For texts some at a time: their first number and word hashes, their beginnings, and of each window its
+        text, first word, hash, and the hash of the suffix that it belongs to."""
+        step, size = [], 0
+        for i, t in enumerate(texts):
+            step.append(t)
+            size += len(t or "") // 6
+            if size >= WORDS or i + 1 == len(texts):
+                words, at = self.words(step)
+                first = i + 1 - len(step)
+                step, size = [], 0
+                prefix = _runs(words, PREFIX)
+                doc = np.repeat(np.arange(len(at) - 1), np.maximum(0, np.diff(at) - PASSAGE + 1))
+                if not len(doc):
+                    yield first, words, at, doc, doc, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    continue
+                many = np.bincount(doc, minlength=len(at) - 1)
+                begin = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                place = at[doc] + begin
+                suffix = prefix[_least(prefix, STEP)[place]]
+                window = _mixed(prefix[place] * np.uint64(0x9E3779B97F4A7C15) + prefix[place + PREFIX])
+                yield first, words, at, doc, begin, window.view(np.int64), suffix.view(np.int64)
+
+
+def _retained(batches):
+    """doc_id, s1, s2 (128 bits of all words), n (words), suffixes (distinct, of the document's windows)."""
+    reader = Reader()
+    for b in batches:
+        sig, n, found = [], [], []
+        for _, words, at, doc, _, _, suffix in reader.windows(b.column(1).to_pylist()):
+            new = np.ones(len(doc), bool)  # windows that are neighbours mostly share their suffix
+            new[1:] = (suffix[1:] != suffix[:-1]) | (doc[1:] != doc[:-1])
+            cut = np.searchsorted(doc[new], np.arange(len(at)))
+            for k, s in enumerate(np.split(suffix[new], cut[1:-1])):
+                sig.append(np.frombuffer(hashlib.blake2b(words[at[k] : at[k + 1]].tobytes(), digest_size=16).digest(), "<i8").tolist())
+                n.append(int(at[k + 1] - at[k]))
+                found.append(np.unique(s))
+        cols = [pa.array([x[j] for x in sig], pa.int64()) for j in range(2)]
+        out = pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "s1", "s2", "n", "suffixes"])
+        yield out.filter(pa.array([x >= PASSAGE for x in n], pa.bool_()))
+
+
+def _neighbours(batches):
+    """doc_id, suffix: of the sorted rows those that begin as a neighbour does, and the two at the range's edges."""
+    doc, suffix, keep = np.zeros(0, np.int64), np.zeros(0, np.int64), True  # the last row, and whether it stays
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc, suffix = (np.concatenate([old, b.column(j).to_numpy()]) for j, old in enumerate((doc, suffix)))
+        same, stay = suffix[1:] == suffix[:-1], np.zeros(len(doc), bool)
+        stay[0] = keep
+        stay[1:] |= same
+        stay[:-1] |= same
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][stay[:-1]]) for x in (doc, suffix)], b.schema.names)
+        doc, suffix, keep = doc[-1:], suffix[-1:], bool(stay[-1])
+    if len(doc):
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(suffix)], ["doc_id", "suffix"])
+
+
+#: What is known of a window: its document has it first, an earlier one has it, its run may go on in another range.
+FIRST, LATER, OPEN = 0, 1, 2
+
+
+def _rows(parts: list[list[np.ndarray]], whole: bool):
+    """window, doc_id, begin, state: the repeats among whole runs, or all rows of an open one."""
+    if not sum(len(p[0]) for p in parts):
+        return
+    w, d, g = (np.concatenate([p[j] for p in parts]) for j in range(3))
+    state = np.full(len(w), OPEN, np.int8)
+    if whole:
+        new = np.concatenate([[True], w[1:] != w[:-1]])
+        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+        low, high = d[starts][run], d[np.append(starts[1:], len(d)) - 1][run]
+        state = np.where(d > low, LATER, FIRST).astype(np.int8)
+        w, d, g, state = (x[low < high] for x in (w, d, g, state))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, d, g, state)], ["window", "doc_id", "begin", "state"])
+
+
+def _compared(batches):
+    """window, doc_id, begin, state: of the sorted windows those that two documents hold, or whose run is open."""
+    held, run, open_ = [], None, True  # rows of the run that goes on; the range's first run is open
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = [b.column(j).to_numpy() for j in range(3)]
+        w = part[0]
+        run = w[0] if run is None else run
+        head = int(np.searchsorted(w, run, "right"))
+        held.append([x[:head] for x in part])
+        if head == len(w):
+            if open_ or sum(len(p[0]) for p in held) > WAIT:
+                yield from _rows(held, False)
+                held, open_ = [], True
+            continue
+        yield from _rows(held, not open_)
+        tail = int(np.searchsorted(w, w[-1]))
+        yield from _rows([[x[head:tail] for x in part]], True)
+        held, run, open_ = [[x[tail:] for x in part]], w[-1], False
+    yield from _rows(held, False)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -147,90 +210,98 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-
-    def seeds(batches):
+    texts = materialise(docs.mapInArrow(_retained, "doc_id long, s1 long, s2 long, n long, suffixes array<long>"), "suffixes")
+    equal = texts.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("high"), F.max("n").alias("n")).filter("rep < high")
+    equal = materialise(equal.select("s1", "s2", "rep"), "equal-texts", fewer_files=True)
+    texts = texts.join(equal.hint("merge"), ["s1", "s2"], "left")
+    copies = texts.filter("rep is not null").select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("stop"), (F.col("doc_id") > F.col("rep")).alias("later"))
+
+    array = texts.filter("rep is null or rep = doc_id").select("doc_id", F.explode("suffixes").alias("suffix"))
+    array = array.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id")
+    kept = array.mapInArrow(_neighbours, "doc_id long, suffix long")
+    wanted = materialise(kept.groupBy("doc_id").agg(F.collect_set("suffix").alias("suffixes")), "wanted")
+
+    def extended(batches):
+        """window, doc_id, begin: the windows of the suffixes asked for."""
         reader = Reader()
         for b in batches:
-            got = [minimisers(reader.words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.list_(pa.int64()))], ["doc_id", "place", "kmer"])
-
-    kept = materialise(docs.mapInArrow(seeds, "doc_id long, place array<long>, kmer array<long>").filter(F.size("place") > 0), "seeds")
-    flat = kept.select("doc_id", F.explode(F.arrays_zip("place", "kmer")).alias("s")).select("doc_id", "s.place", "s.kmer")
-    shared = flat.groupBy("kmer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b")
-    shared = materialise(shared.select("kmer", (F.col("n") > GROUP).alias("frequent")), "shared")
-    wanted = flat.join(shared.hint("merge"), "kmer").groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("frequent") == f, F.col("place"))).alias(c) for c, f in (("few", False), ("many", True))])
-    wanted = materialise(wanted, "wanted")
-
-    def hashed(batches):
-        """kmer, doc_id, begin, hashes: windows of the places asked for."""
-        reader = Reader()
-        for b in batches:
-            out = []
-            for doc_id, places, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = reader.words(text)
-                h, k = windows(w), kmers(w).view(np.int64)
-                for p in places:
-                    first, n, at = p >> 12, p >> 6 & 63, p & 63
-                    if first + n <= len(h):
-                        out.append((int(k[first + at]), doc_id, first, h[first : first + n].tobytes()))
-            for i in range(0, len(out), 20_000):
-                part = zip(*out[i : i + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kmer", "doc_id", "begin", "hashes"])
-
-    def compared(batches):
-        held = []  # rows of the last minimiser, which may go on
+            ids, asked = b.column(0).to_numpy(), b.column(1)
+            asked, place = asked.flatten().to_numpy(), np.asarray(asked.offsets) - asked.offsets[0].as_py()
+            for first, _, _, doc, begin, window, suffix in reader.windows(b.column(2).to_pylist()):
+                use = np.zeros(len(doc), bool)
+                cut = np.searchsorted(doc, np.arange(doc[-1] + 2)) if len(doc) else [0]
+                for k in range(len(cut) - 1):
+                    if cut[k] < cut[k + 1]:
+                        use[cut[k] : cut[k + 1]] = np.isin(suffix[cut[k] : cut[k + 1]], asked[place[first + k] : place[first + k + 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(window[use]), pa.array(ids[first + doc[use]]), pa.array(begin[use])], ["window", "doc_id", "begin"])
+
+    # a sort-merge join at every size: what is asked for grows with the input
+    rows = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "suffixes", "text").mapInArrow(extended, "window long, doc_id long, begin long")
+    rows = materialise(rows, "windows")
+    rows = rows.repartitionByRange("window", "doc_id").sortWithinPartitions("window", "doc_id")
+    found = materialise(rows.mapInArrow(_compared, "window long, doc_id long, begin long, state byte"), "compared")
+    # two runs of each range at most, and those longer than WAIT: small at every size
+    ends = found.filter(F.col("state") == OPEN).groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    ends = ends.select("window", "low").toArrow().sort_by("window")
+    sent = spark.sparkContext.broadcast(tuple(ends[c].to_numpy() for c in ("window", "low")))
+
+    def settled(batches):
+        window, low = sent.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            kmer = b.column(0).to_numpy()
-            if held and held[0].column(0)[0].as_py() == kmer[-1]:
-                held.append(b)
-                continue
-            cut = int(np.searchsorted(kmer, kmer[-1]))
-            if held or cut:
-                yield _compared([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        if held:
-            yield _compared(held)
-
-    def single(batches):
-        """A row for each window."""
-        for b in hashed(batches):
-            parts = b.column(3).to_pylist()
-            many = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
-            begin = np.repeat(b.column(2).to_numpy() - np.cumsum(many) + many, many) + np.arange(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), many)), pa.array(begin)], ["window", "doc_id", "begin"])
-
-    # sort-merge joins at every size: what is broadcast here would grow with the input
-    texts = lambda c: docs.join(wanted.filter(F.size(c) > 0).select("doc_id", c).hint("merge"), "doc_id").select("doc_id", c, "text")
-    rows = texts("few").mapInArrow(hashed, "kmer long, doc_id long, begin long, hashes binary")
-    found = rows.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(compared, "doc_id long, begin long, stop long, later boolean")
-    if shared.filter("frequent").isEmpty():
-        return found
-    each = materialise(texts("many").mapInArrow(single, "window long, doc_id long, begin long"), "windows")
-    both = materialise(each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low"), "frequent")
-    return found.union(each.join(both.hint("merge"), "window").select("doc_id", "begin", (F.col("begin") + PASSAGE).alias("stop"), (F.col("low") < F.col("doc_id")).alias("later")))
-
-
-def _merged(spans):
-    """Union of spans that touch: sorted, then folded."""
-    empty = F.expr("array_repeat(named_struct('begin', 0L, 'stop', 0L), 0)")
-
-    def add(acc, s):
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
-        return F.when((F.size(acc) > 0) & (s["begin"] <= last["stop"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+            w, d, g, state = (b.column(j).to_numpy() for j in range(4))
+            at = np.searchsorted(window, w)
+            known = np.append(window, 0)[at] == w if len(window) else np.zeros(len(w), bool)
+            use = (state != OPEN) | known & (at < len(window))
+            later = np.where(state == OPEN, d > np.append(low, 0)[at], state == LATER)
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (d, g, g + PASSAGE, later)], ["doc_id", "begin", "stop", "later"])
+
+    return found.mapInArrow(settled, SPANS).union(copies)
+
+
+def _merged(begin: np.ndarray, stop: np.ndarray) -> list[dict[str, int]]:
+    """Union of spans that touch; ``begin`` ascends."""
+    if not len(begin):
+        return []
+    top = np.maximum.accumulate(stop)
+    new = np.concatenate([[True], begin[1:] > top[:-1]])
+    ends = top[np.concatenate([np.flatnonzero(new)[1:], [len(top)]]) - 1]
+    return [{"begin": a, "stop": b} for a, b in zip(begin[new].tolist(), ends.tolist(), strict=True)]
+
+
+def _of_documents(batches):
+    """doc_id, spans, removable: from spans sorted by doc_id and begin."""
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
+
+    def made(parts):
+        d, a, b, later = (np.concatenate([p[j] for p in parts]) for j in range(4))
+        cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])).tolist()
+        rows = [(int(d[i]), _merged(a[i:j], b[i:j]), _merged(a[i:j][later[i:j]], b[i:j][later[i:j]])) for i, j in zip(cut, [*cut[1:], len(d)], strict=True)]
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], kind), pa.array(cols[2], kind)], ["doc_id", "spans", "removable"])
+
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = [b.column(j).to_numpy(zero_copy_only=False) for j in range(4)]
+        if held and held[-1][0][-1] == part[0][-1]:
+            held.append(part)
+            continue
+        cut = int(np.searchsorted(part[0], part[0][-1]))
+        held.append([x[:cut] for x in part])
+        if sum(len(p[0]) for p in held):
+            yield made(held)
+        held = [[x[cut:] for x in part]]
+    if held:
+        yield made(held)
 
 
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id, n_repeated (words in repeats), spans (array of begin, stop), removable (those that a document
     with a smaller doc_id has too) of each document."""
-    found = repeats(docs)
-    span = F.struct("begin", "stop")
-    by = found.groupBy("doc_id").agg(F.collect_set(span).alias("all"), F.collect_set(F.when(F.col("later"), span)).alias("later"))
-    by = by.select("doc_id", _merged(F.col("all")).alias("spans"), _merged(F.col("later")).alias("removable"))
+    span = "array<struct<begin: bigint, stop: bigint>>"
+    rows = repeats(docs).repartition("doc_id").sortWithinPartitions("doc_id", "begin")
+    by = rows.mapInArrow(_of_documents, f"doc_id long, spans {span}, removable {span}")
     out = docs.select("doc_id").join(by, "doc_id", "left")
     none = F.expr("array_repeat(named_struct('begin', 0L, 'stop', 0L), 0)")
     words = lambda c: F.aggregate(F.coalesce(c, none), F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["begin"])
