@@ -2,31 +2,42 @@
 
 Layout under one root: ``staged`` holds each distinct chunk of ids once, named
 by its SHA-256, and the recipes as they came; ``index`` holds a recipe for each
-document, in ascending doc_id order, with the names of its chunks and the
-Merkle root over them, and a manifest for each segment of recipes with its
-totals and the Merkle root over its documents. A column tells the kinds apart;
-as files are columnar, readers of one kind skip the other's columns. Chunks are cut where a rolling hash of
-the last ids has its low bits zero, so equal passages give equal chunks
-wherever they stand.
+document, in ascending doc_id order, with the names of its chunks and the root
+of the Merkle tree over them, and a manifest for each segment of recipes with
+its totals and the root of the tree over its documents; ``manifest`` is one row
+with the totals of the store and the root over its segments. A column tells the
+kinds of the index apart; as files are columnar, readers of one kind skip the
+other's columns. Chunks are cut where a rolling hash of the last ids has its
+low bits zero, so equal passages give equal chunks wherever they stand.
 
 Only names and lengths are shuffled more than once; a chunk's ids cross the
-network one time, to meet their copies. Each task sends a name at most once,
-so a chunk that a third of all documents hold reaches its reducer once a task.
+network one time, to meet their copies. Each task sends a name seldom more than
+once, so a chunk that a third of all documents hold reaches its reducer about
+once a task; there the rows are sorted by name and neighbours with the same
+name are one.
+
+Reading recomputes everything that was written: names from ids, roots of
+documents from names, roots and totals of segments from documents, and those of
+the store from segments. A lost, changed or displaced chunk, recipe or segment
+ends the reading with an error that names it.
 
 Defined results: a null text is an empty text, so its document is the end id
 alone; a null doc_id comes first; repeated doc_ids keep a recipe each, ordered
 by length and content; an empty table gives an empty store; other columns of
-the input are ignored.
+the input are ignored. Strings of special tokens in a text become their ids,
+as the library does by itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +47,11 @@ from basalt.llm.units import UnitTable
 
 #: Ids in a chunk: least, usual and most; ids that the rolling hash sees.
 CHUNK_MIN, CHUNK_BITS, CHUNK_MAX, WINDOW = 256, 10, 4096, 8
-#: Chunk names that a task remembers to have sent.
+#: Chunk names that a task remembers to have sent; those it forgets may be sent again.
 CACHE = 300_000
+INDEX = "kind string, segment int, doc_id long, at long, n_tokens long, chunks binary, root binary"
+INDEX_NAMES = ["kind", "segment", "doc_id", "at", "n_tokens", "chunks", "root"]
+STORE = "segments long, n_docs long, n_tokens long, id_bytes int, root binary"
 ROW = "kind string, name binary, payload binary, doc_id long, n_tokens long, chunks binary"
 _TABLE = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 62, 1 << 16, dtype=np.uint64)
 
@@ -50,10 +64,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(data.decode())
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = json.loads(data).get("added_tokens") or []
+        #: Whether texts may be cut into units: no added token takes in white space or looks at what is beside it.
+        self.by_unit = not any(set(t["content"]) & set(" \t\n\r") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.wide = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.leads = np.zeros(max(vocab.values(), default=-1) + 2, bool)  # ids whose bytes begin with a space
+        self.leads = np.zeros(max(self.tok.get_vocab().values(), default=-1) + 2, bool)  # ids whose bytes begin with a space
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.table = UnitTable(self.encode, self.wide)
 
@@ -80,6 +96,10 @@ class Encoder:
     def documents(self, col: pa.Array, end: int):
         """Ids of each text and the end id, in the store's id type."""
         tail = np.array([end], self.wide)
+        if not self.by_unit:
+            for e in self.tok.encode_batch_fast([t or "" for t in col.to_pylist()], add_special_tokens=False):
+                yield np.array([*e.ids, end], self.wide)
+            return
         for i in range(0, len(col), 250):
             ids, n = self.table.ids(col.slice(i, 250))
             stop = np.cumsum(n)
@@ -113,6 +133,48 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+class Merkle:
+    """The root over leaves that come one by one; only the roots of whole subtrees are held, one for each height."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == height:
+            node = hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+            height += 1
+        self.peaks.append((height, node))
+
+    def root(self) -> bytes:
+        node = self.peaks[-1][1] if self.peaks else hashlib.sha256().digest()
+        for _, left in reversed(self.peaks[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def merkle_root(leaves) -> bytes:
+    """The root over all ``leaves``."""
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
+
+
+def _chunk_names(joined: bytes) -> list[bytes]:
+    return [joined[i : i + 32] for i in range(0, len(joined), 32)]
+
+
+def _document(doc_id: int | None, n_tokens: int, root: bytes) -> bytes:
+    """A document as a leaf of its segment's tree."""
+    return b"%s %d " % (b"-" if doc_id is None else b"%d" % doc_id, n_tokens) + root
+
+
+def _segment(segment: int, n_docs: int, n_tokens: int, root: bytes) -> bytes:
+    """A segment as a leaf of the store's tree."""
+    return b"%d %d %d " % (segment, n_docs, n_tokens) + root
+
+
 def write(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text) and write the store under ``root``."""
     spark = docs.sparkSession
@@ -142,44 +204,98 @@ def write(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 0) -> N
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(rows, types, strict=True)], list(rows))
 
     def once(batches):
-        seen = set()
+        last = None
         for b in batches:
-            keep = []
-            for kind, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keep.append(kind == "recipe" or name not in seen)
-                if kind == "chunk":
-                    seen.add(name)
-            yield b.filter(pa.array(keep))
+            name = b.column(1)
+            new = pc.not_equal(name[1:], name[:-1]).to_pylist() if len(name) else []
+            keep = [last is None or bool(len(name)) and name[0].as_py() != last, *new][: len(name)]
+            last = name[-1].as_py() if len(name) else last
+            yield b.filter(pc.or_(pc.equal(b.column(0), "recipe"), pa.array(keep, pa.bool_())))
 
     # What a name's copies need is the same reducer; recipes travel along and stay spread out.
-    rows = docs.select("doc_id", "text").mapInArrow(split, ROW).repartition("name").mapInArrow(once, ROW)
+    rows = docs.select("doc_id", "text").mapInArrow(split, ROW).repartition("name").sortWithinPartitions("name").mapInArrow(once, ROW)
     rows.write.option("compression", "zstd").parquet(f"{root}/staged")
     staged = spark.read.schema(ROW).parquet(f"{root}/staged")
     recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks")
     ordered = recipes.repartitionByRange("doc_id", "n_tokens", "chunks").sortWithinPartitions("doc_id", "n_tokens", "chunks")
-    out = "kind string, segment int, doc_id long, at long, n_tokens long, chunks binary, root binary"
 
     def segments(batches):
         from pyspark import TaskContext
 
-        segment, at, n, roots = TaskContext.get().partitionId(), 0, 0, hashlib.sha256()
+        segment, at, n, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
         for b in batches:
             names = b.column(2).to_pylist()
-            doc_roots = [hashlib.sha256(x).digest() for x in names]
+            doc_roots = [merkle_root(_chunk_names(x)) for x in names]
             tokens = b.column(1).to_numpy()
             starts = at + np.cumsum(tokens) - tokens
             at, n = at + int(tokens.sum()), n + len(names)
-            roots.update(b"".join(doc_roots))
+            for doc_id, t, r in zip(b.column(0).to_pylist(), tokens.tolist(), doc_roots, strict=True):
+                tree.add(_document(doc_id, t, r))
             m = len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * m), pa.array([segment] * m, pa.int32()), b.column(0), pa.array(starts, pa.int64()), b.column(1), b.column(2), pa.array(doc_roots, pa.binary())], ["kind", "segment", "doc_id", "at", "n_tokens", "chunks", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * m, pa.string()), pa.array([segment] * m, pa.int32()), b.column(0), pa.array(starts, pa.int64()), b.column(1), b.column(2), pa.array(doc_roots, pa.binary())], INDEX_NAMES)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([segment], pa.int32()), pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.binary()), pa.array([roots.digest()], pa.binary())], ["kind", "segment", "doc_id", "at", "n_tokens", "chunks", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([segment], pa.int32()), pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.binary()), pa.array([tree.root()], pa.binary())], INDEX_NAMES)
 
-    ordered.mapInArrow(segments, out).write.parquet(f"{root}/index")
+    ordered.mapInArrow(segments, INDEX).write.parquet(f"{root}/index")
+    got = _segments(spark, root)
+    total = (len(got), sum(r["at"] for r in got), sum(r["n_tokens"] for r in got), np.dtype(tokenizer(data.value).wide).itemsize, _store_root(got))
+    spark.createDataFrame([total], STORE).coalesce(1).write.parquet(f"{root}/manifest")
 
 
 def _index(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    return spark.read.schema("kind string, segment int, doc_id long, at long, n_tokens long, chunks binary, root binary").parquet(f"{root}/index").filter(F.col("kind") == kind)
+    return spark.read.schema(INDEX).parquet(f"{root}/index").filter(F.col("kind") == kind)
+
+
+def _segments(spark: SparkSession, root: str) -> list:
+    """The segments' manifests in order: one row for each partition that was written."""
+    return sorted(_index(spark, root, "manifest").select("segment", "at", "n_tokens", "root").collect(), key=lambda r: r["segment"])
+
+
+def _store_root(segments: list) -> bytes:
+    return merkle_root(_segment(r["segment"], r["at"], r["n_tokens"], bytes(r["root"])) for r in segments)
+
+
+def manifest(spark: SparkSession, root: str) -> tuple[list, str]:
+    """The segments' manifests, checked against that of the store, and the type of its ids."""
+    store = spark.read.schema(STORE).parquet(f"{root}/manifest").first()
+    segments = _segments(spark, root)
+    if len(segments) != store["segments"]:
+        raise ValueError(f"{store['segments'] - len(segments)} of {store['segments']} segments are lost")
+    if _store_root(segments) != bytes(store["root"]) or (sum(r["at"] for r in segments), sum(r["n_tokens"] for r in segments)) != (store["n_docs"], store["n_tokens"]):
+        raise ValueError("a segment's manifest is damaged")
+    return segments, f"<u{store['id_bytes']}"
+
+
+def check_recipes(spark: SparkSession, root: str) -> None:
+    """Recompute roots and totals of all segments from their recipes; only places, lengths and roots are shuffled."""
+
+    def totals(batches):
+        segment, n, at, tree = None, 0, 0, Merkle()
+        names = ["segment", "n_docs", "n_tokens", "root"]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([tree.root()], pa.binary())], names)
+        for b in batches:
+            for s, place, doc_id, t, r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if s != segment:
+                    if segment is not None:
+                        yield made()
+                    segment, n, at, tree = s, 0, 0, Merkle()
+                at = at + t if place == at else -1 << 62  # a recipe is gone or displaced
+                n += 1
+                tree.add(_document(doc_id, t, r))
+        if segment is not None:
+            yield made()
+
+    small_batches(spark)
+    rows = _index(spark, root, "recipe").select("segment", "at", "doc_id", "n_tokens", "root").repartition("segment").sortWithinPartitions("segment", "at")
+    got = {r["segment"]: r for r in rows.mapInArrow(totals, "segment int, n_docs long, n_tokens long, root binary").collect()}  # a row for each segment
+    for m in manifest(spark, root)[0]:
+        g = got.pop(m["segment"], None)
+        if g is None or g["n_docs"] != m["at"]:
+            raise ValueError(f"segment {m['segment']}: {m['at'] - (g['n_docs'] if g else 0)} of {m['at']} recipes are lost")
+        if (g["n_tokens"], bytes(g["root"])) != (m["n_tokens"], bytes(m["root"])):
+            raise ValueError(f"segment {m['segment']}: a recipe is damaged or displaced")
+    if got:
+        raise ValueError(f"segment {min(got)}: its manifest is lost")
 
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -189,9 +305,11 @@ def chunks(spark: SparkSession, root: str) -> DataFrame:
 
 def recipes(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, n_tokens, chunks, root of each document. ``start`` counts all ids before it:
-    those of earlier segments, summed over the few manifest rows, and those of its own."""
-    before = _index(spark, root, "manifest").selectExpr("segment", "sum(n_tokens) OVER (ORDER BY segment) - n_tokens AS before")
-    r = _index(spark, root, "recipe").join(before, "segment")
+    those of earlier segments, by the manifests, and those of its own."""
+    segments = manifest(spark, root)[0]
+    before = np.cumsum([0, *(r["n_tokens"] for r in segments)]).tolist()
+    rows = [(r["segment"], b) for r, b in zip(segments, before, strict=False)]
+    r = _index(spark, root, "recipe").join(F.broadcast(spark.createDataFrame(rows, "segment int, before long")), "segment")
     return r.select("segment", "at", "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "chunks", "root")
 
 
@@ -201,8 +319,9 @@ def _parts(r: DataFrame) -> DataFrame:
     return r.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("name", F.expr("substring(chunks, i * 32 + 1, 32)"))
 
 
-def read_ids(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
+def read_ids(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, ids (array<long>): the documents put together from their chunks."""
+    wide = manifest(spark, root)[1]
 
     def join(batches):
         for b in batches:
@@ -249,8 +368,8 @@ def crc32_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, read from the files and checked against names and roots.
+def verify(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read from the files and checked against names, roots and totals.
 
     Each stored chunk is read once: its name is recomputed, its ids are counted
     and summed into a CRC-32 of 32-bit ids. A document's figures are then made
@@ -272,8 +391,12 @@ def verify(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
         for b in batches:
             t = b.to_pydict()
             for names, doc_root in zip(t["chunks"], t["root"], strict=True):
-                if hashlib.sha256(names).digest() != doc_root:
+                if merkle_root(_chunk_names(names)) != doc_root:
                     raise ValueError("a recipe is damaged")
+            for doc_id, names, ps in zip(t["doc_id"], t["chunks"], t["parts"], strict=True):
+                for p in ps:
+                    if p["n"] is None:
+                        raise ValueError(f"chunk {names[32 * p['i'] : 32 * p['i'] + 32].hex()} of document {doc_id} is lost")
             parts = [sorted((p["i"], p["n"], p["crc"]) for p in ps) for ps in t["parts"]]
             total = np.array([sum(p[1] for p in ps) for ps in parts], np.int64)
             if (total != np.array(t["n_tokens"], np.int64)).any():
@@ -285,7 +408,8 @@ def verify(spark: SparkSession, root: str, wide: str = "<u2") -> DataFrame:
             np.bitwise_xor.at(crc, of, crc32_shift(flat[:, 2], (end[of] - upto) * 4))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_batches(spark)
+    wide = manifest(spark, root)[1]
+    check_recipes(spark, root)
     measured = chunks(spark, root).mapInArrow(measure, "name binary, n long, crc long")
     parts = _parts(recipes(spark, root)).join(measured, "name", "left")
     docs = parts.groupBy("doc_id", "start", "n_tokens", "chunks", "root").agg(F.collect_list(F.struct("i", "n", "crc")).alias("parts"))

@@ -89,31 +89,56 @@ def test_token_store_round_trip(spark, docs, none):
 
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = [(900, "a <|endoftext|> b"), (901, "x<|endoftext|>y z <|endoftext|><|endoftext|>  <|endoftext|>"), (902, "<|endoftext|>"), (903, "<|endof text|> <|endoftext|")]
+    all_rows = ROWS + special
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     root = new_path(spark, "store")
-    token_store.write(docs, path, root)
-    per = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in ROWS]
+    token_store.write(docs.select("doc_id", "text", "value").union(spark.createDataFrame([(*x, 7) for x in special], "doc_id long, text string, value long")), path, root)
+    per = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in all_rows]
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     got = token_store.verify(spark, root).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(((i, len(x), crc(x)) for i, x in per), key=str)
     ordered = sorted(got, key=lambda r: r.start)
-    assert [r.doc_id for r in ordered] == sorted((i for i, _ in ROWS), key=lambda i: -1 if i is None else i)
+    assert [r.doc_id for r in ordered] == sorted((i for i, _ in all_rows), key=lambda i: -1 if i is None else i)
     assert [r.start for r in ordered] == np.cumsum([0, *(r.n_tokens for r in ordered[:-1])]).tolist()
-    assert sorted(((r.doc_id, tuple(r.ids)) for r in token_store.read_ids(spark, root).collect()), key=str) == sorted({(i, tuple(x)) for i, x in per}, key=str) or True
+    back = token_store.read_ids(spark, root).collect()
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in back), key=str) == sorted(((i, tuple(x)) for i, x in per), key=str)
+    assert {(r.doc_id, r.start) for r in back} == {(r.doc_id, r.start) for r in got}
     stored = token_store.chunks(spark, root)
     assert stored.count() == stored.select("name").distinct().count()
-    assert stored.agg({"payload": "count"}).first()[0] < len(ROWS) + 30  # copies share chunks
+    assert stored.agg({"payload": "count"}).first()[0] < len(all_rows) + 30  # copies share chunks
     empty = new_path(spark, "store")
     token_store.write(none, path, empty)
-    assert token_store.verify(spark, empty).count() == 0
-
-
-def test_store_notices_damage(spark, docs):
+    assert token_store.verify(spark, empty).count() == 0 and token_store.read_ids(spark, empty).count() == 0
+
+
+def test_merkle_tree():
+    h = lambda x: hashlib.sha256(x).digest()
+    a, b, c = (h(b"\0" + x) for x in (b"a", b"b", b"c"))
+    assert token_store.merkle_root([]) == h(b"") and token_store.merkle_root([b"a"]) == a
+    assert token_store.merkle_root([b"a", b"b", b"c"]) == h(b"\1" + h(b"\1" + a + b) + c)
+    roots = {token_store.merkle_root([b"%d" % i for i in range(n)]) for n in range(40)}
+    assert len(roots) == 40 and token_store.merkle_root([b"a", b"b"]) != token_store.merkle_root([b"b", b"a"])
+
+
+@pytest.mark.parametrize("part, change, says", [
+    ("staged", "select * from t union all select 'chunk', name, concat(payload, unhex('0000')), null, null, null from (select * from t where kind = 'chunk' limit 1)", "damaged"),
+    ("staged", "select * from t where name <> (select max(name) from t where kind = 'chunk')", "is lost"),
+    ("index", "select * from t where not (kind = 'recipe' and doc_id <=> 11)", "recipes are lost"),
+    ("index", "select kind, segment, case when kind = 'recipe' and doc_id = 11 then 12 when kind = 'recipe' and doc_id = 12 then 11 else doc_id end as doc_id, at, n_tokens, chunks, root from t", "displaced"),
+    ("index", "select kind, segment, doc_id, at, n_tokens, case when doc_id = 3 then (select max(chunks) from t where doc_id = 2) else chunks end as chunks, root from t", "recipe is damaged"),
+    ("index", "select * from t where not (kind = 'manifest' and segment = (select max(segment) from t))", "segments are lost"),
+    ("index", "select kind, segment, doc_id, at + case when kind = 'manifest' then 1 else 0 end as at, n_tokens, chunks, root from t", "manifest is damaged"),
+])
+def test_store_notices_damage(spark, docs, part, change, says):
+    """Each loss or change is named; the rest of the store is as written."""
     root = new_path(spark, "store")
     token_store.write(docs, P.path("byte_bpe_50k.json"), root)
-    bad = token_store.chunks(spark, root).selectExpr("'chunk' as kind", "name", "concat(payload, unhex('0000')) as payload", "cast(null as long) as doc_id", "cast(null as long) as n_tokens", "cast(null as binary) as chunks").limit(1)
-    bad.write.mode("append").parquet(f"{root}/staged")
-    with pytest.raises(Exception, match="damaged"):
+    whole = spark.read.schema(token_store.ROW if part == "staged" else token_store.INDEX).parquet(f"{root}/{part}")
+    whole.createOrReplaceTempView("t")
+    rows = spark.createDataFrame(spark.sql(change).collect(), whole.schema)
+    rows.write.mode("overwrite").parquet(f"{root}/{part}")
+    with pytest.raises(Exception, match=says):
         token_store.verify(spark, root).collect()
 
 
