@@ -12,11 +12,14 @@ most frequent ones; so what is sent to the executors is bounded by the number
 of languages.
 Every text is scored whole.
 
+Words are runs of letters (Unicode category L) in lower case.
+
 Defined results: a text that is null, empty or without a letter is ``und``
 with score 0, and so is every text where nothing is labelled; null languages
 and null texts are not learned from; ties between languages go to the first
 in alphabetical order; a null doc_id is never learned from and its ``held_out``
-is false; repeated rows give repeated rows; other columns are ignored.
+is false; repeated rows give repeated rows; where nothing is labelled no
+document is rejected; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +43,20 @@ ACCEPT = 0.4
 #: Smallest part of a text that is familiar in any language: a known word counts 1, another one its share of
 #: known n-grams of length FAMILIAR_N. Held-out texts of the test data have 0.87 or more.
 FAMILIAR, FAMILIAR_N = 0.6, 4
-CACHE = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words and unseen words that a Python worker remembers with their scores; words that are scored at once.
+CACHE, STEP = 200_000, 1 << 17
+_RUN = re.compile(r"[^\W\d_]+")  # letters, and number signs that are neither letters nor digits
 UNKNOWN = "und"
 
 
+def _letters(run: str) -> list[str]:
+    """The words of a run: all of it, but for number signs."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    return [w for run in _RUN.findall(text.lower()) for w in _letters(run)] if text else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -57,63 +66,107 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language. counts: rows (lang, n, gram, count); n is 0 for words."""
-
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
-        self.langs = sorted({r[0] for r in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        #: By length, n-gram (word) to its row of ``logs``.
-        self.index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    """Log frequencies by language. langs in order; by length, n-gram (0: word) to its row of ``logs``."""
+
+    def __init__(self, langs: list[str], index: list[dict[str, int]], logs: np.ndarray):
+        self.langs, self.index, self.logs = langs, index, logs
+        self._forget()
+
+    @staticmethod
+    def of(counts: list[tuple[str, int, str, int]]) -> Model:
+        """From rows (lang, n, gram, count)."""
+        langs = sorted({r[0] for r in counts})
+        at = {lang: i for i, lang in enumerate(langs)}
+        index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
         rows = 0
         for _, n, gram, _ in counts:
-            if gram not in self.index[n]:
-                self.index[n][gram] = rows
+            if gram not in index[n]:
+                index[n][gram] = rows
                 rows += 1
         seen = np.zeros((rows, len(at)))
         for lang, n, gram, c in counts:
-            seen[self.index[n][gram], at[lang]] += c
-        for table in self.index:
+            seen[index[n][gram], at[lang]] += c
+        for table in index:
             mine = np.fromiter(table.values(), np.int64, len(table))
             # one vocabulary for all languages: what is unseen is not likelier where little is labelled
             seen[mine] = np.log((seen[mine] + 0.5) / (seen[mine].sum(0) + 0.5 * len(mine)))
-        self.logs = seen.astype(np.float32)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def unseen(self, w: str) -> np.ndarray:
-        """Scores by language of a word that the model does not know, then how familiar it is."""
-        got = self.cache.get(w)
-        if got is None:
-            got = np.zeros(len(self.langs) + 1, np.float32)
-            grams = grams_of(w, FAMILIAR_N)
-            got[-1] = sum(x in self.index[FAMILIAR_N] for x in grams) / max(1, len(grams))
-            for n in range(LONGEST, 0, -1):
-                if found := [i for x in grams_of(w, n) if (i := self.index[n].get(x)) is not None]:
-                    got[:-1] = self.logs[found].mean(0)
-                    break
-            if len(w) < 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[w] = got
-        return got
+        return Model(langs, index, seen.astype(np.float32))
+
+    def _forget(self) -> None:
+        """Empty the memory of runs: what each adds to a text's scores, its familiar words and its words."""
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((CACHE + STEP, len(self.langs) + 2))
+
+    def score(self, runs: list[str]) -> np.ndarray:
+        """Of each run of letters the scores by language, how much is familiar, and the number of its words."""
+        out = np.zeros((len(runs), len(self.langs) + 2))
+        known, familiar = self.index[0].get, self.index[FAMILIAR_N]
+        flat, sizes, owner = [], [], []  # rows of ``logs`` whose mean counts for a run
+        for i, run in enumerate(runs):
+            for w in _letters(run):
+                out[i, -1] += 1
+                row = known(w)
+                if row is not None:
+                    out[i, -2] += 1
+                    found = [row]
+                else:
+                    grams = grams_of(w, FAMILIAR_N)
+                    out[i, -2] += sum(map(familiar.__contains__, grams)) / max(1, len(grams))
+                    for n in range(LONGEST, 0, -1):
+                        found = [r for r in map(self.index[n].get, grams_of(w, n)) if r is not None]
+                        if found:
+                            break
+                if found:
+                    flat += found
+                    sizes.append(len(found))
+                    owner.append(i)
+        if flat:
+            stops = np.cumsum(sizes)
+            means = np.add.reduceat(self.logs[flat].astype(float), stops - sizes, axis=0) / np.array(sizes)[:, None]
+            np.add.at(out[:, :-2], owner, means)
+        return out
+
+    def _sums(self, runs: list[str], ends: list[int]) -> np.ndarray:
+        """Sums over the runs of each text; the runs of the k-th end at ``ends[k]``."""
+        out, starts = np.zeros((len(ends), len(self.langs) + 2)), np.array([0, *ends[:-1]])
+        for a in range(0, len(runs), STEP):
+            part = runs[a : a + STEP]
+            new = set(part).difference(self.place)
+            if len(self.place) + len(new) > CACHE:
+                self._forget()
+                new = set(part)
+            new = list(new)
+            first = len(self.place)
+            self.place.update(zip(new, range(first, first + len(new)), strict=True))
+            if new:
+                self.rows[first : first + len(new)] = self.score(new)
+            at = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
+            use = np.flatnonzero((starts < a + len(part)) & (np.array(ends) > np.maximum(a, starts)))
+            out[use] += np.add.reduceat(self.rows[at], np.maximum(starts[use], a) - a, axis=0)
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language of each text and its share of the score, which is flattened by the square root of the words'
+        number. The share is scaled to below :data:`ACCEPT` where less than :data:`FAMILIAR` of the text is familiar."""
+        runs, ends = [], []
+        for t in texts:
+            runs += _RUN.findall(t.lower()) if t else []
+            ends.append(len(runs))
+        if not self.langs or not runs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        sums = self._sums(runs, ends)
+        total, words = sums[:, :-2], np.maximum(sums[:, -1], 1)
+        p = np.exp((total - total.max(1, keepdims=True)) / np.sqrt(words)[:, None])
+        best, familiar = total.argmax(1), sums[:, -2] / words
+        share = p[np.arange(len(p)), best] / p.sum(1)
+        share = np.where(familiar >= FAMILIAR, share, share * ACCEPT * familiar / FAMILIAR)
+        some = sums[:, -1] > 0
+        return [self.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, share, 0.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the score, which is flattened by the square root of the words' number. The
-        share is scaled to below :data:`ACCEPT` where less than :data:`FAMILIAR` of the text is familiar."""
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        seen, known = Counter(words), self.index[0]
-        place, familiar = list(map(known.get, seen)), 1.0
-        rows = [i for i in place if i is not None]
-        total = np.array([c for c, i in zip(seen.values(), place, strict=True) if i is not None], float) @ self.logs[rows] if rows else np.zeros(len(self.langs))
-        if new := [(w, c) for (w, c), i in zip(seen.items(), place, strict=True) if i is None]:
-            more = np.array([c for _, c in new], float) @ np.array([self.unseen(w) for w, _ in new])
-            total = total + more[:-1]
-            familiar = (len(words) - sum(c for _, c in new) + more[-1]) / len(words)
-        p = np.exp((total - total.max()) / np.sqrt(len(words)))
-        best = int(total.argmax())
-        share = float(p[best] / p.sum())
-        return self.langs[best], share if familiar >= FAMILIAR else share * ACCEPT * familiar / FAMILIAR
+        """:meth:`predict_all` of one text."""
+        lang, share = self.predict_all([text])
+        return lang[0], float(share[0])
 
 
 def held_out():
@@ -128,7 +181,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MA
     labelled = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
     if not sizes:
-        return Model([])
+        return Model.of([])
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_per_lang / n))]), F.col("lang"))
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -158,12 +211,12 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MA
             least[lang, n] = (lang, n, c, min(1.0, (max_grams - held[lang, n]) / many))
             held[lang, n] += many
     if not least:
-        return Model([])
+        return Model.of([])
     bounds = spark.createDataFrame(list(least.values()), "lang string, n int, least long, share double")
     some = (F.col("c") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     top = total.join(F.broadcast(bounds), ["lang", "n"]).filter((F.col("c") > F.col("least")) | some).select("lang", "n", "gram", "c").toArrow()
     top = top.sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
-    return Model(list(zip(*(top[c].to_pylist() for c in ("lang", "n", "gram", "c")), strict=True)))
+    return Model.of(list(zip(*(top[c].to_pylist() for c in ("lang", "n", "gram", "c")), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,11 +228,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = rest.columns.index("text")
 
     def run(batches):
-        m = Model.__new__(Model)
-        (m.langs, m.index, m.logs), m.cache = sent.value, {}
+        m = Model(*sent.value)
         for b in batches:
-            found = [m.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            langs, shares = m.predict_all(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
@@ -187,8 +239,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose language is found with a score of at least :data:`ACCEPT`, unchanged."""
-    return identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= ACCEPT)).select(docs.columns)
+    """The documents whose language is found with a score of at least :data:`ACCEPT`, unchanged, whatever the names
+    of their columns; all of them where no language was learned."""
+    if not model.langs:
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names).withColumnRenamed(names[docs.columns.index("text")], "text")
+    found = identify(inner, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= ACCEPT))
+    return found.select(inner.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

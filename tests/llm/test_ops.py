@@ -320,6 +320,65 @@ def test_language(spark, none):
     blank = language_id.fit(none)
     assert {(r.lang_pred, r.score) for r in language_id.identify(docs, blank).collect()} == {("und", 0.0)}
     assert language_id.identify(none, model).count() == 0 and language_id.accepted(docs, model).columns == docs.columns
+    assert language_id.accepted(docs, blank).count() == docs.count() and language_id.accepted(none, model).count() == 0
+
+
+def brute_language(rows, texts):
+    """lang_pred and score of each text by the rule itself, counted and scored without numpy."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def words(t):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+
+    grams = lambda w, n: [w] if n == 0 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    learned = [(t, lang) for i, t, lang in rows if None not in (i, t, lang) and zlib.crc32(str(i).encode()) % 4 != 2]
+    count = [{lang: Counter() for _, lang in learned} for _ in range(6)]
+    for t, lang in learned:
+        for w in words(t):
+            for n in range(6):
+                count[n][lang].update(grams(w, n))
+    langs = sorted(count[0])
+    vocab = [set().union(*c.values()) for c in count]
+    log = lambda n, lang, g: math.log((count[n][lang][g] + 0.5) / (sum(count[n][lang].values()) + 0.5 * len(vocab[n])))
+    out = []
+    for t in texts:
+        total, familiar, ws = dict.fromkeys(langs, 0.0), 0.0, words(t)
+        if not ws or not langs:
+            out.append(("und", 0.0))
+            continue
+        for w, c in Counter(ws).items():
+            if w in vocab[0]:
+                found, n, part = [w], 0, 1
+            else:
+                n = next((n for n in range(5, 0, -1) if any(g in vocab[n] for g in grams(w, n))), 5)
+                found = [g for g in grams(w, n) if g in vocab[n]]
+                part = sum(g in vocab[4] for g in grams(w, 4)) / max(1, len(grams(w, 4)))
+            familiar += c * part
+            for lang in langs:
+                total[lang] += c * sum(log(n, lang, g) for g in found) / max(1, len(found))
+        best = max(langs, key=lambda k: (total[k], [-ord(x) for x in k]))
+        share = 1 / sum(math.exp((total[k] - total[best]) / math.sqrt(len(ws))) for k in langs)
+        out.append((best, share if familiar / len(ws) >= 0.6 else share * 0.4 * familiar / len(ws) / 0.6))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    """Every prediction and score, with numerals, unseen words, a tie of two languages with the same words, and long texts."""
+    r = random.Random(12)
+    words = {k: ["".join(r.choice(k * 3 + "aeiost") for _ in range(r.randint(2, 8))) for _ in range(60)] for k in ("bcd", "fgh", "ñçé")}
+    rows = [(i, " ".join(r.choices(words[k], k=r.randint(1, 50))), k) for i in range(160) for k in [r.choice(list(words))]]
+    rows += [(i, "same words here", lang) for i, lang in ((400, "t1"), (401, "t2"), (408, "t1"), (409, "t2"))]
+    tied = {lang: sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, x in rows if x == lang) for lang in ("t1", "t2")}
+    rows += [(i, "same words here", lang) for lang, n in tied.items() for i in [j for j in range(500 if lang == "t1" else 600, 700) if zlib.crc32(str(j).encode()) % 4 != 2][: 5 - n]]
+    odd = ["½ ②", "Ⅷ ⅷ", "a½b x²y", None, "", "123 _ __", "same words", "WORDS Same", "zzzz qqqq", "漢字 かな", "İstanbul", "x" * 500, "bcd " * 4000, " ".join(r.choices(sum(words.values(), []), k=3000))]
+    docs = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate(odd))], "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id: x for x in language_id.identify(docs, language_id.fit(docs)).collect()}
+    ids = [i for i, _, _ in rows] + [1000 + i for i in range(len(odd))]
+    for i, (lang, score) in zip(ids, brute_language(rows, [t for _, t, _ in rows] + odd), strict=True):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4, (i, lang, score, got[i])
+    assert [got[1000 + i].lang_pred for i in (0, 1, 3, 4, 5)] == ["und"] * 5 and got[1006].lang_pred == "t1"
 
 
 def brute_quality(text):
