@@ -7,17 +7,28 @@ are the unquoted parts of every message: its whole body, its paragraphs and
 its lines. A quoted passage is joined to the first message with the same hash,
 in its own conversation if that is earlier, else in the conversation where the
 passage was first written. A message replies to the target of its outermost
-linked quote. Conversations are then put in order without quotes.
+linked quote.
+
+Within a conversation the replies make trees. Conversations are put in reply
+order, without quotes: each turn, then the turns that reply to it, each with
+its own replies, in the order of their turns; turns that reply to none of their
+own conversation begin trees of their own. The order is found by list ranking:
+a tour goes down into each turn and up again, and in each round every step of
+it jumps over as far as it has come, which doubles. Rounds grow with the
+logarithm of the longest tour, and conversations that are done leave them. No
+conversation is ever gathered, however long it or a reply chain is.
 
 Hashes are reduced to their first message before any join, so a text that a
-third of all messages share is one row; positions are counted in two levels
-(:data:`TURNS` turns at a time), so that no long conversation is gathered.
+third of all messages share is one row; what joins such a row is written first,
+so that adaptive execution can split the other side. Siblings are put in order
+in two levels, at most :data:`TURNS` turns at a time.
 
 Defined results: a null text is empty, with a body of ''; an empty quote
-links to nothing; a message without quotes keeps its text; equal (conv_id,
-turn) rows are put in order by role and text; rows with a null conv_id or turn
-keep their own body and quotes but are linked to nothing and have a null
-position; an empty table gives an empty result; other columns are ignored.
+links to nothing; a message without quotes keeps its text; rows of equal
+(conv_id, turn) share a position, and their turn replies to the latest turn
+that one of them replies to; rows with a null conv_id or turn keep their own
+body and quotes but are linked to nothing and have a null position; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,29 +84,68 @@ def link(parsed: DataFrame) -> DataFrame:
     at = parsed.filter("conv_id is not null and turn is not null")
     quotes = at.select("conv_id", "turn", "mid", F.posexplode("quotes").alias("q", "quote"))
     quotes = quotes.select("conv_id", "turn", "mid", "q", F.col("quote.level").alias("level"), *_hashes(F.col("quote.key")))
-    asked = quotes.select("h1", "h2").distinct()
+    quotes = materialise(quotes, "quotes", fewer_files=True)
+    asked = materialise(quotes.select("h1", "h2").distinct(), "asked", fewer_files=True)
     written = at.select("conv_id", "turn", F.explode("parts").alias("part")).select("conv_id", "turn", *_hashes(F.col("part")))
     near = written.join(asked, ["h1", "h2"], "left_semi").groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("near"))
-    far = near.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", F.col("near").alias("turn"))).alias("far"))
+    near = materialise(near, "near", fewer_files=True)
+    far = materialise(near.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", F.col("near").alias("turn"))).alias("far")), "far", fewer_files=True)
     q = quotes.join(near, ["conv_id", "h1", "h2"], "left").join(far, ["h1", "h2"], "left")
     own, other = F.col("near") < F.col("turn"), F.col("far.conv_id") != F.col("conv_id")
     return q.select("conv_id", "turn", "mid", "q", "level", F.when(own, F.col("conv_id")).when(other, F.col("far.conv_id")).alias("to_conv"), F.when(own, F.col("near")).when(other, F.col("far.turn")).alias("to_turn"))
 
 
+def _tour(turns: DataFrame) -> DataFrame:
+    """conv_id, step, before, count of the steps of all tours: 2 * turn goes down into a turn and 2 * turn + 1 up again.
+
+    ``turns``: conv_id, turn, parent (null: none). ``before`` is the step before, null at a tour's beginning; ``count`` the turns entered.
+    """
+    part = F.floor(F.col("turn") / TURNS)
+    inside = Window.partitionBy("conv_id", "parent", "part").orderBy("turn")
+    sibling = turns.withColumn("part", part).withColumn("left", F.lag("turn").over(inside))
+    ends = sibling.groupBy("conv_id", "parent", "part").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    ends = ends.withColumn("earlier", F.lag("last").over(Window.partitionBy("conv_id", "parent").orderBy("part")))
+    heads = materialise(ends.filter("earlier is not null").select("conv_id", F.col("first").alias("turn"), "earlier"), "heads", fewer_files=True)
+    sibling = sibling.join(heads, ["conv_id", "turn"], "left").select("conv_id", "turn", "parent", F.coalesce("left", "earlier").alias("left"))
+    last = materialise(ends.filter("parent is not null").groupBy("conv_id", F.col("parent").alias("turn")).agg(F.max("last").alias("child")), "children", fewer_files=True)
+    down = sibling.select("conv_id", (F.col("turn") * 2).alias("step"), F.coalesce(F.col("left") * 2 + 1, F.col("parent") * 2).alias("before"), F.lit(1).cast("long").alias("count"))
+    up = turns.join(last, ["conv_id", "turn"], "left").select("conv_id", (F.col("turn") * 2 + 1).alias("step"), F.coalesce(F.col("child") * 2 + 1, F.col("turn") * 2).alias("before"), F.lit(0).cast("long").alias("count"))
+    return down.union(up)
+
+
+def reply_order(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, position of the turns (conv_id, turn, parent) in reply order; a parent is an earlier turn."""
+    rest, done = materialise(_tour(turns), "tour", fewer_files=True), None
+    while True:
+        going = rest.filter("before is not null")
+        to = rest.select("conv_id", F.col("step").alias("before"), F.col("before").alias("further"), F.col("count").alias("more"))
+        jumped = going.join(to, ["conv_id", "before"]).select("conv_id", "step", F.col("further").alias("before"), (F.col("count") + F.col("more")).alias("count"))
+        rows = materialise(jumped.union(rest.filter("before is null")), "tour", fewer_files=True)
+        open_ = materialise(rows.filter("before is not null").select("conv_id").distinct(), "open", fewer_files=True)
+        ready = rows.join(open_, "conv_id", "left_anti").filter("step % 2 = 0").select("conv_id", (F.col("step") / 2).cast("long").alias("turn"), F.col("count").alias("position"))
+        done = ready if done is None else done.union(ready)
+        if open_.isEmpty():
+            return done
+        rest = materialise(rows.join(open_, "conv_id", "left_semi"), "tour", fewer_files=True)
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, n_quotes, n_linked, max_level, reply_conv, reply_turn, body."""
     m = materialise(parse(messages), "messages")
     own = F.col("to_conv") == F.col("conv_id")
     best = F.min_by(F.struct("to_conv", "to_turn"), F.struct("level", F.when(own, 0).otherwise(1), -F.col("to_turn"), "to_conv"))
     linked = link(m).filter("to_conv is not null").distinct().groupBy("conv_id", "turn", "mid").agg(F.count(F.lit(1)).alias("n_linked"), best.alias("reply"))
-    m = m.join(linked, ["conv_id", "turn", "mid"], "left").withColumn("part", F.floor(F.col("turn") / TURNS))
-    inside = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
-    before = m.filter("conv_id is not null and turn is not null").groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("rows"))
-    before = before.select("conv_id", "part", (F.sum("rows").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("rows")).alias("before"))
-    m = m.withColumn("inside", inside).join(before, ["conv_id", "part"], "left")
+    linked = materialise(linked, "linked", fewer_files=True)
+    at = m.filter("conv_id is not null and turn is not null")
+    parent = linked.filter("reply.to_conv = conv_id").groupBy("conv_id", "turn").agg(F.max("reply.to_turn").alias("parent"))
+    turns = at.select("conv_id", "turn", F.lit(None).cast("long").alias("parent")).union(parent).groupBy("conv_id", "turn").agg(F.max("parent").alias("parent"))
+    order = materialise(reply_order(materialise(turns, "turns", fewer_files=True)), "order", fewer_files=True)
+    rows = at.join(linked, ["conv_id", "turn", "mid"], "left").join(order, ["conv_id", "turn"], "left")
+    rest = m.filter("conv_id is null or turn is null")
+    rows = rows.unionByName(rest, allowMissingColumns=True)
     level = F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0))
-    return m.select(
-        "conv_id", "turn", "role", (F.col("before") + F.col("inside")).cast("long").alias("position"), F.size("quotes").cast("long").alias("n_quotes"),
+    return rows.select(
+        "conv_id", "turn", "role", "position", F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), level.cast("long").alias("max_level"), F.col("reply.to_conv").alias("reply_conv"), F.col("reply.to_turn").alias("reply_turn"), "body",
     )
 
@@ -112,7 +162,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 SQL = f"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
 ), l AS (
   SELECT rid, conv_id, turn, unnest(generate_series(1, len(ls))) AS p, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM m)
@@ -145,8 +195,16 @@ WITH m AS (
   QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level, CASE WHEN to_conv = conv_id THEN 0 ELSE 1 END, -to_turn, to_conv) = 1
 ), q AS (
   SELECT rid, count(*) AS n, max(level) AS level FROM quotes GROUP BY 1
+), turns AS (
+  SELECT m.conv_id, m.turn, max(CASE WHEN best.to_conv = m.conv_id THEN best.to_turn END) AS parent FROM m LEFT JOIN best USING (rid) WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL GROUP BY 1, 2
+), tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM turns WHERE parent IS NULL
+  UNION ALL
+  SELECT t.conv_id, t.turn, list_append(tree.path, t.turn) FROM turns t JOIN tree ON tree.conv_id = t.conv_id AND tree.turn = t.parent
+), place AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS position FROM tree
 )
-SELECT m.conv_id, m.turn, CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id, m.turn IS NULL ORDER BY m.turn, m.role, m.text) END AS position,
+SELECT m.conv_id, m.turn, place.position,
   CAST(coalesce(q.n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(best.n, 0) AS BIGINT) AS n_linked, CAST(coalesce(q.level, 0) AS BIGINT) AS max_level, best.to_conv AS reply_conv, best.to_turn AS reply_turn, sha256(b.body) AS body_sha256
-FROM m JOIN bodies b USING (rid) LEFT JOIN q USING (rid) LEFT JOIN best USING (rid)
+FROM m JOIN bodies b USING (rid) LEFT JOIN q USING (rid) LEFT JOIN best USING (rid) LEFT JOIN place ON place.conv_id = m.conv_id AND place.turn = m.turn
 """

@@ -450,18 +450,59 @@ def test_quotation(spark):
     assert see(1, 3) == (0, 0, 0, None, None, "") and see(1, 4)[:5] == (1, 0, 1, None, None) and see(1, 4)[5] == "ok > not a quote"
     assert see(2, 0)[3:5] == (1, 1) and see(2, 1)[3:5] == (2, 0) and see(None, 0)[:2] == (1, 0)
     assert [got[1, t].position for t in range(5)] == [1, 2, 3, 4, 5] and got[None, 0].position is None
-    assert sorted(r.position for r in quotation.conversations(m).filter("conv_id = 2").collect()) == [1, 2, 3]
+    assert sorted(r.position for r in quotation.conversations(m).filter("conv_id = 2").collect()) == [1, 2, 2]
+    same_as_sql(rows, quotation.digests(m))
+    assert quotation.conversations(m.limit(0)).count() == 0
+    plan = quotation.conversations(m)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def same_as_sql(rows, ours):
     import duckdb
     import pandas as pd
 
     c = duckdb.connect()
     c.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
-    sql, ours = c.sql(quotation.SQL).df(), quotation.digests(m).toPandas()
     flat = lambda d: sorted((tuple(None if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
-    assert flat(ours) == flat(sql)
-    assert quotation.conversations(m.limit(0)).count() == 0
-    plan = quotation.conversations(m)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    assert flat(ours.toPandas()) == flat(c.sql(quotation.SQL).df())
+
+
+def preorder(parents):
+    """Turns in reply order, by brute force."""
+    out, stack = [], sorted((t for t in parents if parents[t] is None), reverse=True)
+    while stack:
+        t = stack.pop()
+        out.append(t)
+        stack += sorted((c for c in parents if parents[c] == t), reverse=True)
+    return out
+
+
+def test_quotation_order_by_reply(spark):
+    """A reply comes right after what it answers, before later turns; long chains, many replies, siblings of several parts."""
+    say = lambda t: f"This is what turn {t} says."
+    r = random.Random(13)
+    parents = {1: {0: None, 1: None, 2: 0, 3: 1, 4: 0, 5: 2, 6: None, 7: 2}}
+    parents[2] = {t: (t - 1 if t else None) for t in range(90)}  # one chain
+    parents[3] = {t * 700: (0 if t else None) for t in range(40)}  # one turn that all others answer
+    parents[4] = {t: (None if r.random() < 0.3 or not t else r.randrange(t)) for t in range(120)}
+    parents[5] = {7: None}
+    rows = [(c, t, "u", (f"> {say(p)}\n" if p is not None else "") + say(t) + f" In {c}.\n{say(t)}") for c, ts in parents.items() for t, p in ts.items()]
+    rows += [(1, 3, "b", "an other message of this turn"), (None, 3, "u", "x"), (None, 3, "u", "x"), (6, None, "u", "y")]
+    r.shuffle(rows)
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as position", "2 as parent", "3 as step")
+    got = {(x.conv_id, x.turn): x.position for x in quotation.conversations(m).collect()}
+    for c, ts in parents.items():
+        assert sorted(ts, key=lambda t: got[c, t]) == preorder(ts), c
+        assert sorted(got[c, t] for t in ts) == list(range(1, len(ts) + 1))
+    assert preorder(parents[1]) == [0, 2, 5, 7, 4, 1, 3, 6] and got[None, 3] is None
+    same_as_sql(rows, quotation.digests(m))
+
+
+def test_quotation_of_a_very_long_text(spark):
+    rows = [(1, 0, "u", "word " * 60_000 + "\n" + "line\n" * 3000), (1, 1, "a", "> " + "word " * 60_000 + "\nyes"), (1, 2, "u", ">" * 500 + " line\nno")]
+    got = {x.turn: x for x in quotation.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].reply_turn, got[1].body, got[2].max_level, got[2].reply_turn) == (0, "yes", 500, 0)
+    assert [got[t].position for t in range(3)] == [1, 2, 3]
 
 
 def exact_spans(texts):
