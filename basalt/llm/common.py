@@ -7,6 +7,7 @@ import io
 import os
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,15 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _workspaces: dict[str, str] = {}
 _shipped: set[str] = set()
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR
+    """The cluster's shared folder, ``spark.checkpoint.dir``; our own only where that is unset and one machine does all the work."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+    return named or LOCAL_CHECKPOINT_DIR
 
 
 def workspace(spark: SparkSession) -> str:
@@ -64,7 +69,15 @@ def materialise(df: DataFrame, name: str, fewer_files: bool = False) -> DataFram
     if fewer_files:
         df = df.coalesce(max(48, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    if path := _paths.pop(df, None):
+        delete_path(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

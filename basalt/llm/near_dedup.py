@@ -7,13 +7,18 @@ to share fewer is below :data:`MISS`), so they share one of the values that
 come first when each sketch is put in order of rarity; only these values get
 inverted lists. Documents with equal sets are one class from the start.
 
-A list is compared in blocks: pairs of blocks of at most about :data:`BLOCK`
-sets are handled by one task each, so no list is gathered whole. Within a pair
-of blocks the overlap of the sketches up to the lower of their thresholds
-estimates similarity for all pairs at once (the union sketch); pairs that may
-be similar are verified on their full sets; only the links of a spanning
-forest leave the task. A pair that meets in several lists is compared in the
-first of them. Components are then found on the links.
+A list is compared in blocks of about :data:`BLOCK` sets, a task each, so no
+list is gathered whole. Within a block the overlap of the sketches up to the
+lower of their thresholds estimates similarity for all pairs at once (the union
+sketch); pairs that may be similar are verified on their full sets; only the
+links of a spanning forest leave the task. Of a list of several blocks some
+:data:`PIVOTS` sets are compared with the members of every block. That puts a
+cluster of near copies, however large, into one component by a number of
+comparisons that grows with its members alone. What a component holds need not
+be compared again: of a list, only the members outside its largest component
+are then compared with those of the other blocks. A pair that meets in several
+lists is compared in the first of them, or with a pivot. Components are then
+found on all links.
 
 Defined results: null or empty texts, or texts without words, have an empty
 set and are linked with nothing; with fewer words than a shingle the whole
@@ -36,8 +41,8 @@ from basalt.llm.common import Memory, materialise, small_batches
 from basalt.llm.components import components
 
 WORDS, PERCENT, K, MISS = 5, 85, 64, 1e-8
-#: Sets, and shingles, of a block of a list.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Sets, and shingles, of a block of a list; about how many sets of a list of several blocks are compared with all.
+BLOCK, BLOCK_SHINGLES, PIVOTS = 1024, 2_000_000, 32
 
 
 def need(percent: int, k: int = K, miss: float = MISS) -> float:
@@ -95,9 +100,9 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def _lists(classes: DataFrame, share: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(value, rep) of the prefixes and (value, blocks) of the lists to compare."""
+    """(value, rep) of the prefixes and (value, size, blocks) of the lists to compare."""
     values = classes.select(F.col("doc_id").alias("rep"), "n", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = materialise(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often", fewer_files=True)
     shared = values.join(often, "value").groupBy("rep", "n").agg(F.collect_set(F.struct("df", "value")).alias("vs"))
     least = F.ceil(F.least("n", F.lit(k)) * share)  # values found once come first, so what is left of the prefix is cut from the end
     prefix = F.slice(F.array_sort("vs"), 1, F.greatest(F.size("vs") - least + 1, F.lit(0)).cast("int"))
@@ -105,7 +110,8 @@ def _lists(classes: DataFrame, share: float, k: int) -> tuple[DataFrame, DataFra
     same = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")).filter("size > 1")
     lists = same.groupBy("size", "shingles", "x1", "x2").agg(F.min("value").alias("value"))  # lists of the same members count once
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    return rows.select("value", "rep"), lists.select("value", blocks.alias("blocks"))
+    lists = lists.select("value", "size", blocks.alias("blocks"))
+    return rows.select("value", "rep"), materialise(lists, "list-sizes", fewer_files=True)
 
 
 class _Forest:
@@ -154,14 +160,15 @@ def _overlaps(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> n
     return out
 
 
-def link_blocks(value: int, sets: list[np.ndarray], lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, share: float, k: int) -> list[tuple[int, int]]:
-    """Spanning links (row, row) among the similar pairs of ``left`` x ``right`` whose first common list is ``value``."""
+def link_blocks(value: int | None, sets: list[np.ndarray], lists: list[np.ndarray], names: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, share: float, k: int, forest: _Forest | None = None) -> list[tuple[int, int]]:
+    """Spanning links (row, row) among the similar pairs of ``left`` x ``right`` whose first common list is ``value``
+    (None: any); rows of the same name are one set."""
     n = np.array([len(s) for s in sets])
     small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
     ok = 100 * small >= percent * large
-    ok &= _overlaps([x[x < value] for x in lists], left, right) == 0
-    if left is right:
-        ok &= np.arange(len(left))[:, None] < np.arange(len(right))
+    if value is not None:
+        ok &= _overlaps([x[x < value] for x in lists], left, right) == 0
+    ok &= np.arange(len(left))[:, None] < np.arange(len(right)) if left is right else names[left][:, None] != names[right]
     if not ok.any():
         return []
     sk = [s[:k] for s in sets]
@@ -176,7 +183,7 @@ def link_blocks(value: int, sets: list[np.ndarray], lists: list[np.ndarray], lef
     pairs_cost = len(a) * 1e-5 + (n[left[a]] + n[right[b]]).sum() * 2e-8
     rows = np.unique(np.concatenate([left[a], right[b]]))
     total = _incidence([sets[r] for r in rows])[1] if len(a) > 1000 else 1 << 40
-    forest, out = _Forest(len(sets)), []
+    forest, out = forest or _Forest(len(sets)), []
     if pairs_cost > len(np.unique(a)) * len(np.unique(b)) * total / 2e10 + 0.01:
         at = np.zeros(len(sets), np.int64)
         at[rows] = np.arange(len(rows))
@@ -199,8 +206,8 @@ def link_blocks(value: int, sets: list[np.ndarray], lists: list[np.ndarray], lef
     return out
 
 
-def _links(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, share: float, k: int) -> DataFrame:
-    """a, b: links between classes."""
+def _roots(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, share: float, k: int) -> DataFrame:
+    """node, root: components of the classes."""
     members = materialise(rows.join(lists, "value"), "members", fewer_files=True)
     mine = members.groupBy("rep").agg(F.collect_list("value").alias("lists"))
     # Always a sort-merge join: the candidates grow with the documents, so they are never broadcast.
@@ -213,21 +220,48 @@ def _links(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, sha
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["rep", "lists", "hashes"])
 
     sets = materialise(texts.mapInArrow(full, "rep long, lists array<long>, hashes binary"), "sets")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = members.select("value", "rep", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("value", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def compare(key, t):
-        value, i, j = (x.as_py() for x in key)
-        block, reps = t["block"].to_numpy(), t["rep"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in t["hashes"]]
-        lists = [np.array(x, np.int64) for x in t["lists"].to_pylist()]
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        found = link_blocks(value, sets, lists, left, right, percent, share, k) if len(left) and len(right) else []
-        return pa.table({"a": pa.array([reps[x] for x, _ in found], pa.int64()), "b": pa.array([reps[y] for _, y in found], pa.int64())})
+    def read(t):
+        return t["rep"].to_numpy(), [np.frombuffer(x.as_buffer(), np.int64) for x in t["hashes"]], [np.array(x, np.int64) for x in t["lists"].to_pylist()]
+
+    def found(reps, links):
+        return pa.table({"a": pa.array([reps[x] for x, _ in links], pa.int64()), "b": pa.array([reps[y] for _, y in links], pa.int64())})
+
+    def inside(key, t):
+        """The members of a block with one another, and with the list's pivots."""
+        reps, full_sets, of = read(t)
+        pivot = t["pivot"].to_numpy(zero_copy_only=False)
+        own, pivots, forest = np.flatnonzero(~pivot), np.flatnonzero(pivot), _Forest(len(reps))
+        links = link_blocks(None, full_sets, of, reps, pivots, own, percent, share, k, forest) if len(pivots) and len(own) else []
+        return found(reps, links + (link_blocks(key[0].as_py(), full_sets, of, reps, own, own, percent, share, k, forest) if len(own) else []))
 
-    return placed.join(sets, "rep").groupBy("value", "i", "j").applyInArrow(compare, "a long, b long")
+    def across(key, t):
+        """Some members outside the largest component with the members of a block."""
+        reps, full_sets, of = read(t)
+        odd = t["odd"].to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(odd), np.flatnonzero(~odd)
+        return found(reps, link_blocks(key[0].as_py(), full_sets, of, reps, left, right, percent, share, k) if len(left) and len(right) else [])
+
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    hot = members.filter("blocks > 1")
+    pivots = hot.filter(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("size")) < PIVOTS).select("value", "rep", each("blocks").alias("block"), F.lit(True).alias("pivot"))
+    placed = members.select("value", "rep", block.alias("block"), F.lit(False).alias("pivot")).union(pivots)
+    roots = components(placed.join(sets, "rep").groupBy("value", "block").applyInArrow(inside, "a long, b long"))
+    if hot.isEmpty():
+        return roots
+    now = hot.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "size", "blocks", F.coalesce("root", "rep").alias("root"))
+    now = materialise(now, "hot-members", fewer_files=True)
+    most = now.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    most = materialise(most, "largest", fewer_files=True)
+    if most.isEmpty():
+        return roots
+    now = now.join(most, "value").withColumn("parts", F.ceil(F.col("others") * F.col("blocks") / F.col("size")).cast("int"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    odd = now.filter("root <> main").select("value", "rep", part.alias("i"), each("blocks").alias("j"), F.lit(True).alias("odd"))
+    rest = now.select("value", "rep", each("parts").alias("i"), block.alias("j"), F.lit(False).alias("odd"))
+    more = odd.union(rest).join(sets, "rep").groupBy("value", "i", "j").applyInArrow(across, "a long, b long")
+    return components(roots.union(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -240,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     ids = base.filter("s1 is not null and doc_id is not null")
     classes = ids.join(same, ["s1", "s2"], "left").filter("rep is null or rep = doc_id").select("doc_id", "n", "sketch")
     rows, lists = _lists(classes, share, k)
-    roots = components(_links(docs, rows, lists, percent, share, k))
+    roots = _roots(docs, rows, lists, percent, share, k)
     of_class = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("of_class"))
     out = base.drop("sketch").join(of_class, ["s1", "s2"], "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "root", "doc_id"))

@@ -204,6 +204,33 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(comp)) and 1 < len(set(comp)) < 90
 
 
+@pytest.mark.parametrize("pivots", [0, 2, 32])
+def test_near_duplicates_of_a_hot_list(spark, monkeypatch, pivots):
+    """Several clusters and single sets that share most of their text, over many blocks: every link of each, nothing else."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for cluster in range(6):
+        mine = [f"c{cluster}x{i}" for i in range(40 if cluster else 8)]
+        for _ in range((30, 14, 9, 3, 2, 1)[cluster]):
+            w = base + mine
+            for _ in range(r.randint(0, 2)):
+                w = [*w[:-4], f"e{r.randrange(10**6)}", *w[-4:]] if r.random() < 0.5 else [f"s{r.randrange(10**6)}", *w]
+            rows.append((len(rows) * 3 + 1, " ".join(w)))
+    r.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                lo, hi = sorted((comp[a], comp[b]))
+                comp = {i: lo if c == hi else c for i, c in comp.items()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == comp and len(set(comp.values())) >= 6
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (41, 50), (60, 60)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
