@@ -9,14 +9,19 @@ never occurs is left out. Documents are joined on these prefix shingles; a
 match must leave room for the window before and after it within the document
 (positions and lengths); then all of the window's words are compared.
 
-The benchmark is handled in blocks of at most :data:`BLOCK_CHARS` characters,
-so what is sent to the executors is bounded; each block is one pass over the
-documents in the same job, with no shuffle. Only shingle counts are shuffled.
+Items are cut into pieces of at most :data:`PIECE_WORDS` windows (neighbours
+overlap by a window less one word), and the pieces are handled in blocks of
+about :data:`BLOCK_CHARS` characters, one block after the other. So what the
+driver holds and sends to the executors is bounded, however large the benchmark
+or an item is; each block is one pass over the documents in the same job, with
+no shuffle. Only shingle counts are shuffled.
 
 Defined results: null and empty texts have no words and are clean; items that
 are null, empty or without words have no windows; an item with a null item_id
-marks words but is not listed; repeated items count once, repeated documents
-give a row each; empty tables give no hits; other columns are ignored.
+marks words but is not listed; repeated items count once; each row of a
+repeated document is judged by its own text, and so is a null doc_id; empty
+tables give no hits; other columns are ignored by ``mark`` and unchanged,
+whatever their names, in ``clean``.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.bpe import INF, PairTable
-from basalt.llm.common import small_batches
+from basalt.llm.common import materialise, small_batches
 
 WINDOW, SHINGLE = 10, 5
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS, PIECE_WORDS = 8 << 20, 1 << 16
 #: ASCII letters to lower case, digits kept, other ASCII to spaces; bytes above ASCII are kept.
 _MAP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -146,24 +151,31 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame):
-    """The items in blocks of bounded size."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
-    chars = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """The items in blocks of bounded size, one at a time."""
+
+    def pieces(batches):
+        for b in batches:
+            for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(text)
+                for i in range(0, max(1, len(w) - WINDOW + 1) if w else 0, PIECE_WORDS):
+                    yield pa.RecordBatch.from_arrays([pa.array([item_id], pa.string()), pa.array([b" ".join(w[i : i + PIECE_WORDS + WINDOW - 1]).decode()], pa.string())], ["item_id", "text"])
+
+    cut = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").mapInArrow(pieces, "item_id string, text string")
+    cut = materialise(cut, "pieces", fewer_files=True)
+    chars = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
     for k in range(n):
-        part = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else b
+        part = cut.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else cut
         yield Block([(r[0], r[1]) for r in part.distinct().collect()])
 
 
-def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, hit_words (array<int>, positions), items (array<string>) of each document."""
+def _indexed(docs: DataFrame, benchmark: DataFrame):
+    """Each block and its index of windows, sent to the executors."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select("doc_id", "text")
-    schema = "doc_id long, text string, n_words long, hit_words array<int>, items array<string>"
-    marked = base.selectExpr("doc_id", "text", "0L as n_words", "array_repeat(0, 0) as hit_words", "array_repeat('', 0) as items")
-    blocks = list(_blocks(benchmark)) or [Block([])]
-    for block in blocks:
+    for block in _blocks(benchmark):
+        if not block.windows:
+            continue
         sent = spark.sparkContext.broadcast(block)
 
         def count(batches, sent=sent):
@@ -176,10 +188,17 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["node", "n"])
 
         # One row for each shingle of this bounded block comes back.
-        rows = base.select("text").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect() if block.windows else []
-        index = spark.sparkContext.broadcast(block.index({r[0]: r[1] for r in rows}))
+        rows = docs.select("text").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
+        yield sent, spark.sparkContext.broadcast(block.index({r[0]: r[1] for r in rows}))
+
 
-        def join(batches, sent=sent, index=index):
+def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, hit_words (array<int>, positions), items (array<string>) of each document."""
+    base = docs.select("doc_id", "text")
+    schema = "doc_id long, text string, n_words long, hit_words array<int>, items array<string>"
+
+    def joined(sent, index):
+        def join(batches):
             for b in batches:
                 ids, starts = sent.value.read(b.column(1).to_pylist())
                 begin, window = index.value.hits(sent.value, ids, starts)
@@ -198,14 +217,39 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 items = [sorted(found[d].union(old_items[d] or [])) if d in found else old_items[d] for d in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(starts) - 1, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
 
-        marked = marked.mapInArrow(join, schema)
+        return join
+
+    marked = base.selectExpr("doc_id", "text", "0L as n_words", "array_repeat(0, 0) as hit_words", "array_repeat('', 0) as items")
+    blocks = 0
+    for sent, index in _indexed(base, benchmark):
+        marked, blocks = marked.mapInArrow(joined(sent, index), schema), blocks + 1
+    if not blocks:
+        none = base.sparkSession.sparkContext.broadcast(Block([]))
+        marked = marked.mapInArrow(joined(none, base.sparkSession.sparkContext.broadcast(Block([]).index({}))), schema)
     return marked.drop("text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark window, unchanged. Those with a null doc_id are kept."""
-    bad = mark(docs, benchmark).filter(F.size("hit_words") > 0).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows whose text holds no benchmark window, unchanged; in one pass without a shuffle."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    out = docs.toDF(*names)
+
+    def without(sent, index):
+        def keep(batches):
+            for b in batches:
+                ids, starts = sent.value.read(b.column(at).to_pylist())
+                begin, _ = index.value.hits(sent.value, ids, starts)
+                stay = np.ones(b.num_rows, bool)
+                stay[np.searchsorted(starts, begin, "right") - 1] = False
+                yield b.filter(pa.array(stay))
+
+        return keep
+
+    schema = out.schema
+    for sent, index in _indexed(docs.select("text"), benchmark):
+        out = out.mapInArrow(without(sent, index), schema)
+    return out.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,10 +116,12 @@ def dropped(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         batch = batch + (F.col("doc_id") > c).cast("int")
     lines = materialise(keyed_lines(docs).withColumn("batch", batch), "lines")
     store = LineStore(spark)
-    for k in range(len(set(cuts)) + 1):
-        store.add(lines.filter(F.col("batch") == k))
-    shared = materialise(store.shared(), "shared-lines", fewer_files=True)
-    store.close()
+    try:
+        for k in range(len(set(cuts)) + 1):
+            store.add(lines.filter(F.col("batch") == k))
+        shared = materialise(store.shared(), "shared-lines", fewer_files=True)
+    finally:  # the runs are tables of the session's catalog
+        store.close()
     lost = lines.join(shared, ["h1", "h2"]).filter(F.col("doc_id") != F.col("owner"))
     return lost.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
 

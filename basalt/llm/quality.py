@@ -3,14 +3,15 @@
 The classifier is a logistic regression over hashed word and character
 n-grams: words and pairs of words, and n-grams of 3 and 4 bytes, each family
 scaled to sum to one. It is fitted on a bounded sample of labelled documents,
-at most ``per_class`` of each quality chosen by a hash of doc_id; a fifth of
+at most ``per_class`` of each quality, those with the least hash of doc_id; a fifth of
 the sample is held out to calibrate probabilities (Platt's method), with the
 classes weighted by their numbers among all labels. Every text is scored
 whole, in Arrow batches, against a fixed threshold.
 
 Defined results: a null or empty text has no words and fails the base rules;
-labels with null doc_id or quality are not used, and of repeated labels each
-counts; with fewer than two classes labelled the classifier passes every
+labels with null doc_id or quality are not used, repeated labels count once,
+and those that contradict each other not at all; of repeated documents the
+least text is fitted on; with fewer than two classes labelled the classifier passes every
 document with probability 1; repeated rows give repeated rows; other columns
 are ignored.
 """
@@ -138,16 +139,16 @@ def _train(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
-    """Fit on at most about ``per_class`` labelled documents of each quality."""
+    """Fit on at most ``per_class`` labelled documents of each quality."""
     spark = docs.sparkSession
     small_batches(spark)
-    lab = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)")
+    lab = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    lab = lab.filter("quality = other").select("doc_id", F.col("quality").cast("int").alias("quality"))
     prior = {0: 0, 1: 0} | {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
     if not all(prior.values()):
         return Classifier()
-    share = F.when(F.col("quality") == 0, min(1.0, per_class / prior[0])).otherwise(min(1.0, per_class / prior[1]))
-    chosen = lab.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(5)) == 0)
+    first = lambda q: lab.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    chosen = first(0).union(first(1)).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(5)) == 0)
 
     def features(batches):
         memory = Words()
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), b.column(1), b.column(2)], ["cols", "vals", "quality", "fold"])
 
     # The chosen labels are bounded by 2 * per_class rows, so they are sent to every executor.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "fold")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "fold").agg(F.min("text").alias("text")).select("text", "quality", "fold")
     got = rows.mapInArrow(features, "cols binary, vals binary, quality int, fold boolean").collect()
     got.sort(key=lambda r: (r[2], bytes(r[0]), bytes(r[1])))
     if not got:

@@ -31,7 +31,6 @@ as the library does by itself.
 from __future__ import annotations
 
 import hashlib
-import json
 import zlib
 from functools import lru_cache
 
@@ -48,7 +47,7 @@ from basalt.llm.units import UnitTable
 #: Ids in a chunk: least, usual and most; ids that the rolling hash sees.
 CHUNK_MIN, CHUNK_BITS, CHUNK_MAX, WINDOW = 256, 10, 4096, 8
 #: Chunk names that a task remembers to have sent; those it forgets may be sent again.
-CACHE = 300_000
+CACHE = 100_000
 INDEX = "kind string, segment int, doc_id long, at long, n_tokens long, chunks binary, root binary"
 INDEX_NAMES = ["kind", "segment", "doc_id", "at", "n_tokens", "chunks", "root"]
 STORE = "segments long, n_docs long, n_tokens long, id_bytes int, root binary"
@@ -64,12 +63,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(data.decode())
-        added = json.loads(data).get("added_tokens") or []
+        added = self.tok.get_added_tokens_decoder()
         #: Whether texts may be cut into units: no added token takes in white space or looks at what is beside it.
-        self.by_unit = not any(set(t["content"]) & set(" \t\n\r") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.by_unit = not any(set(t.content) & set(" \t\n\r") or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.wide = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.leads = np.zeros(max(self.tok.get_vocab().values(), default=-1) + 2, bool)  # ids whose bytes begin with a space
+        self.leads = np.zeros(max([-1, *vocab.values(), *added]) + 2, bool)  # ids whose bytes begin with a space
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.table = UnitTable(self.encode, self.wide)
 
@@ -78,19 +77,21 @@ class Encoder:
         crosses that space, so the ids are parted again where one begins with a space."""
         out: list[bytes | None] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace() and " " not in t[1:]]
+        raw_of, size = lambda ids: ids.astype(self.wide).tobytes(), np.dtype(self.wide).itemsize
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for g, e in zip(groups, self.tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int64)
-            at = np.flatnonzero(self.leads[ids])
-            if len(at) != len(g) or at[0]:
-                continue  # encoded alone below
-            raw, w = ids.astype(self.wide).tobytes(), np.dtype(self.wide).itemsize
-            stops = [*(at * w).tolist(), len(raw)]
-            for i, a, b in zip(g, stops, stops[1:], strict=False):
-                out[i] = raw[a:b]
+        for some in (groups[i : i + 8] for i in range(0, len(groups), 8)):  # the library's results are large
+            for g, e in zip(some, self.tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int64)
+                at = np.flatnonzero(self.leads[ids])
+                if len(at) != len(g) or at[0]:
+                    continue  # encoded alone below
+                raw, stops = raw_of(ids), [*(at * size).tolist(), len(ids) * size]
+                for i, a, b in zip(g, stops, stops[1:], strict=False):
+                    out[i] = raw[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.wide).tobytes()
+        for some in (rest[i : i + 250] for i in range(0, len(rest), 250)):
+            for i, e in zip(some, self.tok.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, self.wide).tobytes()
         return out
 
     def documents(self, col: pa.Array, end: int):
@@ -213,7 +214,9 @@ def write(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = 0) -> N
             yield b.filter(pc.or_(pc.equal(b.column(0), "recipe"), pa.array(keep, pa.bool_())))
 
     # What a name's copies need is the same reducer; recipes travel along and stay spread out.
-    rows = docs.select("doc_id", "text").mapInArrow(split, ROW).repartition("name").sortWithinPartitions("name").mapInArrow(once, ROW)
+    rows = docs.select("doc_id", "text").mapInArrow(split, ROW).repartition("name").sortWithinPartitions("name")
+    files = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # names of several partitions differ, so they may follow one another
+    rows = rows.coalesce(files).mapInArrow(once, ROW)
     rows.write.option("compression", "zstd").parquet(f"{root}/staged")
     staged = spark.read.schema(ROW).parquet(f"{root}/staged")
     recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", "chunks")

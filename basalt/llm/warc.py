@@ -1,16 +1,18 @@
 """WARC archives with revisit records.
 
 Pages become WARC/1.1 records. Their headers alone (page_id, address, payload
-digest and length) are shuffled by payload digest to find, among equal
-payloads, the record with the largest page_id; the others become revisits of
-it. The archives are then written with fresh headers: a response carries the
+digest and length) are written once and shuffled by payload digest to find,
+among equal payloads, the record with the largest page_id; the others become
+revisits of it. The archives are then written with fresh headers: a response carries the
 HTTP header and the payload, a revisit only the HTTP header and a reference.
 Payloads are moved at most once, by page_id, so a payload that a third of all
 pages share is never gathered anywhere.
 
 Files are written by Spark's own text sink (a record's end, two line breaks,
 is the separator between rows), so they go through its commit protocol to any
-file system, and are read record by record from a stream.
+file system, and are read record by record from a stream. A file holds about
+:data:`FILE_BYTES` of payload, and never more than a gigabyte: payloads of over
+:data:`LARGE` bytes have a file each, others at most 1000 in one.
 
 Defined results: a null html is an empty payload; a null url is written as
 ``about:blank``; control characters and spaces in an address are percent-encoded;
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import new_path, small_batches
+from basalt.llm.common import materialise, new_path, small_batches
 
 END = "\r\n\r\n"
-#: Payload bytes of one file, about.
-FILE_BYTES = 16 << 20
+#: Payload bytes of one file, about; payloads that have a file of their own.
+FILE_BYTES, LARGE = 16 << 20, 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROW = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -51,19 +53,30 @@ def payload_digest(payload):
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest."""
+    """page_id, url, html, payload_bytes, key (64 bits of the payload)."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    return p.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), payload_digest(F.col("html")).alias("payload_digest"))
+    return p.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.xxhash64("html").alias("key"))
 
 
 def resolve(recs: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``recs`` with refers_to and refers_url, null for responses."""
-    heads = recs.select("page_id", "url", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= min_bytes)
-    best = heads.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"))
-    again = heads.join(best.filter("n > 1").drop("n"), "payload_digest").filter("refers_to is not null and not (page_id <=> refers_to)")
-    again = again.select("page_id", "payload_digest", "refers_to", "refers_url").distinct()
-    mine = again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to", "refers_url")
-    return recs.join(mine, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_page", "_digest")
+    """``recs`` with payload_digest, refers_to and refers_url, the latter null for responses. A payload is hashed once."""
+    heads = materialise(recs.select("page_id", "url", "payload_bytes", "key", payload_digest(F.col("html")).alias("payload_digest")), "heads", fewer_files=True)
+    equal = heads.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+    best = equal.agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"))
+    best = materialise(best.filter("n > 1 and refers_to is not null").drop("n"), "originals", fewer_files=True)
+    again = ~F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("payload_bytes") >= min_bytes)
+    to = lambda c: F.when(again, F.col(c)).alias(c)
+    mine = heads.select("page_id", "payload_bytes", "key", "payload_digest").distinct().join(best, "payload_digest", "left")
+    mine = mine.select(F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("key").alias("_key"), "payload_digest", to("refers_to"), to("refers_url"))
+    mine = materialise(mine, "resolved", fewer_files=True)
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("key") == F.col("_key")) & (F.col("payload_bytes") == F.col("_bytes"))
+    return recs.join(mine, same).drop("_page", "_key", "_bytes", "key")
+
+
+def sizes(pages: DataFrame) -> tuple[int, int, int]:
+    """Rows, bytes of payload, and rows of over :data:`LARGE` bytes, for :func:`write`."""
+    n = F.coalesce(F.octet_length("html"), F.lit(0))
+    return tuple(x or 0 for x in pages.agg(F.count(F.lit(1)), F.sum(n), F.count(F.when(n > LARGE, 1))).first())
 
 
 def _address(url):
@@ -76,8 +89,9 @@ def _uuid(*cols):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write(resolved: DataFrame, path: str, payload_bytes: int | None = None) -> None:
-    """Write the archives: one record for each row. ``payload_bytes``: how much the rows hold, for the number of files."""
+def write(resolved: DataFrame, path: str, size: tuple[int, int, int] | None = None) -> None:
+    """Write the archives: one record for each row. ``size``: the :func:`sizes` of the pages, else those of the rows are taken."""
+    rows, held, large = size or sizes(resolved)
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     body = F.when(revisit, http).otherwise(F.concat(http, "html"))
@@ -94,10 +108,14 @@ def write(resolved: DataFrame, path: str, payload_bytes: int | None = None) -> N
         line("Content-Length", F.octet_length("body").cast("string")),
         F.lit(END), F.col("body"),
     )
-    rows = resolved.withColumn("body", body).select(head.alias("value"))
-    if payload_bytes is not None:  # files of even size, however many partitions the rows come in
-        rows = rows.coalesce(max(1, -(-payload_bytes // FILE_BYTES)))
-    rows.write.option("lineSep", END).option("compression", "gzip").text(path)
+    def save(part: DataFrame, files: int, most: int) -> None:
+        lines = part.withColumn("body", body).select(head.alias("value")).coalesce(max(1, files))  # files of even size, however many partitions the rows come in
+        lines.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+    small = resolved.filter(F.col("payload_bytes") <= LARGE) if large else resolved
+    save(small, -(-held // FILE_BYTES), min(1000, max(1, FILE_BYTES * rows // max(1, held))))
+    if large:
+        save(resolved.filter(F.col("payload_bytes") > LARGE), large, 1)
 
 
 def parse(stream):
@@ -165,7 +183,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: all pages are archived in the shared folder, then the archives are read."""
     path = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    write(resolve(records(pages)), path, pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0)
+    write(resolve(records(pages)), path, sizes(pages))
     return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

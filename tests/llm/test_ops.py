@@ -296,7 +296,7 @@ def test_suffix_dedup(docs, none):
 def test_decontaminate(spark, docs, none):
     texts = dict(ROWS)
     w = decontaminate.words_of(texts[20])
-    item = lambda a, b: b" ".join(w[a:b]).decode().upper()
+    item = lambda a, b: b" ".join(w[a:b]).upper().decode()
     items = [(1, item(10, 40)), (2, item(35, 47)), (10, "one TWO"), (3, "not there at all in any of these texts here today"), (4, None), (5, ""), (6, "!!"), (7, item(100, 109)), (7, item(100, 109)), (None, item(200, 212)), (8, "two"), (9, item(4990, 5000))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumnRenamed("x", "x")
     windows = []
@@ -317,10 +317,16 @@ def test_decontaminate(spark, docs, none):
         decontaminate.BLOCK_CHARS = size
         got = [(r.doc_id, r.n_words, sorted(r.hit_words), sorted(r["items"])) for r in decontaminate.mark(docs, bench).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
-    decontaminate.BLOCK_CHARS = 8 << 20
-    assert decontaminate.mark(none, bench).count() == 0
+    decontaminate.BLOCK_CHARS, decontaminate.PIECE_WORDS = 200, 7  # items in pieces
+    got = [(r.doc_id, r.n_words, sorted(r.hit_words), sorted(r["items"])) for r in decontaminate.mark(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    decontaminate.BLOCK_CHARS, decontaminate.PIECE_WORDS = 8 << 20, 1 << 16
+    assert decontaminate.mark(none, bench).count() == 0 and decontaminate.clean(none, bench).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
     assert {tuple(r.hit_words) for r in decontaminate.mark(docs, bench.limit(0)).collect()} == {()}
-    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i, _, h, _ in want if not h}
+    other = spark.createDataFrame([(500, texts[20]), (500, "a clean text"), (None, texts[20])], "doc_id long, text string").selectExpr("doc_id", "text", "1 as n_words", "'x' as items", "array(2) as hit_words")
+    assert [tuple(r) for r in decontaminate.clean(other, bench).collect()] == [(500, "a clean text", 1, "x", [2])]
+    assert sorted(((r.doc_id, r.text) for r in decontaminate.clean(docs, bench).collect()), key=str) == sorted(((i, t) for (i, t), (_, _, h, _) in zip(ROWS, want, strict=True) if not h), key=str)
 
 
 # -- language, quality -------------------------------------------------------
@@ -442,6 +448,57 @@ def test_quality(spark, docs, none):
 # -- archives, conversations -------------------------------------------------
 
 
+def test_quality_by_brute_force(spark, docs):
+    """Probability and verdict of each document, scored one feature at a time from the model's weights; contradicting and repeated labels."""
+    import math
+
+    r = random.Random(14)
+    good, bad = [(2000 + i, prose(60, r)) for i in range(60)], [(3000 + i, " ".join(f"{w}#" for w in prose(60, r).split())) for i in range(40)]
+    train = spark.createDataFrame(good + bad + good[:3], "doc_id long, text string")
+    rows = [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad]
+    label = lambda x: spark.createDataFrame(x, "doc_id long, quality int, toxic int")
+    model = quality.fit(train, label(rows + rows[:20] + [(2005, 0, 0), (3005, 1, 0)]))
+    again = quality.fit(train, label([x for x in rows if x[0] not in (2005, 3005)]))
+    assert (model.weights == again.weights).all() and (model.bias, model.slope, model.offset) == (again.bias, again.slope, again.offset)
+    few = quality.fit(train, label(rows), per_class=10)
+    assert not (few.weights == model.weights).all()
+    slot = lambda h, seed: ((h + seed) * 0x9E3779B97F4A7C15 % 2**64) >> 48
+
+    def brute(text):
+        raw = (text or "").encode()
+        h = [zlib.crc32(w) | zlib.adler32(w) << 32 for w in raw.split()]
+        words = [slot(x, 1) for x in h] + [slot((a * 31 + b) % 2**64, 2) for a, b in zip(h, h[1:], strict=False)]
+        chars = [slot(int.from_bytes(raw[i : i + 3], "little"), 3) for i in range(len(raw) - 2)] + [slot(int.from_bytes(raw[i : i + 4], "little"), 4) for i in range(len(raw) - 3)]
+        z = model.bias + sum(sum(float(model.weights[k][f]) for f in fam) / len(fam) for k, fam in enumerate((words, chars)) if fam)
+        return 1 / (1 + math.exp(-max(-500, min(500, model.slope * z + model.offset))))
+
+    texts = dict(good + bad) | {i: t for i, t in ROWS if i is not None and i != 20}
+    for x in quality.score(train.union(docs.select("doc_id", "text")).filter("doc_id <> 20"), model).collect():
+        p = brute(texts[x.doc_id])
+        assert abs(x.probability - p) < 1e-4, x
+        if abs(p - 0.5) > 1e-3:
+            assert x.kept == (p >= 0.5 and not x.base_failed)
+
+
+def test_warc_files_are_bounded(spark, monkeypatch):
+    """Many repeats and some large payloads: no file holds more records than it should; all is read back."""
+    import glob
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "LARGE", 5_000)
+    rows = [(i, f"u{i}", "same page" if i % 3 else f"{i} " * (400 if i % 50 else 4000)) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.write(warc.resolve(warc.records(pages.coalesce(1))), path, warc.sizes(pages))
+    held = sum(len(h) for _, _, h in rows)
+    most = max(1, 20_000 * 600 // held)
+    for f in glob.glob(path.removeprefix("file://") + "/*.gz"):
+        blocks = [b for _, b in warc.parse(gzip.open(f))]
+        assert len(blocks) <= most and (len(blocks) == 1 or max(map(len, blocks)) < 5_200)
+    assert {(r.page_id, bytes(r.payload).decode()) for r in warc.restore(warc.read(spark, path)).collect()} == {(i, h) for i, _, h in rows}
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ b\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (5, "u5", "<p>é</p>"), (3, "u3", None), (4, "u4", ""), (None, "n", "<p>é</p>"), (7, "u7", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (7, "u7", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (8, "u8", "x" * 300_000), (9, "u9", "<p>É</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as payload", "'x' as refers_to")
