@@ -1,7 +1,14 @@
 """Corpus pipeline: from raw documents to token ids, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir) that works on all rows its
-predecessor kept. All but the last return the columns of ``documents``.
+predecessor kept. All but the last return the columns of ``docs`` as they came,
+whatever other columns there are and whatever their names, but for ``text`` and
+``n_chars`` where a stage changes the text.
+
+Defined results, beside those of each stage: an empty table stays empty; rows
+that repeat a doc_id are judged one by one where a rule looks at a text alone
+(language, benchmark), and together where it looks at several documents (lines,
+near copies); a row with a null doc_id is never a copy of another one.
 """
 
 from __future__ import annotations
@@ -14,30 +21,33 @@ from basalt.llm.common import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go: null and empty texts, texts without a letter, and texts that no
+    learned language explains. Where no document is labelled, all stay. Needs doc_id, text and lang."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; the document stays, with the rest of its text."""
-    kept = line_dedup.dedup(docs)
+    """Lines that an earlier document has go; the document stays, with the rest of its text, which may be empty.
+    A text that loses nothing is unchanged, null included; n_chars, where there is one, follows a changed text."""
+    kept = line_dedup.dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     changed = F.col("n_dropped") > 0
-    new = {"text": F.col("kept"), "n_chars": F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = {"text": F.col("kept"), "n_chars": F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return kept.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five words, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays, the one with the least doc_id: five words, a similarity
+    of 0.8 or more. Texts without words and null doc_ids stay; all rows of a doc_id stay or go together."""
     return near_dedup.deduplicated(docs, 80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    """Rows whose text holds a benchmark window go; null texts stay. With an empty benchmark all stay."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 of every document that is left."""
+    """doc_id, n_tokens, ids, decoded_sha256 of every document that is left; a null text is an empty one."""
     import public_tokenizers as P
 
     rows = bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
@@ -46,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("leaks", leaks), ("tokens", tokens)]
 
-#: SQL cannot express the first and the last stage; tests compare them with brute force.
+#: SQL cannot express the first and the last stage; tests compare all with brute force.
 ORACLE_SQL = None
 
 
