@@ -1,14 +1,20 @@
-"""A snapshot of adjusted bars that knows whether it is fresh."""
+"""A snapshot of adjusted bars that knows whether it is fresh.
+
+Each refresh writes new folders and then replaces the ledger, so those who
+read the old snapshot are not disturbed; the folders of the one before stay
+until the next refresh.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.sources.raw_zone import _replace
+from basalt.sources import store
 
 VERSION = "adjust-1"
 POLICIES = ("split", "split_dividend")
@@ -21,34 +27,33 @@ def watermark(market, generation: str = "none") -> str:
     return f"gen:{generation}|ca:{a[0]}:{a[1] or ''}|bars:{b[0]}:{b[1] or ''}|{VERSION}"
 
 
-def _ledger(root: str) -> dict:
-    try:
-        with open(os.path.join(root, "ledger.json")) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return {}
+def _ledger(spark: SparkSession, root: str) -> dict:
+    return json.loads(store.read(spark, f"{root}/ledger.json") or b"{}")
 
 
-def is_fresh(root: str, mark: str) -> bool:
+def is_fresh(spark: SparkSession, root: str, mark: str) -> bool:
     """Whether every policy's snapshot was built from ``mark``."""
-    ledger = _ledger(root)
+    ledger = _ledger(spark, root)
     return all(ledger.get(p, {}).get("watermark") == mark for p in POLICIES)
 
 
 def refresh(market, root: str, generation: str = "none", force: bool = False) -> bool:
     """Rebuild the snapshot unless it is fresh; whether it was rebuilt. The ledger is written last."""
-    mark = watermark(market, generation)
-    if not force and is_fresh(root, mark):
+    spark, mark = market.bars_daily.sparkSession, watermark(market, generation)
+    if not force and is_fresh(spark, root, mark):
         return False
-    ledger = {}
+    old = {entry["path"] for entry in _ledger(spark, root).values()}
+    ledger, name = {}, f"{hashlib.sha256(mark.encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}"
     for p in POLICIES:
-        name = f"{p}-{abs(hash(mark)) % 10**8}"
-        market.adjusted(p).write.mode("overwrite").parquet(os.path.join(root, name))
-        ledger[p] = {"watermark": mark, "path": name, "version": VERSION}
-    _replace(os.path.join(root, "ledger.json"), json.dumps(ledger).encode())
+        market.adjusted(p).write.parquet(f"{root}/{p}-{name}")
+        ledger[p] = {"watermark": mark, "path": f"{p}-{name}", "version": VERSION}
+    store.write(spark, f"{root}/ledger.json", json.dumps(ledger).encode())
+    for folder in store.folders(spark, root):
+        if folder not in old and not folder.endswith(name):
+            store.delete(spark, f"{root}/{folder}")
     return True
 
 
 def read(spark: SparkSession, root: str, policy: str, mark: str) -> DataFrame | None:
     """The snapshot of a policy if it is fresh."""
-    return spark.read.parquet(os.path.join(root, _ledger(root)[policy]["path"])) if is_fresh(root, mark) else None
+    return spark.read.parquet(f"{root}/{_ledger(spark, root)[policy]['path']}") if is_fresh(spark, root, mark) else None

@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.sources import schemas
-
-
-def exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether any file matches, asked of Spark's own file system layer."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+from basalt.sources.store import exists
 
 
 def empty(spark: SparkSession, schema) -> DataFrame:
@@ -103,6 +97,14 @@ def date_range(spark: SparkSession, first, last) -> DataFrame:
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """kind, name of the session's tables, views and own functions."""
-    tables = [("view" if t.isTemporary else "table", t.name) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(sorted(tables), "kind string, name string")
+    """kind, name of the session's tables, views and temporary functions."""
+    named = [("view" if t.isTemporary else "table", t.name) for t in spark.catalog.listTables()]
+    named += [("function", f.name) for f in spark.catalog.listFunctions() if f.isTemporary and not _built_in(spark, f.name)]
+    return spark.createDataFrame(sorted(named), "kind string, name string")
+
+
+def _built_in(spark: SparkSession, name: str) -> bool:
+    """Whether the function comes with Spark."""
+    registry = spark._jvm.org.apache.spark.sql.catalyst.analysis
+    known = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    return registry.FunctionRegistry.builtin().functionExists(known) or registry.TableFunctionRegistry.builtin().functionExists(known)

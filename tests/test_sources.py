@@ -3,6 +3,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.functions import dates, text
 from basalt.operators import cache, facts, facts_cn
@@ -67,7 +68,12 @@ def test_minutes_round_trip(spark, tmp_path):
     put(tmp_path / "raw/date=2025-01-02/m.csv.gz", rows)
     parsed = readers.minute_csv(spark, f"{tmp_path}/raw/*/*.csv.gz")
     assert raw_zone.write_minutes(parsed, f"{tmp_path}/min") == 2 and raw_zone.write_minutes(parsed, f"{tmp_path}/min") == 2
-    back = readers.minutes(spark, f"{tmp_path}/min")
+    again = parsed.withColumn("close", F.lit(9.0))
+    assert raw_zone.write_minutes(again, f"{tmp_path}/min", force=False) == 0  # the date is there
+    assert raw_zone.write_minutes(again.withColumn("market_date", F.lit(D(2025, 1, 3))), f"{tmp_path}/min", force=False) == 2
+    assert raw_zone.write_minutes(parsed.limit(0), f"{tmp_path}/min") == 0 and readers.minutes(spark, f"{tmp_path}/min").count() == 4
+    assert {p.name for p in (tmp_path / "min").iterdir()} == {"market_date=2025-01-02", "market_date=2025-01-03"}
+    back = readers.minutes(spark, f"{tmp_path}/min").filter("market_date = date'2025-01-02'")
     assert back.count() == 2 and back.filter("market_date = date'2025-01-02'").count() == 2
     sym = spark.createDataFrame([("us_stocks", "AAA", "I", None, None)], "market_scope string, symbol string, instrument_id string, valid_from date, valid_to date")
     b = facts.bars_minute(back, sym)
@@ -76,6 +82,27 @@ def test_minutes_round_trip(spark, tmp_path):
     assert readers.minutes(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_minutes_stay_as_they_were_when_rows_are_lost(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    one = spark.createDataFrame([(D(2025, 1, 2), "A", dt.datetime(2025, 1, 2, 15), 1.0, 1.0, 1.0, 1.0, 1.0, 1)], schemas.MINUTES)
+    raw_zone.write_minutes(one, f"{tmp_path}/min")
+    read = DataFrameReader.parquet
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameReader, "parquet", lambda self, path: read(self, path).limit(1))
+        with pytest.raises(ValueError, match="1 rows were written, not 2"):
+            raw_zone.write_minutes(one.withColumn("close", F.lit(5.0)).union(one), f"{tmp_path}/min")
+    assert [r.close for r in readers.minutes(spark, f"{tmp_path}/min").collect()] == [1.0]
+    assert not list((tmp_path / "min").glob("_staged*"))
+
+
+def test_catalog(spark):
+    spark.range(1).createOrReplaceTempView("my_view")
+    spark.sql("create or replace temporary function my_fn(x int) returns int return x + 1")
+    assert {("view", "my_view"), ("function", "my_fn")} <= {tuple(r) for r in readers.catalog(spark).collect()}
+    assert readers.catalog(spark).filter("name = 'abs'").count() == 0
+
+
 def test_calendar(spark, tmp_path):
     put(tmp_path / "h/snapshot_date=2025-01-01/upcoming.json.gz", [{"exchange": "NYSE", "name": "x", "date": "2025-07-03", "status": "early-close", "open": "2025-07-03T13:30:00Z", "close": "2025-07-03T17:00:00Z"}, {"exchange": "NYSE", "date": "2025-07-04", "status": "closed"}, {"exchange": "NYSE", "date": "2025-01-02", "status": "closed"}])
     fetches = spark.createDataFrame([("polygon", "grouped_daily", D(2025, 1, 2), 5), ("polygon", "grouped_daily", D(2025, 1, 1), 0)], "source_id string, dataset string, market_date date, row_count int")
@@ -114,16 +141,16 @@ def test_cn_facts(spark, tmp_path):
 
 def test_raw_zone(spark, tmp_path):
     root = str(tmp_path / "raw")
-    a = raw_zone.land(root, "x/date=2025-01-02/p.json", b"{}", source_id="polygon", dataset="grouped_daily", market_date="2025-01-02", row_count=0)
-    raw_zone.land(root, "y/q.json", b"{}", source_id="s", dataset="d")
+    a = raw_zone.land(spark, root, "x/date=2025-01-02/p.json", b"{}", source_id="polygon", dataset="grouped_daily", market_date="2025-01-02", row_count=0)
+    raw_zone.land(spark, root, "y/q.json", b"{}", source_id="s", dataset="d")
     index = readers.manifests(spark, root)
     assert {(r.file_path, r.row_count) for r in index.collect()} == {(a["file_path"], 0), ("y/q.json.gz", None)}
-    assert raw_zone.clear(root, "x/") == 1 and readers.manifests(spark, root).count() == 1
+    assert raw_zone.clear(spark, root, "x/") == 1 and readers.manifests(spark, root).count() == 1
     g = str(tmp_path / "facts")
     one = raw_zone.write_generation({"t": spark.range(3)}, g)
     two = raw_zone.write_generation({"t": spark.range(5)}, g)
     assert one != two and raw_zone.read_generation(spark, g, "t").count() == 5
-    raw_zone.drop_generations(g, 1)
+    raw_zone.drop_generations(spark, g, 1)
     assert raw_zone.read_generation(spark, g, "t").count() == 5
 
 
@@ -144,7 +171,10 @@ def test_cache_freshness(spark, tmp_path):
     assert cache.refresh(m, root) and not cache.refresh(m, root)
     mark = cache.watermark(m)
     assert cache.read(spark, root, "split", mark).exceptAll(m.adjusted("split")).isEmpty()
-    assert not cache.is_fresh(root, cache.watermark(m, "other")) and cache.refresh(m, root, "other")
+    assert not cache.is_fresh(spark, root, cache.watermark(m, "other")) and cache.refresh(m, root, "other")
+    old = cache.read(spark, root, "split", cache.watermark(m, "other"))
+    assert cache.refresh(m, root, "other", force=True) and old.count() == 1  # readers of the one before are not disturbed
+    assert cache.refresh(m, root, "third") and len(list(tmp_path.glob("split-*"))) == 2
 
 
 def test_text_and_dates():
