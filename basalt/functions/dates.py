@@ -63,6 +63,17 @@ def add_years_col(day: Column, n: int) -> Column:
     return F.when(F.dayofmonth(moved) == F.dayofmonth(day), moved).otherwise(F.date_add(moved, 1))
 
 
+def completed_date(now: Column, zone: str) -> Column:
+    """The day before a UTC timestamp's local date, as a column."""
+    return F.date_sub(F.to_date(F.from_utc_timestamp(now, zone)), 1)
+
+
+def published_minute_date(now: Column) -> Column:
+    """:func:`latest_published_minute_date` as a column."""
+    local = F.from_utc_timestamp(now, NEW_YORK.key)
+    return F.date_sub(F.to_date(local), F.when(F.hour(local) >= MINUTE_FILE_HOUR, 1).otherwise(2))
+
+
 def weekdays(first: Column, last: Column) -> Column:
     """Array of the weekdays between two dates."""
     return F.filter(F.sequence(first, last, F.expr("interval 1 day")), lambda d: F.weekday(d) < 5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.sources import schemas
+from basalt.sources.frames import COMPRESSED, FIELDS_AT
 from basalt.sources.store import exists
 
 
@@ -86,6 +87,18 @@ def frame_records(spark: SparkSession, pattern: str, width: int) -> DataFrame:
     return rows.select(*[F.trim(F.get("r", F.lit(i))).alias(n) for i, n in enumerate(names)], "field8", "file")
 
 
+def frame_checks(spark: SparkSession, pattern: str) -> DataFrame:
+    """file, method, problem of framed responses: null, or what the parser of single files would refuse."""
+    if not exists(spark, pattern):
+        return empty(spark, "file string, method string, problem string")
+    head, body = F.split(F.substring("value", 1, 21), "\u0001", -1), F.regexp_replace(F.substring("value", 22, 2**31 - 1), r"\n\z", "")
+    f = spark.read.text(pattern, wholetext=True).select(head.alias("h"), body.alias("body"), F.col("_metadata.file_path").alias("file"))
+    f = f.withColumn("method", F.get(F.split("body", "\u0001", -1), F.lit(2)))
+    length = F.expr("try_cast(h[2] as int)")
+    problem = F.when((F.size("h") != 3) | length.isNull(), "header").when(~F.get("h", F.lit(1)).isin(*COMPRESSED) & (F.char_length("body") != length), "length").when(~F.coalesce(F.col("method").isin(*FIELDS_AT), F.lit(False)), "method")
+    return f.select("file", "method", problem.alias("problem"))
+
+
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of constants."""
     return spark.createDataFrame(rows, schema)

@@ -6,6 +6,7 @@ so that both land in the same place on a cluster.
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -80,8 +81,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see: below ``spark.checkpoint.dir``, or on this machine if it does all the work."""
+    """A fresh folder that all executors see, removed when Python ends: below ``spark.checkpoint.dir``, or on this
+    machine if it does all the work."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
-    return f"{(named or 'file:///tmp/checkpoints/basalt').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{(named or 'file:///tmp/checkpoints/basalt').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(lambda: spark.sparkContext._jsc and delete(spark, path))
+    return path

@@ -6,8 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from basalt.plans.oracle import ORACLE_SQL
-from basalt.plans.queries import QUERIES
+from basalt.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,9 +22,12 @@ def duck():
 
 
 def rows(df):
+    import pandas
+
     df = df[sorted(df.columns)]
+
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pandas.NA or v != v:
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__module__ == "numpy" and not str(v) in ("True", "False") else str(v)[:10] if hasattr(v, "year") else str(v)
     return sorted((tuple(cell(v) for v in r) for r in df.astype(object).itertuples(index=False, name=None)), key=str)
