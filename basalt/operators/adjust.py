@@ -100,30 +100,42 @@ def _stream(bars: DataFrame, *more: str) -> DataFrame:
     return bars.select("instrument_id", F.col("market_date").alias("_day"), F.struct(*bars.columns).alias("_bar"), *more)
 
 
-def _upto(bars: DataFrame, as_of: dt.date | None) -> DataFrame:
-    return bars if as_of is None else bars.filter(F.col("market_date") <= F.lit(as_of))
+def _within(rows: DataFrame, day: str, since: dt.date | None, as_of: dt.date | None, after: bool = False) -> DataFrame:
+    """Rows from ``since`` (``after``: later than it) to ``as_of``."""
+    d = F.col(day)
+    if as_of is not None:
+        rows = rows.filter(d <= F.lit(as_of))
+    if since is not None:
+        rows = rows.filter(d > F.lit(since) if after else d >= F.lit(since))
+    return rows
 
 
-def with_factors(bars: DataFrame, events: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
+def with_factors(bars: DataFrame, events: DataFrame, policy: str, as_of: dt.date | None = None, since: dt.date | None = None) -> DataFrame:
     """``bars`` (instrument_id, market_date, ...) with cum_price_factor and cum_volume_factor from given factor events."""
     one_of(policy, tuple(POLICIES), "policy")
-    bars = _upto(bars, as_of)
+    bars = _within(bars, "market_date", since, as_of)
     if not POLICIES[policy]:
         return bars.withColumns({"cum_price_factor": F.lit(1.0), "cum_volume_factor": F.lit(1.0)})
-    used = events.filter(F.col("action_type").isin(*POLICIES[policy])).select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
+    used = _within(events, "event_date", since, None, after=True).filter(F.col("action_type").isin(*POLICIES[policy]))
+    used = used.select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
     return _carry(_stream(bars).unionByName(used, allowMissingColumns=True))
 
 
-def with_action_factors(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
+def with_action_factors(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None, since: dt.date | None = None) -> DataFrame:
     """As :func:`with_factors`, from the actions themselves: a dividend's close before its date is found in the
-    same stream as the product, so canonical bars are made and shuffled once."""
+    same stream as the product, so canonical bars are made and shuffled once.
+
+    ``since`` prunes bars and actions below the scan and changes no row that is left: an action changes the bars
+    before it, and where the last of these is before ``since``, so are all of them.
+    """
     one_of(policy, tuple(POLICIES), "policy")
-    kinds = POLICIES[policy]
+    kinds, actions = POLICIES[policy], _within(actions, "ex_date", since, None, after=True)
     if "cash_dividend" not in kinds:
-        return with_factors(canonical, ratio_factors(actions), policy, as_of)
+        return with_factors(canonical, ratio_factors(actions), policy, as_of, since)
     ratios = ratio_factors(actions).select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
     cash = dividend_cash(actions, instruments).filter("cash_amount > 0").select("instrument_id", F.col("ex_date").alias("_day"), F.col("cash_amount").alias("_cash"))
-    rows = _stream(_upto(canonical, as_of), "close").withColumnRenamed("close", "_close").unionByName(ratios, allowMissingColumns=True).unionByName(cash, allowMissingColumns=True)
+    bars = _stream(_within(canonical, "market_date", since, as_of), "close").withColumnRenamed("close", "_close")
+    rows = bars.unionByName(ratios, allowMissingColumns=True).unionByName(cash, allowMissingColumns=True)
     before = Window.partitionBy("instrument_id").orderBy("_day", F.col("_bar").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_prev", F.last("_close", ignorenulls=True).over(before))
     usable = F.when(F.col("_prev") > F.col("_cash"), 1 - F.col("_cash") / F.col("_prev"))
@@ -136,9 +148,9 @@ def apply_factors(rows: DataFrame) -> DataFrame:
     return rows.withColumns(new | {"volume": F.col("volume") * F.col("cum_volume_factor")})
 
 
-def adjusted_bars(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None) -> DataFrame:
-    """Adjusted daily bars."""
-    rows = apply_factors(with_action_factors(canonical, actions, instruments, policy, as_of))
+def adjusted_bars(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None, since: dt.date | None = None) -> DataFrame:
+    """Adjusted daily bars, from ``since`` on."""
+    rows = apply_factors(with_action_factors(canonical, actions, instruments, policy, as_of, since))
     return rows.select("instrument_id", "market_date", F.lit(policy).alias("adjustment_policy"), *PRICES[:4], "volume", "vwap", "cum_price_factor", "cum_volume_factor", "symbol_as_traded")
 
 

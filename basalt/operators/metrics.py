@@ -1,8 +1,11 @@
 """All daily metrics at a date T, for one instrument or for all that traded then.
 
 One pass: bars and factors meet in one stream for each instrument, backward
-indices and returns come from windows with the same partitioning, and all
-windowed metrics from one conditional aggregation.
+indices and returns come from windows with the same partitioning. What looks at
+the whole history (its length, the streak, bars since an event) is counted in
+these windows too; then only the last 253 bars of an instrument go on, into one
+conditional aggregation. Calendars, listings and dividends are small arrays of
+each scope or instrument, so nothing is cached and no bar is shuffled again.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ from pyspark.sql import functions as F
 
 from basalt.functions.columns import ratio, safe_ln, sample_kurtosis, valid_at, when_idx
 from basalt.operators.adjust import apply_factors, dividend_cash, with_action_factors
-from basalt.operators.asof import asof_join
 from basalt.plans.catalog import DAILY, NO_EVENT_IDS, long_rows
 
 YEAR = math.sqrt(252)
 #: Yang-Zhang's weight for 21 bars.
 YZ_K = 0.34 / (1.34 + 22.0 / 20.0)
 CALENDAR_DAYS = 63
+#: Greatest backward index that a window looks at.
+LAST = 252
 
 
 class DateError(ValueError):
@@ -43,16 +47,22 @@ def date_gate(market, instrument_id: str, scope: str, t: dt.date) -> None:
 
 
 def calc(market, t: dt.date) -> DataFrame:
-    """Bars up to T of the instruments that have one on T: raw and adjusted prices, idx, returns and their like."""
+    """The last 253 bars up to T of the instruments that have one on T: raw and adjusted prices, idx, returns and
+    their like, and what is counted over all bars."""
     raw = {f"raw_{c}": F.col(c) for c in ("open", "high", "low", "close", "volume")}
     bars = market.canonical.withColumns(raw)
     rows = apply_factors(with_action_factors(bars, market.corporate_actions, market.instruments, "split_dividend", t))
-    w = Window.partitionBy("instrument_id").orderBy(F.desc("market_date"))
-    rows = rows.withColumns({"idx": F.row_number().over(w) - 1, "prev": F.lead("close").over(w), "last_date": F.max("market_date").over(Window.partitionBy("instrument_id"))})
-    rows = rows.filter(F.col("last_date") == F.lit(t))
-    rows = rows.withColumns({
-        "r": ratio("close", "prev") - 1,
-        "lr": safe_ln(ratio("close", "prev")),
+    every = Window.partitionBy("instrument_id")
+    w = every.orderBy(F.desc("market_date"))
+    rows = rows.withColumns({"idx": F.row_number().over(w) - 1, "prev": F.lead("close").over(w), "last_date": F.max("market_date").over(every)})
+    rows = rows.filter(F.col("last_date") == F.lit(t)).join(_events(market, t), "instrument_id", "left")
+    rows = rows.withColumns({"r": ratio("close", "prev") - 1, "lr": safe_ln(ratio("close", "prev"))})
+    now = lambda c: F.max(when_idx(c, 0)).over(every)
+    later = lambda c: F.count_if(F.col("market_date") > F.col(c)).over(every)
+    rows = rows.withColumns({"r0": now("r"), "lr0": now("lr"), "total": F.count(F.lit(1)).over(every), "n_r": F.count("r").over(every), "since_split": later("last_split"), "since_dividend": later("last_dividend")})
+    turned = F.col("r").isNotNull() & (F.signum("r") != F.signum("r0"))
+    rows = rows.withColumn("turn", F.min(F.when(turned, F.col("idx"))).over(every)).filter(F.col("idx") <= LAST)
+    return rows.withColumns({
         "gap_i": ratio("open", "prev") - 1,
         "dv": F.col("raw_close") * F.col("raw_volume"),
         "tr": F.greatest("high", "prev") - F.least("low", "prev"),
@@ -62,8 +72,6 @@ def calc(market, t: dt.date) -> DataFrame:
         "rel_range": ratio(F.col("high") - F.col("low"), "prev"),
         "park": F.pow(safe_ln(ratio("raw_high", "raw_low")), F.lit(2.0)),
     })
-    start = Window.partitionBy("instrument_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumns({"r0": F.first("r").over(start), "lr0": F.first("lr").over(start)})
 
 
 def _events(market, t: dt.date) -> DataFrame:
@@ -81,31 +89,35 @@ def _calendar_of(market) -> DataFrame:
     return market.trading_days.filter("is_open").join(F.broadcast(first), "calendar_id").select("market_scope", "market_date")  # a row for each scope
 
 
-def _calendar_stats(market, rows: DataFrame, t: dt.date) -> DataFrame:
-    """instrument_id, calendar_days, listed_days, missing_days over the last open days."""
-    w = Window.partitionBy("market_scope").orderBy(F.desc("market_date"))
-    days = _calendar_of(market).filter(F.col("market_date") <= F.lit(t)).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= CALENDAR_DAYS).drop("n")
-    here = rows.filter("idx = 0").select("instrument_id").join(market.instruments.select("instrument_id", F.col("primary_market_scope").alias("market_scope")), "instrument_id")
-    grid = here.join(F.broadcast(days), "market_scope", "left")  # at most 63 rows for each scope
-    s = market.symbols.select(F.col("instrument_id").alias("_id"), F.col("market_scope").alias("_scope"), "valid_from", "valid_to")
-    listed = grid.join(s, (F.col("instrument_id") == F.col("_id")) & (F.col("market_scope") == F.col("_scope")) & valid_at("market_date", "valid_from", "valid_to"), "left_semi").select("instrument_id", "market_date", F.lit(1).alias("listed"))
-    seen = rows.select("instrument_id", "market_date", F.lit(1).alias("seen"))
-    both = grid.join(listed, ["instrument_id", "market_date"], "left").join(seen, ["instrument_id", "market_date"], "left")
-    return both.groupBy("instrument_id").agg(F.count("market_date").alias("calendar_days"), F.count("listed").alias("listed_days"), F.count_if((F.col("listed") == 1) & F.col("seen").isNull()).alias("missing_days"))
+def _calendars(market, t: dt.date) -> DataFrame:
+    """market_scope, days (the last open ones up to T), ahead (the later ones): a row for each scope."""
+    day = F.col("market_date")
+    c = _calendar_of(market).groupBy("market_scope").agg(F.sort_array(F.collect_set(F.when(day <= F.lit(t), day)), False).alias("days"), F.collect_set(F.when(day > F.lit(t), day)).alias("ahead"))
+    return c.select("market_scope", F.slice("days", 1, CALENDAR_DAYS).alias("days"), "ahead")
+
+
+def _listed(ranges, day):
+    """Whether one of the validity ranges holds the day."""
+    return F.exists(ranges, lambda r: valid_at(day, r["valid_from"], r["valid_to"]))
+
+
+def _paid(market, t: dt.date) -> DataFrame:
+    """instrument_id, dividends (array of ex_date, cash_amount) up to T."""
+    cash = dividend_cash(market.corporate_actions, market.instruments).filter((F.col("cash_amount") > 0) & (F.col("ex_date") <= F.lit(t)))
+    return cash.groupBy("instrument_id").agg(F.collect_list(F.struct("ex_date", "cash_amount")).alias("dividends"))
 
 
 def wide(market, t: dt.date) -> DataFrame:
     """A row for each instrument with a bar on T: its scope, bars, and all metrics but those against a baseline."""
-    rows = calc(market, t).join(_events(market, t), "instrument_id", "left").cache()
+    rows = calc(market, t)
     at = lambda c, i: F.max(when_idx(c, i))
     mean = lambda c, a, b: F.avg(when_idx(c, a, b))
     num = lambda c, a, b: F.count(when_idx(c, a, b))
     flag = lambda cond: F.when(cond, 1.0).otherwise(0.0)
-    turn = F.min(F.when(F.col("r").isNotNull() & (F.signum("r") != F.signum("r0")), F.col("idx")))
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  the same on all rows
     a = rows.groupBy("instrument_id").agg(
-        F.count(F.lit(1)).alias("total"), at("raw_close", 0).alias("c0"), at("raw_high", 0).alias("h0"), at("raw_low", 0).alias("l0"), at("open", 0).alias("ao0"),
+        *[one(c) for c in ("total", "lr0", "r0", "turn", "n_r", "last_split", "since_split", "last_dividend", "since_dividend", "next_ex")], at("raw_close", 0).alias("c0"), at("raw_high", 0).alias("h0"), at("raw_low", 0).alias("l0"), at("open", 0).alias("ao0"),
         *[at("close", i).alias(f"ac{i}") for i in (0, 1, 5, 21, 63, 126, 252)],
-        F.max("lr0").alias("lr0"), F.max("r0").alias("r0"), turn.alias("turn"), F.count("r").alias("n_r"),
         mean("dv", 1, 21).alias("adv"), num("dv", 1, 21).alias("adv_n"), at("dv", 0).alias("dv0"), mean("dv", 0, 4).alias("dv5"), mean("dv", 0, 62).alias("dv63"), num("dv", 0, 62).alias("dv63_n"), num("dv", 0, 20).alias("dv21_n"), F.min(when_idx("dv", 0, 20)).alias("dv21_min"),
         mean(flag(F.abs("gap_i") > 0.02), 0, 62).alias("gap_freq_63d"), F.median(when_idx(F.abs("gap_i"), 0, 62)).alias("abs_gap_med_63d"),
         mean("close", 0, 19).alias("sma20"), mean("close", 0, 49).alias("sma50"), mean("close", 0, 199).alias("sma200"),
@@ -117,21 +129,20 @@ def wide(market, t: dt.date) -> DataFrame:
         F.median(when_idx("rel_range", 1, 21)).alias("range_med"), num("rel_range", 1, 21).alias("range_n"), at("rel_range", 0).alias("rel_range0"),
         F.count_if(F.col("idx").between(1, 252) & (F.col("lr") < F.col("lr0"))).alias("below"), F.count_if(F.col("idx").between(1, 252) & (F.col("lr") == F.col("lr0"))).alias("equal"), num("lr", 1, 252).alias("n252"), sample_kurtosis("lr", F.col("idx").between(1, 252)).alias("kurt"),
         F.min(when_idx("market_date", 0, 251)).alias("first252"),
-        F.first("last_split").alias("last_split"), F.count_if(F.col("market_date") > F.col("last_split")).alias("since_split"), F.first("last_dividend").alias("last_dividend"), F.count_if(F.col("market_date") > F.col("last_dividend")).alias("since_dividend"), F.first("next_ex").alias("next_ex"),
+        F.collect_list(F.struct("market_date", "raw_close")).alias("closes"),
     )
     scope = market.instruments.select("instrument_id", F.col("primary_market_scope").alias("market_scope"))
-    a = a.join(scope, "instrument_id").join(_calendar_stats(market, rows, t), "instrument_id", "left")
-    # open days until the next known ex-date
-    ahead = _calendar_of(market).filter(F.col("market_date") > F.lit(t)).withColumnsRenamed({"market_scope": "_scope", "market_date": "_day"})
-    nexts = a.filter("next_ex is not null").select("instrument_id", "market_scope", "next_ex")
-    ex = nexts.join(ahead, (F.col("market_scope") == F.col("_scope")) & (F.col("_day") <= F.col("next_ex")), "left").groupBy("instrument_id").agg(F.count("_day").alias("ex_days"))
+    ranges = market.symbols.groupBy("instrument_id", "market_scope").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("ranges"))
+    a = a.join(scope, "instrument_id").join(ranges, ["instrument_id", "market_scope"], "left").join(_paid(market, t), "instrument_id", "left")
+    a = a.join(F.broadcast(_calendars(market, t)), "market_scope", "left")  # a row for each scope
+    listed = F.filter("days", lambda d: _listed(F.col("ranges"), d))
+    missing = F.array_except(listed, F.transform("closes", lambda b: b["market_date"]))
     # yields of the dividends within the last 252 bars, each on the raw close before it
-    raw = rows.select("instrument_id", "market_date", "raw_close")
-    cash = asof_join(dividend_cash(market.corporate_actions, market.instruments), raw, ["instrument_id"], "ex_date", "market_date", {"raw_close": "before"}, inner=True)
-    cash = cash.filter("cash_amount > 0 and before > 0").join(a.select("instrument_id", "first252"), "instrument_id").filter(F.col("ex_date").between(F.col("first252"), F.lit(t)))
-    paid = cash.groupBy("instrument_id").agg(F.sum(F.col("cash_amount") / F.col("before")).alias("paid"))
-    s = market.symbols.filter(valid_at(F.lit(t), "valid_from", "valid_to")).select("instrument_id", "market_scope", F.lit(True).alias("listed")).distinct()
-    a = a.join(ex, "instrument_id", "left").join(paid, "instrument_id", "left").join(s, ["instrument_id", "market_scope"], "left")
+    before = lambda d: F.array_max(F.filter("closes", lambda b: b["market_date"] < d["ex_date"]))["raw_close"]
+    recent = F.filter("dividends", lambda d: (d["ex_date"] >= F.col("first252")) & (before(d) > 0))
+    paid = F.when(F.size(recent) > 0, F.aggregate(recent, F.lit(0.0), lambda x, d: x + d["cash_amount"] / before(d)))
+    size = lambda c: F.when(c.isNotNull(), F.size(c))
+    a = a.withColumns({"calendar_days": size(F.col("days")), "listed_days": size(listed), "missing_days": size(missing), "paid": paid, "listed": F.coalesce(_listed(F.col("ranges"), F.lit(t)), F.lit(False)), "ex_days": F.when(F.col("next_ex").isNotNull(), F.coalesce(size(F.filter("ahead", lambda d: d <= F.col("next_ex"))), F.lit(0)))})
     adv = (F.col("adv_n") == 21) & (F.col("adv") > 0)
     z = F.when(F.col("park_prev") > 0, F.col("lr0") / F.col("park_prev"))
     diff = lambda x, y: ratio(x, y) - 1

@@ -23,10 +23,11 @@ def scores(market, t: dt.date, scope: str, snapshot: DataFrame | None = None) ->
     ``snapshot``: adjusted bars to read instead of computing them; consecutive
     ratios do not depend on its anchor.
     """
-    bars = snapshot if snapshot is not None else market.adjusted("split_dividend")
+    since = t - dt.timedelta(days=LOOKBACK_DAYS - 1)
+    bars = snapshot if snapshot is not None else market.adjusted("split_dividend", t, since=since)
     ids = market.instruments.filter(F.col("primary_market_scope") == scope).select("instrument_id")
     day = F.col("market_date")
-    bars = bars.filter((day <= F.lit(t)) & (day > F.lit(t - dt.timedelta(days=LOOKBACK_DAYS)))).join(ids, "instrument_id", "left_semi")
+    bars = bars.filter((day <= F.lit(t)) & (day >= F.lit(since))).join(ids, "instrument_id", "left_semi")
     w = Window.partitionBy("instrument_id").orderBy(F.desc("market_date"))
     prev = F.lead("close").over(w)
     base = bars.select(

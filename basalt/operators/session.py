@@ -48,10 +48,22 @@ def session_metrics_at(market, scope: str, day: dt.date, minute: str, ids: list[
         F.max(F.when(F.col("idx") == 30, F.col("close"))).alias("close30"), F.max(F.when(F.col("idx") == 60, F.col("close"))).alias("close60"),
         F.stddev_samp(safe_ln(ratio("close", "prev"))).alias("vol"), F.avg(F.when(has, F.when(F.col("close") > F.col("prev"), 1.0).otherwise(0.0))).alias("up"), F.count("prev").alias("returns"),
     )
-    sums = mb.filter(date < D).groupBy("instrument_id", "market_date").agg(F.sum("dv").alias("dv"))
-    sums = sums.withColumn("n", F.row_number().over(w.orderBy(F.desc("market_date")))).filter(F.col("n") <= PACE_SESSIONS)
+    days = mb.filter(date < D).groupBy("instrument_id", "market_date").agg(F.sum("dv").alias("dv"))
+    rank = F.row_number().over(w.orderBy(F.desc("market_date")))
+    sums = days.withColumn("n", rank).filter(F.col("n") <= PACE_SESSIONS)
+    # the dates are few and known by the folders: read the last ones first, and the others only if an instrument needs them
+    dates = [r[0] for r in mb.filter(date < D).select("market_date").distinct().orderBy(F.desc("market_date")).limit(2 * PACE_SESSIONS).collect()]
+    if len(dates) == 2 * PACE_SESSIONS:
+        recent = days.filter(date >= F.lit(dates[-1])).withColumn("n", rank).filter(F.col("n") <= PACE_SESSIONS)
+        full = recent.groupBy("instrument_id").agg(F.max("n").alias("n"))
+        seen = vis.select("instrument_id").distinct()
+        if seen.join(full.filter(F.col("n") == PACE_SESSIONS), "instrument_id", "left_anti").isEmpty():
+            sums = recent
     pace = sums.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("sessions"), F.avg("dv").alias("pace"))
-    prev = first_by(m.adjusted("split_dividend", day).filter(date < D), ["instrument_id"], F.desc("market_date")).select("instrument_id", F.col("close").alias("prev_close"))
+    # the bar before the day is seldom far: the earliest of them, of the instruments seen, bounds what is adjusted
+    last = m.canonical.filter(date < D).join(vis.select("instrument_id").distinct(), "instrument_id", "left_semi").groupBy("instrument_id").agg(F.max("market_date").alias("last"))
+    since = last.agg(F.min("last")).first()[0]
+    prev = first_by(m.adjusted("split_dividend", day, since=since).filter(date < D), ["instrument_id"], F.desc("market_date")).select("instrument_id", F.col("close").alias("prev_close"))
     a = a.join(pace, "instrument_id", "left").join(prev, "instrument_id", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
     diff = lambda x, y: ratio(x, y) - 1
     enough = F.col("returns") >= VOL_LEAST

@@ -30,6 +30,7 @@ class Market:
     trading_days: DataFrame
     exchanges: DataFrame
     bars_minute: DataFrame | None = None
+    raw_minutes: DataFrame | None = None
 
     @cached_property
     def canonical(self) -> DataFrame:
@@ -48,9 +49,10 @@ class Market:
             keep = lambda df: df.filter(F.col("instrument_id").isin(*ids))
         return replace(self, bars_daily=keep(self.bars_daily), corporate_actions=keep(self.corporate_actions))
 
-    def adjusted(self, policy: str, as_of=None, ids: list[str] | DataFrame | None = None) -> DataFrame:
+    def adjusted(self, policy: str, as_of=None, ids: list[str] | DataFrame | None = None, since=None) -> DataFrame:
+        """Adjusted bars up to ``as_of``, of some instruments, from ``since`` on; the choices reach the scan."""
         m = self if ids is None else self.only(ids)
-        return adjust.adjusted_bars(m.canonical, m.corporate_actions, m.instruments, policy, as_of)
+        return adjust.adjusted_bars(m.canonical, m.corporate_actions, m.instruments, policy, as_of, since)
 
 
 def from_driver(spark: SparkSession, sf_dir: str) -> Market:
@@ -106,9 +108,7 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Market:
     dates = line.select("market_date").union(minutes.select("market_date")).distinct()
     calendar = dates.withColumn("calendar_id", F.explode(F.array(F.lit("XNYS"), F.lit("XSHG")))).select("calendar_id", "market_date", (F.dayofmonth("market_date") != 13).alias("is_open"), F.lit(False).alias("is_half_day"))
     exchanges = spark.createDataFrame([("XNYS", "us_stocks", "XNYS"), ("XSHG", "cn_stocks", "XSHG")], "exchange_mic string, market_scope string, calendar_id string")
-    m = Market(bars.unionByName(index).unionByName(daily), instruments, symbols, actions, calendar, exchanges, minutes)
-    m.raw_minutes = raw_minutes
-    return m
+    return Market(bars.unionByName(index).unionByName(daily), instruments, symbols, actions, calendar, exchanges, minutes, raw_minutes)
 
 
 #: Event types of the driver's table; minutes of the last have no symbol.
