@@ -66,7 +66,7 @@ def ratio_factors(actions: DataFrame) -> DataFrame:
 
 def factor_events(actions: DataFrame, instruments: DataFrame, canonical: DataFrame) -> DataFrame:
     """instrument_id, event_date, action_type, price_factor, volume_factor, evidence of every usable action."""
-    cash = asof_join(dividend_cash(actions, instruments), canonical, ["instrument_id"], "ex_date", "market_date", {"close": "prev_close"}, inner=True)
+    cash = asof_join(dividend_cash(actions, instruments).repartition("instrument_id"), canonical, ["instrument_id"], "ex_date", "market_date", {"close": "prev_close"}, inner=True)
     cash = cash.filter("cash_amount > 0 and prev_close > cash_amount")
     cash = cash.select("instrument_id", F.col("ex_date").alias("event_date"), F.lit("cash_dividend").alias("action_type"), (1 - F.col("cash_amount") / F.col("prev_close")).alias("price_factor"), F.lit(1.0).alias("volume_factor"), "evidence")
     return ratio_factors(actions).unionByName(cash)
@@ -74,26 +74,38 @@ def factor_events(actions: DataFrame, instruments: DataFrame, canonical: DataFra
 
 def unadjustable_dividends(actions: DataFrame, instruments: DataFrame, canonical: DataFrame) -> DataFrame:
     """Dividends without a factor, with the reason."""
-    rows = asof_join(dividend_cash(actions, instruments), canonical, ["instrument_id"], "ex_date", "market_date", {"close": "prev_close"})
+    rows = asof_join(dividend_cash(actions, instruments).repartition("instrument_id"), canonical, ["instrument_id"], "ex_date", "market_date", {"close": "prev_close"})
     none = F.col("cash_amount") == 0
     reason = F.when(none & (F.col("expected_currency") == DEFAULT_CURRENCY), "non_usd_only").when(none, "currency_mismatch_only").when(F.col("prev_close").isNull(), "no_prev_close").otherwise("cash_exceeds_prev_close")
     bad = rows.filter("cash_amount = 0 or prev_close is null or prev_close <= cash_amount")
     return bad.select("instrument_id", "ex_date", "prev_close", reason.alias("reason"), "cash_amount", "expected_currency", "currency_mismatch_rows")
 
 
-def _carry(rows: DataFrame) -> DataFrame:
+def _carry(rows: DataFrame, cash: bool = False) -> DataFrame:
     """Bars (``_bar``) with the product of the factors (``_pf``, ``_vf``) of later events.
 
     An event counts that has a bar on or after it. Bars and events run in one
     stream for each instrument from the latest date to the earliest, a bar
-    before the events of its own date, and the product is carried along. One
-    shuffle, linear; no range join, and nothing is broadcast.
+    before the events of its own date, and the product is carried along. With
+    ``cash``, dividends (``_cash``) get their factor from the close of the next
+    bar in the stream, which is the last one before their date. One shuffle and
+    one sort, linear; no range join, and nothing is broadcast.
     """
-    w = Window.partitionBy("instrument_id").orderBy(F.desc("_day"), F.col("_bar").isNull(), "_pf").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_seen", F.count("_bar").over(w))
-    live = F.col("_bar").isNull() & (F.col("_seen") > 0)
-    factor = lambda c: F.coalesce(F.product(F.when(live, F.col(c))).over(w), F.lit(1.0))
-    return rows.withColumns({"cum_price_factor": factor("_pf"), "cum_volume_factor": factor("_vf")}).filter("_bar is not null").select("_bar.*", "cum_price_factor", "cum_volume_factor")
+    rows = rows.withColumn("_event", F.col("_bar").isNull())
+    order = ["_event", "_pf", "_cash"] if cash else ["_event", "_pf"]
+    w = Window.partitionBy("instrument_id").orderBy(F.desc("_day"), *order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {"_seen": F.count("_bar").over(upto)}
+    factor = F.col("_pf")
+    if cash:
+        new["_prev"] = F.expr("lead(_close) ignore nulls over (partition by instrument_id order by _day desc, _event, _pf, _cash)")
+        factor = F.coalesce("_pf", F.when(F.col("_prev") > F.col("_cash"), 1 - F.col("_cash") / F.col("_prev")))
+    rows = rows.withColumns(new)
+    live = F.col("_event") & (F.col("_seen") > 0)
+    rows = rows.withColumns({"_live_pf": F.when(live, factor), "_live_vf": F.when(live, F.col("_vf"))})
+    carried = lambda c: F.coalesce(F.product(c).over(upto), F.lit(1.0))
+    rows = rows.withColumns({"cum_price_factor": carried("_live_pf"), "cum_volume_factor": carried("_live_vf")})
+    return rows.filter("not _event").select("_bar.*", "cum_price_factor", "cum_volume_factor")
 
 
 def _stream(bars: DataFrame, *more: str) -> DataFrame:
@@ -118,7 +130,7 @@ def with_factors(bars: DataFrame, events: DataFrame, policy: str, as_of: dt.date
         return bars.withColumns({"cum_price_factor": F.lit(1.0), "cum_volume_factor": F.lit(1.0)})
     used = _within(events, "event_date", since, None, after=True).filter(F.col("action_type").isin(*POLICIES[policy]))
     used = used.select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
-    return _carry(_stream(bars).unionByName(used, allowMissingColumns=True))
+    return _carry(_stream(bars).unionByName(used.repartition("instrument_id"), allowMissingColumns=True))
 
 
 def with_action_factors(canonical: DataFrame, actions: DataFrame, instruments: DataFrame, policy: str, as_of: dt.date | None = None, since: dt.date | None = None) -> DataFrame:
@@ -135,11 +147,9 @@ def with_action_factors(canonical: DataFrame, actions: DataFrame, instruments: D
     ratios = ratio_factors(actions).select("instrument_id", F.col("event_date").alias("_day"), F.col("price_factor").alias("_pf"), F.col("volume_factor").alias("_vf"))
     cash = dividend_cash(actions, instruments).filter("cash_amount > 0").select("instrument_id", F.col("ex_date").alias("_day"), F.col("cash_amount").alias("_cash"))
     bars = _stream(_within(canonical, "market_date", since, as_of), "close").withColumnRenamed("close", "_close")
-    rows = bars.unionByName(ratios, allowMissingColumns=True).unionByName(cash, allowMissingColumns=True)
-    before = Window.partitionBy("instrument_id").orderBy("_day", F.col("_bar").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_prev", F.last("_close", ignorenulls=True).over(before))
-    usable = F.when(F.col("_prev") > F.col("_cash"), 1 - F.col("_cash") / F.col("_prev"))
-    return _carry(rows.withColumn("_pf", F.coalesce("_pf", usable)))
+    # events are few; dealt as the bars are, they join these without another shuffle of the bars
+    events = ratios.unionByName(cash, allowMissingColumns=True).repartition("instrument_id")
+    return _carry(bars.unionByName(events, allowMissingColumns=True), cash=True)
 
 
 def apply_factors(rows: DataFrame) -> DataFrame:

@@ -30,3 +30,30 @@ def return_series(market, policy: str, observations: int, as_of: dt.date | None
     prev = F.lag("close").over(w)
     first = F.first("close").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return last.select("instrument_id", F.col("market_date").alias("date"), "close", (ratio("close", prev) - 1).alias("one_day_return"), (ratio("close", first) - 1).alias("return_from_start"))
+
+
+def moving_averages(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
+    """instrument_id, market_date, sma<n>: averages of the last n closes, null until there are n."""
+    w = Window.partitionBy("instrument_id").orderBy("market_date")
+    sma = lambda n: F.when(F.row_number().over(w) >= n, F.avg("close").over(w.rowsBetween(-(n - 1), 0))).alias(f"sma{n}")
+    return bars.select("instrument_id", "market_date", *[sma(n) for n in periods])
+
+
+def session_vwap(minutes: DataFrame) -> DataFrame:
+    """Minute bars with vwap: typical price by volume since the day's first bar, null while nothing has traded."""
+    w = Window.partitionBy("instrument_id", "market_date").orderBy("window_start_utc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    return minutes.withColumn("vwap", ratio(F.sum(typical * F.col("volume")).over(w), F.sum("volume").over(w)))
+
+
+def volume_cap(bars: DataFrame, share: float = 0.98, headroom: float = 1.15) -> DataFrame:
+    """instrument_id, volume_cap: top of a volume scale that a few spikes do not flatten.
+
+    The order statistic at index floor(n * share) of the positive volumes, or
+    the last, with some headroom; 0 without any.
+    """
+    w = Window.partitionBy("instrument_id")
+    at = F.least(F.count("v").over(w) - 1, F.floor(F.count("v").over(w) * share))
+    rows = bars.select("instrument_id", F.when(F.col("volume") > 0, F.col("volume")).alias("v"))
+    rows = rows.withColumns({"i": F.row_number().over(w.orderBy(F.asc_nulls_last("v"))) - 1, "at": at})
+    return rows.groupBy("instrument_id").agg((F.coalesce(F.max(F.when(F.col("i") == F.col("at"), F.col("v"))), F.lit(0.0)) * headroom).alias("volume_cap"))

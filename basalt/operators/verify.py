@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions.columns import ratio, valid_at
 from basalt.functions.dates import local_minute
+from basalt.operators.adjust import POLICIES, adjusted_minutes
 from basalt.sources.readers import date_range
 
 
@@ -133,32 +134,82 @@ def factor_segments(rows: DataFrame) -> DataFrame:
     return rows.filter("comparison_class = 'comparable'").groupBy("action_segment").agg(F.count(F.lit(1)).alias("events"), F.avg("signed_residual").alias("mean_signed_residual"), F.median(a).alias("median_absolute_residual"), F.percentile(a, 0.95).alias("p95_absolute_residual"), F.max(a).alias("max_absolute_residual"))
 
 
-def status_overview(market) -> DataFrame:
-    """section, item, value: the size and reach of every table."""
+def continuity_summary(problems: DataFrame) -> DataFrame:
+    """problem, days, first, last of what :func:`continuity` found; no row where all is continuous."""
+    return problems.groupBy("problem").agg(F.count(F.lit(1)).alias("days"), F.min("market_date").alias("first"), F.max("market_date").alias("last"))
+
+
+def status_overview(market, fetches: DataFrame | None = None, unresolved: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """section, item, value: the size and reach of every table, of what was fetched, of what could not be resolved,
+    and of the latest runs; and what is computed by name."""
     def section(name, rows: DataFrame, item, value):
         return rows.groupBy(item.cast("string").alias("item")).agg(value.cast("string").alias("value")).select(F.lit(name).alias("section"), "item", "value")
 
     n, lit = F.count(F.lit(1)), F.lit
     parts = [
         section("bars by scope", market.bars_daily, F.col("market_scope"), n), section("last bar by scope", market.bars_daily, F.col("market_scope"), F.max("market_date")), section("instruments by scope", market.instruments, F.col("primary_market_scope"), n),
-        section("symbols by scope", market.symbols, F.col("market_scope"), n), section("actions by type", market.corporate_actions, F.col("action_type"), n), section("open days by calendar", market.trading_days.filter("is_open"), F.col("calendar_id"), n),
+        section("symbols by scope", market.symbols, F.col("market_scope"), n), section("ended symbols by scope", market.symbols.filter("valid_to is not null"), F.col("market_scope"), n), section("actions by type", market.corporate_actions, F.col("action_type"), n), section("open days by calendar", market.trading_days.filter("is_open"), F.col("calendar_id"), n),
         section("minute bars by date", market.bars_minute, F.col("market_date"), n), section("traded instruments", market.bars_daily, lit("all"), F.count_distinct("instrument_id")),
     ]
+    spark = market.bars_daily.sparkSession
+    parts.append(spark.createDataFrame([("computed", p, ", ".join(kinds) or "no action") for p, kinds in POLICIES.items()], "section string, item string, value string"))
+    if fetches is not None:
+        parts += [section("raw files by dataset", fetches, F.col("dataset"), n), section("raw rows by dataset", fetches, F.col("dataset"), F.sum(F.coalesce("row_count", lit(0))))]
+    if unresolved is not None:
+        parts.append(section("unresolved", unresolved, F.concat_ws(": ", "dataset", "reason"), n))
+    if runs is not None:
+        parts.append(recent_runs(runs, 8).select(lit("runs").alias("section"), F.col("run_id").alias("item"), F.concat_ws(" ", "job", "status", F.col("seconds").cast("string")).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def search(market, q: str, scope: str | None = None, limit: int = 20) -> DataFrame:
-    """Instruments whose symbol begins with ``q`` or whose name contains it, exact and active symbols first."""
-    s = market.symbols.select("instrument_id", "symbol", "market_scope", "valid_to")
-    if scope:
-        s = s.filter(F.col("market_scope") == scope)
+def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
+    """The latest runs (run_id, job, status, started_at, finished_at, error) with their seconds."""
+    took = F.round(F.unix_micros("finished_at") / 1e6 - F.unix_micros("started_at") / 1e6).cast("int")
+    return runs.orderBy(F.desc("started_at"), "run_id").limit(limit).select("run_id", "job", "status", "started_at", took.alias("seconds"), "error")
+
+
+def unresolved_summary(unresolved: DataFrame) -> DataFrame:
+    """dataset, reason, entries, first_date, last_date."""
+    return unresolved.groupBy("dataset", "reason").agg(F.count(F.lit(1)).alias("entries"), F.min("market_date").alias("first_date"), F.max("market_date").alias("last_date"))
+
+
+def scopes(market) -> DataFrame:
+    """The market scopes that the data has."""
+    return market.symbols.select(F.col("market_scope").alias("scope")).distinct()
+
+
+def minute_day_list(market, instrument_id: str, limit: int = 30, zone: str = "America/New_York") -> DataFrame:
+    """The latest days with minute bars of an instrument: bars, first and last local time, range and volume."""
+    clock = lambda f: F.date_format(F.from_utc_timestamp(f("window_start_utc"), zone), "HH:mm")
+    m = market.bars_minute.filter(F.col("instrument_id") == instrument_id).groupBy("market_date")
+    m = m.agg(F.count(F.lit(1)).alias("bars"), clock(F.min).alias("first_et"), clock(F.max).alias("last_et"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("volume").cast("long").alias("volume"))
+    return m.orderBy(F.desc("market_date")).limit(limit)
+
+
+def day_minutes(market, instrument_id: str, day, policy: str = "split", as_of=None) -> DataFrame:
+    """Adjusted minute bars of one instrument and day, by UTC seconds."""
+    m = adjusted_minutes(market.bars_minute, market.factors, policy, as_of, [instrument_id]).filter(F.col("market_date") == F.lit(day).cast("date"))
+    return m.select(F.unix_seconds("window_start_utc").alias("time"), "open", "high", "low", "close", "volume", "cum_price_factor", "symbol_as_traded")
+
+
+def bars_of(market, instrument_id: str, policy: str = "split_dividend", as_of=None) -> DataFrame:
+    """Adjusted daily bars of one instrument."""
+    return market.adjusted(policy, as_of, [instrument_id]).select(F.col("market_date").alias("date"), "open", "high", "low", "close", "volume", "cum_price_factor", "symbol_as_traded")
+
+
+def search(market, q: str, scope: str, limit: int = 20) -> DataFrame:
+    """Usages of symbols that begin with ``q``, or whose instrument's name contains it: the exact symbol first, then
+    current ones, the shortest, and of one symbol the latest."""
     u = q.upper()
+    s = market.symbols.filter(F.col("market_scope") == scope).select("instrument_id", "symbol", "market_scope", "valid_from", "valid_to")
     rows = s.join(market.instruments.select("instrument_id", "name"), "instrument_id").filter(F.upper("symbol").startswith(u) | F.contains(F.upper("name"), F.lit(u)))
-    rows = rows.groupBy("instrument_id", "symbol", "name", "market_scope").agg(F.bool_or(F.col("valid_to").isNull()).alias("current"))
-    return rows.orderBy((F.upper("symbol") == u).desc(), F.upper("symbol").startswith(u).desc(), F.desc("current"), F.asc("symbol"), F.asc("instrument_id")).limit(limit)
+    text = lambda c: F.col(c).cast("string")
+    usage = F.when(F.col("valid_to").isNull(), "current").otherwise(F.concat(F.coalesce(text("valid_from"), F.lit("…")), F.lit(" → "), text("valid_to")))
+    order = [(F.upper("symbol") == u).desc(), F.col("valid_to").isNull().desc(), F.char_length("symbol"), F.asc("symbol"), F.desc_nulls_first("valid_to"), F.asc("instrument_id")]
+    return rows.orderBy(*order).limit(limit).select("instrument_id", "symbol", usage.alias("symbol_usage"), "name", "market_scope")
 
 
 def detail(market, instrument_id: str) -> dict[str, DataFrame]:
@@ -168,6 +219,12 @@ def detail(market, instrument_id: str) -> dict[str, DataFrame]:
     return {"instrument": market.instruments.filter(mine), "symbols": market.symbols.filter(mine).orderBy(F.asc_nulls_first("valid_from")), "actions": market.corporate_actions.filter(mine).orderBy("ex_date", "source_action_id"), "reach": reach}
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either table that the other has not, with the side that has them."""
+    one = lambda x, y, side: x.exceptAll(y.select(x.columns)).withColumn("side", F.lit(side))
+    return one(a, b, "first").unionByName(one(b, a, "second"))
+
+
 def contract(a: DataFrame, b: DataFrame) -> list[str]:
     """Differences between the columns and types of two sources of one table."""
     x, y = dict(a.dtypes), dict(b.dtypes)

@@ -100,7 +100,7 @@ PAIRS = f"""
   SELECT instrument_id, symbol, any_value(n) + 1 AS bars, CASE WHEN any_value(n) < 63 THEN 'insufficient_window' WHEN NOT (any_value(vs) > 0 AND any_value(vb) > 0) THEN 'undefined_input' END AS reason, any_value(k) AS beta, any_value(c) AS corr,
     exp(sum(s - k * b) FILTER (i < 21)) - 1 AS r21, exp(sum(s - k * b) FILTER (i < 63)) - 1 AS r63, stddev_samp(s - k * b) FILTER (i < 63) * sqrt(252) AS idio,
     (exp(sum(s) FILTER (i < 21)) - 1) - (exp(sum(b) FILTER (i < 21)) - 1) AS rel21, (exp(sum(s) FILTER (i < 63)) - 1) - (exp(sum(b) FILTER (i < 63)) - 1) AS rel63,
-    CASE WHEN any_value(n1) = 64 THEN max(s - k1 * b) FILTER (i = 0) / stddev_samp(s - k1 * b) FILTER (i BETWEEN 1 AND 63) END AS z
+    CASE WHEN any_value(n1) = 64 AND stddev_samp(s - k1 * b) FILTER (i BETWEEN 1 AND 63) > 1e-6 * stddev_samp(s) FILTER (i BETWEEN 1 AND 63) THEN max(s - k1 * b) FILTER (i = 0) / stddev_samp(s - k1 * b) FILTER (i BETWEEN 1 AND 63) END AS z
   FROM p JOIN beta USING (instrument_id, symbol) GROUP BY 1, 2
 ), ok AS (
   SELECT instrument_id, symbol, bars, reason, {", ".join(f"CASE WHEN reason IS NULL THEN {c} END AS {c}" for c in ("beta", "corr", "r21", "r63", "idio", "rel21", "rel63", "z"))} FROM res
@@ -110,7 +110,7 @@ CONTEXT_SQL = f"""{M}, {PAIRS}, best AS (
 )
 SELECT t.instrument_id, CAST(s.bars AS BIGINT) AS spy_bars, s.reason AS spy_reason, CASE WHEN t.corr IS NOT NULL THEN t.symbol END AS tracking_etf, {q4(signed("s.beta"))} AS beta_63_spy, {q4(signed("s.corr"))} AS corr_63_spy, {q4(signed("s.r21"))} AS resid_ret_21_spy, {q4(signed("s.r63"))} AS resid_ret_63_spy,
   {q4(signed("s.idio"))} AS idio_vol_63_spy, {q4(signed("s.rel21"))} AS rel_ret_21, {q4(signed("s.rel63"))} AS rel_ret_63, {q4(signed("t.corr"))} AS tracking_corr_63, {q4(signed("t.beta"))} AS tracking_beta_63, {q4(signed("t.r21"))} AS resid_ret_21_tracking, {q4(signed("t.r63"))} AS resid_ret_63_tracking, {q4(signed("t.idio"))} AS idio_vol_63_tracking, {q4(signed("s.z"))} AS resid_z_spy
-FROM best t LEFT JOIN ok s ON s.instrument_id = t.instrument_id AND s.symbol = 'SPY' WHERE t.instrument_id <> 'MKT'"""
+FROM best t LEFT JOIN ok s ON s.instrument_id = t.instrument_id AND s.symbol = 'SPY'"""
 
 RANK = f"""{M}, {adjusted_sql("split_dividend")}, base AS (
   SELECT instrument_id, market_date, close / cum_price_factor * (volume / nullif(cum_volume_factor, 0)) AS dv, row_number() OVER w - 1 AS idx, ln(close / nullif(lead(close) OVER w, 0)) AS lr, (high - low) / nullif(lead(close) OVER w, 0) AS rel, power(ln(high / low), 2) AS park
@@ -152,7 +152,15 @@ FROM g LEFT JOIN v USING (instrument_id, horizon)"""
 
 
 AT = 14 * 60
-MIN = f"mm AS (SELECT *, hour(start) * 60 + minute(start) AS et, close * volume AS dv FROM minutes WHERE hour(start) * 60 + minute(start) BETWEEN 570 AND 960)"
+_LOCAL = {"UTC": "start", "NY": "timezone('America/New_York', timezone('UTC', start))"}
+
+
+def _minutes(zone: str) -> str:
+    at = f"hour({_LOCAL[zone]}) * 60 + minute({_LOCAL[zone]})"
+    return f"mm AS (SELECT *, {at} AS et, close * volume AS dv FROM minutes WHERE {at} BETWEEN 570 AND 960)"
+
+
+
 SESSION_VALUES = {
     "last_price": "last", "cum_dollar_volume": "dv", "minutes_since_open": "n", "session_fraction": "least(1.0, n / 390.0)", "gap_at_open": "fo / nullif(pc, 0) - 1", "session_ret": "last / nullif(fo, 0) - 1", "ret_from_prev_close": "last / nullif(pc, 0) - 1", "vwap_dist": "last / nullif(pv / nullif(v, 0), 0) - 1",
     "session_range_pos": "(last - lo) / nullif(hi - lo, 0)", "session_high_dist": "last / nullif(hi, 0) - 1", "session_low_dist": "last / nullif(lo, 0) - 1", "range_pct_so_far": "(hi - lo) / nullif(pc, 0)", "ret_30m": "last / nullif(c30, 0) - 1", "ret_60m": "last / nullif(c60, 0) - 1",
@@ -160,13 +168,13 @@ SESSION_VALUES = {
 }
 
 
-def _session() -> str:
+def session_sql(zone: str) -> str:
     rows = []
     for m in SESSION:
         short = f"n < {m.min_bars}" + (" OR coalesce(ps, 0) < 5" if m.id == "rvol_pace" else "")
         x = SESSION_VALUES[m.id]
         rows.append(f"SELECT instrument_id, '{m.id}' AS id, CASE WHEN NOT ({short}) THEN {q(x)} END AS value, CAST(n AS BIGINT) AS bars_available, CASE WHEN {short} THEN 'insufficient_window' WHEN ({x}) IS NULL THEN 'undefined_input' END AS reason FROM s")
-    return f"""{M}, {adjusted_sql("split_dividend", Q.DAY)}, {MIN}, vis AS (
+    return f"""{M}, {adjusted_sql("split_dividend", Q.DAY)}, {_minutes(zone)}, vis AS (
   SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY et DESC) - 1 AS idx, lag(close) OVER (PARTITION BY instrument_id ORDER BY et) AS pv1 FROM mm WHERE market_date = DATE '{Q.DAY}' AND et < {AT}
 ), a AS (
   SELECT instrument_id, count(*) AS n, arg_max(close, et) AS last, arg_min(open, et) AS fo, max(high) AS hi, min(low) AS lo, sum((high + low + close) / 3 * volume) AS pv, sum(volume) AS v, sum(dv) AS dv, max(close) FILTER (idx = 30) AS c30, max(close) FILTER (idx = 60) AS c60,
@@ -177,9 +185,9 @@ def _session() -> str:
 {" UNION ALL ".join(rows)}"""
 
 
-def _minute_forward() -> str:
+def minute_forward_sql(zone: str) -> str:
     e = lambda x: q(f"{x} / entry - 1")
-    return f"""{M}, {MIN}, tgt AS (
+    return f"""{M}, {_minutes(zone)}, tgt AS (
   SELECT max(market_date) FILTER (n = 1) AS d1, max(market_date) FILTER (n = 3) AS d3 FROM (SELECT market_date, row_number() OVER (ORDER BY market_date) AS n FROM days WHERE market_scope = 'us_stocks' AND is_open AND market_date > DATE '{Q.DAY}' AND market_date <= (SELECT max(market_date) FROM bars WHERE market_scope = 'us_stocks'))
 ), e AS (
   SELECT instrument_id, min(et) FILTER (et >= {AT}) AS e FROM mm WHERE market_date = DATE '{Q.DAY}' GROUP BY 1
@@ -217,8 +225,8 @@ ORACLE_SQL = {
     "d22_minute_identity": f"{M} SELECT instrument_id, market_date, count(*) AS minutes, CAST(sum(transactions) AS BIGINT) AS transactions FROM minutes GROUP BY 1, 2",
     "d23_minute_unresolved": f"{M} SELECT market_date, symbol, count(*) AS minute_bars FROM raw_minutes ANTI JOIN (SELECT DISTINCT market_date, symbol FROM minutes) USING (market_date, symbol) GROUP BY 1, 2",
     "d24_canonical_bars": f"{M} SELECT * FROM canonical",
-    "d25_dividend_cash": f"{M} SELECT instrument_id, ex_date, expected_currency, {q('cash_amount')} AS cash_amount, currency_mismatch_rows FROM cash",
-    "d26_factor_events": f"{M} SELECT instrument_id, event_date, action_type, {q4('price_factor', 9)} AS price_factor, {q4('volume_factor', 9)} AS volume_factor FROM factors",
+    "d25_dividend_cash": f"{M} SELECT instrument_id, ex_date, expected_currency, {q('cash_amount')} AS cash_amount, currency_mismatch_rows, evidence FROM cash",
+    "d26_factor_events": f"{M} SELECT instrument_id, event_date, action_type, {q4('price_factor', 9)} AS price_factor, {q4('volume_factor', 9)} AS volume_factor, evidence FROM factors",
     "d27_unadjustable": f"{M} SELECT c.instrument_id, c.ex_date, {q('b.close')} AS prev_close, CASE WHEN c.cash_amount = 0 AND expected_currency = 'USD' THEN 'non_usd_only' WHEN c.cash_amount = 0 THEN 'currency_mismatch_only' WHEN b.close IS NULL THEN 'no_prev_close' ELSE 'cash_exceeds_prev_close' END AS reason, {q('c.cash_amount')} AS cash_amount, expected_currency, currency_mismatch_rows FROM cash c ASOF LEFT JOIN canonical b ON c.instrument_id = b.instrument_id AND c.ex_date > b.market_date WHERE c.cash_amount = 0 OR b.close IS NULL OR b.close <= c.cash_amount",
     "d28_adjusted_split_dividend": Q.A20[1],
     "d28_adjusted_split": Q.CA[1],
@@ -233,12 +241,12 @@ ORACLE_SQL = {
     "d41_rank_summary": f"{RANK}, g AS (SELECT *, ret_z IS NOT NULL AS ok, coalesce(dollar_adv21, 0) >= 70000 AS liquid FROM sc) SELECT count(*) AS traded_at_t, count(*) FILTER (ok AND liquid) AS qualifying, count(*) FILTER (ok AND NOT liquid) AS excluded_liquidity, count(*) FILTER (NOT ok) AS excluded_window, {q4('median(abs(ret_z)) FILTER (ok AND liquid)')} AS median_abs_ret_z, {q('avg(CASE WHEN abs(ret_z) > 2 THEN 1.0 ELSE 0.0 END) FILTER (ok AND liquid)')} AS share_abs_ret_z_gt2 FROM g",
     "d42_forward_next_open": _forward("next_open"),
     "d42_forward_t_close": _forward("t_close"),
-    "d43_session_metrics": _session(),
-    "d44_forward_from_minute": _minute_forward(),
+    "d43_session_metrics": session_sql("UTC"),
+    "d44_forward_from_minute": minute_forward_sql("UTC"),
     "d45_parity": f"{M}, {adjusted_sql('split')}, o AS (SELECT * FROM adjusted), p AS (SELECT i.delisted_date IS NULL AS active, abs(o.close - o.rc) AS diff, abs(o.close - o.rc) > greatest(0.01, o.rc * 0.0005) AS bad, abs(o.volume - o.rv) > o.rv * 0.005 + 1 AS vbad FROM o JOIN instruments i USING (instrument_id)) SELECT CASE WHEN grouping(active) = 1 THEN 'all' WHEN active THEN 'active instruments' ELSE 'delisted instruments' END AS segment, count(*) AS bars_compared, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, {q4('max(diff)')} AS max_close_diff, count(*) FILTER (vbad) AS volume_mismatches FROM p GROUP BY GROUPING SETS ((active), ())",
     "d46_minute_segments": f"{M}, {COMPARE} SELECT CASE WHEN auction THEN 'auction bar' ELSE 'no auction bar' END AS close_source, CASE WHEN n >= 390 THEN 'continuous (>=390 bars)' WHEN n >= 100 THEN 'intermittent (100-389)' ELSE 'sparse (<100 bars)' END AS trading_pattern, count(*) AS instrument_days, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, {q4('median(ratio)')} AS volume_ratio_median FROM cmp GROUP BY 1, 2",
     "d46_minute_summary": f"{M}, {COMPARE} SELECT count(*) AS instrument_days, count(DISTINCT market_date) AS dates, count(*) FILTER (bad) AS close_mismatches, {q4(_pct)} AS close_match_pct, count(*) FILTER (viol) AS volume_violations, {q4('median(ratio)')} AS volume_ratio_median, {q4('quantile_cont(ratio, 0.1)')} AS volume_ratio_p10 FROM cmp",
     "d47_continuity": f"{M}, wk AS ({WEEK}), x AS (SELECT DISTINCT market_date, day(market_date) AS d FROM days WHERE market_scope = 'us_stocks'), g AS (SELECT market_date, d <> 13 AS open FROM x WHERE d <> 9), f AS (SELECT DISTINCT market_date FROM bars WHERE source_id = 'polygon' AND day(market_date) <> 17), mr AS (SELECT market_date FROM x WHERE d <> 11), mp AS (SELECT DISTINCT market_date FROM minutes), late AS (SELECT wk.market_date FROM wk JOIN g USING (market_date) WHERE open AND wk.market_date >= DATE '2024-01-05') SELECT 'missing_raw' AS problem, market_date FROM wk WHERE market_date NOT IN (SELECT market_date FROM g) UNION ALL SELECT 'open_day_missing_facts', market_date FROM wk JOIN g USING (market_date) WHERE open AND market_date NOT IN (SELECT market_date FROM f) UNION ALL SELECT 'contradicted_closure', market_date FROM wk JOIN g USING (market_date) WHERE NOT open AND market_date IN (SELECT market_date FROM mp) UNION ALL SELECT 'intraday_missing_raw', market_date FROM late WHERE market_date NOT IN (SELECT market_date FROM mr) UNION ALL SELECT 'intraday_missing_parquet', market_date FROM late WHERE market_date IN (SELECT market_date FROM mr) AND market_date NOT IN (SELECT market_date FROM mp)",
-    "d49_status": f"{M} SELECT 'bars by scope' AS section, market_scope AS item, CAST(count(*) AS VARCHAR) AS value FROM bars GROUP BY 2 UNION ALL SELECT 'last bar by scope', market_scope, CAST(max(market_date) AS VARCHAR) FROM bars GROUP BY 2 UNION ALL SELECT 'instruments by scope', scope, CAST(count(*) AS VARCHAR) FROM instruments GROUP BY 2 UNION ALL SELECT 'symbols by scope', market_scope, CAST(count(*) AS VARCHAR) FROM symbols GROUP BY 2 UNION ALL SELECT 'actions by type', action_type, CAST(count(*) AS VARCHAR) FROM actions GROUP BY 2 UNION ALL SELECT 'open days by calendar', calendar_id, CAST(count(*) AS VARCHAR) FROM days WHERE is_open GROUP BY 2 UNION ALL SELECT 'minute bars by date', CAST(market_date AS VARCHAR), CAST(count(*) AS VARCHAR) FROM minutes GROUP BY 2 UNION ALL SELECT 'traded instruments', 'all', CAST(count(DISTINCT instrument_id) AS VARCHAR) FROM bars",
-    "d50_search": f"{M} SELECT s.instrument_id, s.symbol, i.name, s.market_scope, bool_or(s.valid_to IS NULL) AS current FROM symbols s JOIN instruments i USING (instrument_id) WHERE s.market_scope = 'us_stocks' AND (upper(s.symbol) LIKE 'S1%' OR upper(i.name) LIKE '%S1%') GROUP BY 1, 2, 3, 4 ORDER BY upper(s.symbol) = 'S1' DESC, upper(s.symbol) LIKE 'S1%' DESC, current DESC, s.symbol, s.instrument_id LIMIT 15",
+    "d49_status": f"{M} SELECT 'bars by scope' AS section, market_scope AS item, CAST(count(*) AS VARCHAR) AS value FROM bars GROUP BY 2 UNION ALL SELECT 'last bar by scope', market_scope, CAST(max(market_date) AS VARCHAR) FROM bars GROUP BY 2 UNION ALL SELECT 'instruments by scope', scope, CAST(count(*) AS VARCHAR) FROM instruments GROUP BY 2 UNION ALL SELECT 'symbols by scope', market_scope, CAST(count(*) AS VARCHAR) FROM symbols GROUP BY 2 UNION ALL SELECT 'actions by type', action_type, CAST(count(*) AS VARCHAR) FROM actions GROUP BY 2 UNION ALL SELECT 'open days by calendar', calendar_id, CAST(count(*) AS VARCHAR) FROM days WHERE is_open GROUP BY 2 UNION ALL SELECT 'minute bars by date', CAST(market_date AS VARCHAR), CAST(count(*) AS VARCHAR) FROM minutes GROUP BY 2 UNION ALL SELECT 'traded instruments', 'all', CAST(count(DISTINCT instrument_id) AS VARCHAR) FROM bars UNION ALL SELECT 'ended symbols by scope', market_scope, CAST(count(*) AS VARCHAR) FROM symbols WHERE valid_to IS NOT NULL GROUP BY 2 UNION ALL SELECT * FROM (VALUES ('computed', 'none', 'no action'), ('computed', 'split', 'split, stock_dividend'), ('computed', 'split_dividend', 'split, stock_dividend, cash_dividend'), ('runs', 'r1', 'facts ok 90'), ('runs', 'r2', 'minutes failed 2'), ('runs', 'r3', 'facts running')) v UNION ALL SELECT 'raw files by dataset', 'grouped_daily', CAST(count(*) AS VARCHAR) FROM days WHERE calendar_id = 'XNYS' UNION ALL SELECT 'raw rows by dataset', 'grouped_daily', CAST(5 * count(*) FILTER (is_open) AS VARCHAR) FROM days WHERE calendar_id = 'XNYS' UNION ALL SELECT 'unresolved', 'minute_aggs: no_symbol_match', CAST(count(*) AS VARCHAR) FROM raw_minutes WHERE symbol = 'view' HAVING count(*) > 0",
+    "d50_search": f"{M} SELECT s.instrument_id, s.symbol, CASE WHEN s.valid_to IS NULL THEN 'current' ELSE coalesce(CAST(s.valid_from AS VARCHAR), '…') || ' → ' || CAST(s.valid_to AS VARCHAR) END AS symbol_usage, i.name, s.market_scope FROM symbols s JOIN instruments i USING (instrument_id) WHERE s.market_scope = 'us_stocks' AND (upper(s.symbol) LIKE 'S1%' OR i.name ILIKE '%s1%') ORDER BY upper(s.symbol) = 'S1' DESC, s.valid_to IS NULL DESC, length(s.symbol), s.symbol, s.valid_to DESC NULLS FIRST, s.instrument_id LIMIT 15",
 }

@@ -74,20 +74,22 @@ line AS (
   WHERE (market_scope = 'us_stocks' AND source_id = 'polygon') OR (market_scope = 'cn_stocks' AND source_id = 'baostock')
   QUALIFY row_number() OVER (PARTITION BY instrument_id, market_date ORDER BY volume DESC NULLS LAST, symbol_as_traded) = 1
 ), cash AS (
-  SELECT instrument_id, ex_date, expected_currency, coalesce(sum(cash_amount) FILTER (currency = expected_currency), 0) AS cash_amount, count(*) FILTER (currency <> expected_currency) AS currency_mismatch_rows
+  SELECT instrument_id, ex_date, expected_currency, coalesce(sum(cash_amount) FILTER (currency = expected_currency), 0) AS cash_amount, count(*) FILTER (currency <> expected_currency) AS currency_mismatch_rows,
+         string_agg('CD:' || CAST(cash_amount AS VARCHAR), ',' ORDER BY cash_amount) AS evidence
   FROM (SELECT DISTINCT a.instrument_id, a.ex_date, a.cash_amount, coalesce(nullif(upper(i.currency), ''), 'USD') AS expected_currency,
                coalesce(nullif(upper(a.currency), ''), nullif(upper(i.currency), ''), 'USD') AS currency
         FROM actions a JOIN instruments i USING (instrument_id) WHERE a.action_type = 'cash_dividend' AND a.cash_amount > 0)
   GROUP BY ALL
 ), factors AS (
-  SELECT instrument_id, ex_date AS event_date, 'split' AS action_type, split_from / split_to AS price_factor, split_to / split_from AS volume_factor
+  SELECT instrument_id, ex_date AS event_date, 'split' AS action_type, split_from / split_to AS price_factor, split_to / split_from AS volume_factor,
+    string_agg('polygon:' || action_id, ',' ORDER BY action_id) OVER (PARTITION BY instrument_id, ex_date ORDER BY action_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS evidence
   FROM actions WHERE action_type = 'split' QUALIFY row_number() OVER (PARTITION BY instrument_id, ex_date ORDER BY action_id) = 1
   UNION ALL
-  SELECT c.instrument_id, c.ex_date, 'cash_dividend', 1 - c.cash_amount / b.close, 1.0
+  SELECT c.instrument_id, c.ex_date, 'cash_dividend', 1 - c.cash_amount / b.close, 1.0, c.evidence
   FROM cash c ASOF JOIN canonical b ON c.instrument_id = b.instrument_id AND c.ex_date > b.market_date WHERE c.cash_amount > 0 AND b.close > c.cash_amount
   UNION ALL
-  SELECT instrument_id, ex_date, 'stock_dividend', 1 / (1.0 + sum(bonus_ratio) + sum(conversion_ratio)), 1.0 + sum(bonus_ratio) + sum(conversion_ratio)
-  FROM (SELECT DISTINCT instrument_id, ex_date, bonus_ratio, conversion_ratio FROM actions WHERE action_type = 'stock_dividend') GROUP BY instrument_id, ex_date
+  SELECT instrument_id, ex_date, 'stock_dividend', 1 / (1.0 + sum(bonus_ratio) + sum(conversion_ratio)), 1.0 + sum(bonus_ratio) + sum(conversion_ratio), string_agg('polygon:' || action_id, ',' ORDER BY action_id)
+  FROM (SELECT instrument_id, ex_date, bonus_ratio, conversion_ratio, min(action_id) AS action_id FROM actions WHERE action_type = 'stock_dividend' GROUP BY ALL) GROUP BY instrument_id, ex_date
 )"""
 
 
@@ -135,11 +137,11 @@ def _d24(spark, sf_dir):
 def _d25(spark, sf_dir):
     m = from_driver(spark, sf_dir)
     d = adjust.dividend_cash(m.corporate_actions, m.instruments)
-    return d.select("instrument_id", "ex_date", "expected_currency", rounded("cash_amount").alias("cash_amount"), "currency_mismatch_rows")
+    return d.select("instrument_id", "ex_date", "expected_currency", rounded("cash_amount").alias("cash_amount"), "currency_mismatch_rows", "evidence")
 
 
 def _d26(spark, sf_dir):
-    return from_driver(spark, sf_dir).factors.select("instrument_id", "event_date", "action_type", rounded("price_factor", 9).alias("price_factor"), rounded("volume_factor", 9).alias("volume_factor"))
+    return from_driver(spark, sf_dir).factors.select("instrument_id", "event_date", "action_type", rounded("price_factor", 9).alias("price_factor"), rounded("volume_factor", 9).alias("volume_factor"), "evidence")
 
 
 def _d27(spark, sf_dir):
@@ -190,9 +192,9 @@ def _d35(spark, sf_dir):
 
 
 def _d38(spark, sf_dir):
-    """The residual figures of all instruments but the baseline itself, whose residuals are rounding noise; on a signed
-    logarithmic scale, as returns that are compounded over gaps span twenty orders of magnitude."""
-    c = context.context_at(from_driver(spark, sf_dir), T).filter("instrument_id <> 'MKT'")
+    """The residual figures of all instruments, on a signed logarithmic scale, as returns that are compounded over gaps
+    span twenty orders of magnitude. What is left of the baseline beside itself is rounding, so it is held to zero."""
+    c = context.context_at(from_driver(spark, sf_dir), T)
     return c.select("instrument_id", "spy_bars", "spy_reason", "tracking_etf", *[rounded(F.signum(x) * F.ln(1 + F.abs(x)), 4).alias(x) for x in CONTEXT])
 
 
@@ -269,12 +271,24 @@ def _d47(spark, sf_dir):
     return verify.continuity(fetches, m.bars_daily.filter(F.dayofmonth("market_date") != 17), m.bars_minute, dt.date(2001, 10, 1), dt.date(2024, 1, 5), dt.date(2024, 1, 30))
 
 
+RUNS = [("r1", "facts", "ok", "2024-01-05 10:00:00", "2024-01-05 10:01:30", None), ("r2", "minutes", "failed", "2024-01-06 10:00:00", "2024-01-06 10:00:02", "lost rows"), ("r3", "facts", "running", "2024-01-07 10:00:00", None, None)]
+
+
+def _runs(spark):
+    rows = [(r[0], r[1], r[2], *(x and dt.datetime.fromisoformat(x) for x in r[3:5]), r[5]) for r in RUNS]
+    return spark.createDataFrame(rows, "run_id string, job string, status string, started_at timestamp, finished_at timestamp, error string")
+
+
 def _d49(spark, sf_dir):
-    return verify.status_overview(from_driver(spark, sf_dir))
+    """All sections: the raw side is a file for each ship date, unresolved are the minutes without a symbol."""
+    m = from_driver(spark, sf_dir)
+    days = m.trading_days.filter("calendar_id = 'XNYS'").select(F.lit("grouped_daily").alias("dataset"), F.when(F.col("is_open"), 5).alias("row_count"))
+    lost = m.raw_minutes.filter(F.col("symbol") == UNRESOLVED_EVENT).select(F.lit("minute_aggs").alias("dataset"), F.lit("no_symbol_match").alias("reason"))
+    return verify.status_overview(m, days, lost, _runs(spark))
 
 
 def _d50(spark, sf_dir):
-    return verify.search(from_driver(spark, sf_dir), "s1", "us_stocks", 15).select("instrument_id", "symbol", "name", "market_scope", "current")
+    return verify.search(from_driver(spark, sf_dir), "s1", "us_stocks", 15)
 
 
 def _d1(spark, sf_dir):
@@ -295,19 +309,14 @@ def _s3_json(spark, sf_dir):
     return e.select("event_type", F.from_json("props", "k long")["k"].alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
 
 
-def _streaks_sma(spark, sf_dir):
-    """Moving averages that are null until their window is full."""
-    from pyspark.sql import Window
-
-    b = from_driver(spark, sf_dir).canonical
-    w = Window.partitionBy("instrument_id").orderBy("market_date")
-    sma = lambda n: F.when(F.row_number().over(w) >= n, rounded(F.avg("close").over(w.rowsBetween(-(n - 1), 0)), 3)).alias(f"sma{n}")
-    return b.select("instrument_id", "market_date", sma(20), sma(50), sma(200))
+def _sma(spark, sf_dir):
+    a = series.moving_averages(from_driver(spark, sf_dir).canonical)
+    return a.select("instrument_id", "market_date", *[rounded(c, 3).alias(c) for c in ("sma20", "sma50", "sma200")])
 
 
 A20, CA = _adjusted("split_dividend"), _adjusted("split")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "d1_deterministic_uuid": _d1, "f7_classification": _f7, "s1_json_parse": _s3_json, "j2_temporal_join": _j2, "w14_moving_averages": _streaks_sma,
+    "d1_deterministic_uuid": _d1, "f7_classification": _f7, "s1_json_parse": _s3_json, "j2_temporal_join": _j2, "w14_moving_averages": _sma,
     "d22_minute_identity": _d22, "d23_minute_unresolved": _d23, "d24_canonical_bars": _d24, "d25_dividend_cash": _d25, "d26_factor_events": _d26, "d27_unadjustable": _d27,
     "d28_adjusted_split_dividend": A20[0], "d28_adjusted_split": CA[0], "d28_adjusted_none": _adjusted("none")[0], "d28_adjusted_as_of": _adjusted("split_dividend", AS_OF)[0], "d29_adjusted_for": _adjusted("split_dividend", None, "cn_stocks")[0],
     "d30_adjusted_minutes": _d30, "d33_return_series": _d33, "d35_metrics_at": _d35, "d39_context_at": _d38, "d41_rank_at": _d41, "d41_rank_summary": _d41_summary,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.plans import oracle, queries, raw_queries
+from basalt.plans import more_queries, oracle, queries, raw_queries
 
-QUERIES = queries.QUERIES | raw_queries.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | raw_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | more_queries.QUERIES | raw_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | more_queries.ORACLE_SQL | raw_queries.ORACLE_SQL
