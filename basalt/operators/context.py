@@ -76,14 +76,12 @@ def context_at(market, t: dt.date, candidates: tuple[str, ...] = CONTEXT_ETFS, i
     etfs = resolve_symbols(market, candidates, t).withColumnRenamed("instrument_id", "etf_id")
     base = lr.withColumnRenamed("instrument_id", "etf_id").join(F.broadcast(etfs), "etf_id").select("symbol", "market_date", F.col("lr").alias("b"))  # at most 19 rows
     stocks = lr if ids is None else lr.filter(F.col("instrument_id").isin(*ids))
-    r = residuals(pair_returns(stocks, base), ["instrument_id", "symbol"]).cache()
-    spy = r.filter(F.col("symbol") == BASELINE).select(
-        "instrument_id", F.col("bars").alias("spy_bars"), F.col("reason").alias("spy_reason"), F.col("beta").alias("beta_63_spy"), F.col("corr").alias("corr_63_spy"), F.col("resid_ret_21").alias("resid_ret_21_spy"), F.col("resid_ret_63").alias("resid_ret_63_spy"),
-        F.col("idio_vol").alias("idio_vol_63_spy"), "rel_ret_21", "rel_ret_63", F.col("resid_z").alias("resid_z_spy"),
-    )
-    best = first_by(r, ["instrument_id"], F.desc_nulls_last("corr"), F.when(F.col("corr").isNull(), -F.col("bars")), F.asc("symbol"))
-    track = best.select(
-        "instrument_id", F.col("bars").alias("tracking_bars"), F.col("reason").alias("tracking_reason"), F.when(F.col("corr").isNotNull(), F.col("symbol")).alias("tracking_etf"), F.col("corr").alias("tracking_corr_63"), F.col("beta").alias("tracking_beta_63"),
-        F.col("resid_ret_21").alias("resid_ret_21_tracking"), F.col("resid_ret_63").alias("resid_ret_63_tracking"), F.col("idio_vol").alias("idio_vol_63_tracking"),
-    )
-    return track.join(spy, "instrument_id", "left")
+    r = residuals(pair_returns(stocks, base), ["instrument_id", "symbol"])
+    # one aggregation gives the baseline's figures and those of the best candidate: the most correlated, else the one with most bars
+    named = lambda cols: F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
+    spy = named({"bars": "spy_bars", "reason": "spy_reason", "beta": "beta_63_spy", "corr": "corr_63_spy", "resid_ret_21": "resid_ret_21_spy", "resid_ret_63": "resid_ret_63_spy", "idio_vol": "idio_vol_63_spy", "rel_ret_21": "rel_ret_21", "rel_ret_63": "rel_ret_63", "resid_z": "resid_z_spy"})
+    track = named({"bars": "tracking_bars", "reason": "tracking_reason", "symbol": "tracking_etf", "corr": "tracking_corr_63", "beta": "tracking_beta_63", "resid_ret_21": "resid_ret_21_tracking", "resid_ret_63": "resid_ret_63_tracking", "idio_vol": "idio_vol_63_tracking"})
+    none = F.col("corr").isNull()
+    order = F.struct(none.alias("none"), (-F.col("corr")).alias("corr"), F.when(none, -F.col("bars")).alias("bars"), "symbol")
+    both = r.groupBy("instrument_id").agg(F.min_by(track, order).alias("t"), F.max_by(spy, F.when(F.col("symbol") == BASELINE, 1)).alias("s")).select("instrument_id", "t.*", "s.*")
+    return both.withColumn("tracking_etf", F.when(F.col("tracking_corr_63").isNotNull(), F.col("tracking_etf")))

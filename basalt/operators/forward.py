@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basalt.functions.columns import ratio
 from basalt.functions.dates import local_minute
 from basalt.functions.text import one_of, session_minute
+from basalt.operators.adjust import apply_factors, with_action_factors
 from basalt.operators.session import SESSIONS
 
 HORIZONS = (1, 5, 21, 63, 126, 252)
@@ -51,13 +52,13 @@ def forward_returns(market, t: dt.date, policy: str = "split_dividend", horizons
     """
     horizons, _ = checked_horizons(horizons), one_of(entry, ENTRIES, "entry")
     m = market if ids is None else market.only(ids)
-    targets = _targets(market, t, horizons).cache()
+    targets = _targets(market, t, horizons)
     last = targets.agg(F.max("target")).first()[0]
     if anchor is not None and last is not None and anchor < last:
         raise ValueError(f"the adjustment anchor {anchor} is before the horizon {last}")
     T, day = F.lit(t), F.col("market_date")
     scope = m.instruments.select("instrument_id", F.col("primary_market_scope").alias("market_scope"), "delisted_date")
-    bars = m.adjusted(policy, anchor or last or t).filter(day >= T)
+    bars = m.adjusted(policy, anchor or last or t, since=t)
     w = Window.partitionBy("instrument_id")
     second = F.min(F.when(day > T, day)).over(w)
     entry_day = T if entry == "t_close" else second
@@ -101,13 +102,12 @@ def forward_from_minute(market, scope: str, day: dt.date, minute: str, ids: list
     path = F.col("et") > F.col("e")
     e = entry.groupBy("instrument_id").agg(F.min("e").alias("e"), F.max(F.when(F.col("et") == F.col("e"), F.col("open"))).alias("raw"), F.min(F.when(path, F.col("low"))).alias("lo"), F.max(F.when(path, F.col("high"))).alias("hi"), F.count_if(F.col("et") >= F.col("e")).alias("n"))
     # the anchor is by instrument: its next bar may lie past the calendar targets
-    nexts = m.canonical.filter(date > D).groupBy("instrument_id").agg(F.min("market_date").alias("next_bar"))
+    later = m.canonical.filter(date >= D)
+    nexts = later.filter(date > D).groupBy("instrument_id").agg(F.min("market_date").alias("next_bar"))
     known = [d for d in (day, target.get(1), target.get(3)) if d]
     bound = e.select("instrument_id").join(nexts, "instrument_id", "left").select("instrument_id", F.greatest(F.lit(max(known)), "next_bar").alias("anchor"))
-    tape = m.canonical.join(bound, "instrument_id").filter(date <= F.col("anchor")).drop("anchor")
-    from basalt.operators.adjust import apply_factors, with_factors
-
-    daily = apply_factors(with_factors(tape, m.factors, "split_dividend")).filter(date >= D)
+    tape = later.join(bound, "instrument_id").filter(date <= F.col("anchor")).drop("anchor")
+    daily = apply_factors(with_action_factors(tape, m.corporate_actions, m.instruments, "split_dividend", since=day))
     aggs = [F.max(F.when(date == D, F.col("cum_price_factor"))).alias("factor"), F.max(F.when(date == D, F.col("close"))).alias("day_close"), F.min(F.when(date > D, date)).alias("next_date"), F.min_by("open", F.when(date > D, date)).alias("next_open")]
     for n in (1, 3):
         if n in target:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.functions.columns import ratio, safe_ln, when_idx
+from basalt.functions.columns import ratio, safe_ln, valid_at, when_idx
 from basalt.functions.text import clamp, one_of
 from basalt.operators.context import BASELINE, pair_returns, residuals, resolve_symbols
 
@@ -61,8 +61,8 @@ def scores(market, t: dt.date, scope: str, snapshot: DataFrame | None = None) ->
 def rank_at(market, scope: str, t: dt.date | None = None, sort: str | None = None, min_dollar_adv: float = 0, limit: int | None = None, snapshot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The ranked page (rank, instrument_id, scores, symbol, name) and a row of counts and gauges of the universe.
 
-    The page comes from a top-k, not from a sorted list on one machine; labels
-    are looked up for the page only.
+    The page comes from a top-k, not from a sorted list on one machine. Each of
+    the two is a plan of its own: who needs both may persist :func:`scores`.
     """
     if t is None:
         t = market.bars_daily.filter(F.col("market_scope") == scope).agg(F.max("market_date")).first()[0]
@@ -72,12 +72,12 @@ def rank_at(market, scope: str, t: dt.date | None = None, sort: str | None = Non
     sort = one_of(sort or ("resid_z" if baseline else "ret_z"), SORTS, "sort")
     if sort == "resid_z" and not baseline:
         raise ValueError(f"no market baseline in {scope}: sort by ret_z")
-    s = s.withColumns({"has_sort": F.col(sort).isNotNull(), "liquid": F.coalesce("dollar_adv21", F.lit(0.0)) >= min_dollar_adv}).cache()
+    s = s.withColumns({"has_sort": F.col(sort).isNotNull(), "liquid": F.coalesce("dollar_adv21", F.lit(0.0)) >= min_dollar_adv})
     good, k = F.col("has_sort") & F.col("liquid"), clamp(limit, LIMIT, 1, MOST)
     page = s.filter(good).orderBy(F.desc(F.abs(sort)), "instrument_id").limit(k)
     page = page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs(sort)), "instrument_id"))).drop("has_sort", "liquid")  # at most 500 rows
-    label = market.symbols.filter((F.col("valid_from").isNull() | (F.col("valid_from") <= F.lit(t))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(t))))
-    label = label.join(F.broadcast(page.select("instrument_id")), "instrument_id").groupBy("instrument_id").agg(F.min("symbol").alias("symbol"))
+    valid = valid_at(F.lit(t), "valid_from", "valid_to")
+    label = market.symbols.filter(valid).groupBy("instrument_id").agg(F.min("symbol").alias("symbol"))
     page = page.join(label, "instrument_id", "left").join(market.instruments.select("instrument_id", "name"), "instrument_id", "left")
     z = F.abs("ret_z")
     summary = s.agg(
