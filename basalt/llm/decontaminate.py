@@ -26,7 +26,6 @@ whatever their names, in ``clean``.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np

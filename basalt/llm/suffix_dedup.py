@@ -204,6 +204,17 @@ def _compared(batches):
     yield from _rows(held, False)
 
 
+def _settled(batches, window: np.ndarray, low: np.ndarray):
+    """doc_id, begin, stop, later: open rows whose window is in ``window`` (sorted, with the least doc_id of each) are repeats."""
+    for b in batches:
+        w, d, g, state = (b.column(j).to_numpy() for j in range(4))
+        at = np.searchsorted(window, w)
+        known = (at < len(window)) & (np.append(window, 0)[at] == w)
+        use = (state != OPEN) | known
+        later = np.where(state == OPEN, d > np.append(low, 0)[at], state == LATER)
+        yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (d, g, g + PASSAGE, later)], ["doc_id", "begin", "stop", "later"])
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, begin, stop, later: passages (words begin..stop-1) whose windows another document has too, all of
     them a document with a smaller doc_id where ``later``. Together the rows cover all repeats."""
@@ -246,14 +257,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(tuple(ends[c].to_numpy() for c in ("window", "low")))
 
     def settled(batches):
-        window, low = sent.value
-        for b in batches:
-            w, d, g, state = (b.column(j).to_numpy() for j in range(4))
-            at = np.searchsorted(window, w)
-            known = np.append(window, 0)[at] == w if len(window) else np.zeros(len(w), bool)
-            use = (state != OPEN) | known & (at < len(window))
-            later = np.where(state == OPEN, d > np.append(low, 0)[at], state == LATER)
-            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (d, g, g + PASSAGE, later)], ["doc_id", "begin", "stop", "later"])
+        return _settled(batches, *sent.value)
 
     return found.mapInArrow(settled, SPANS).union(copies)
 

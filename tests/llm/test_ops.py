@@ -606,47 +606,89 @@ def exact_spans(texts):
     return out
 
 
-def check_spans(spark, texts):
+def check_spans(spark, ranges, texts):
+    """Exact spans, with the sorted rows in so many ranges: of the many, most hold a part of one run."""
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
     want = exact_spans(texts)
     flat = lambda spans: {w for s in spans for w in range(s.begin, s.stop)}
-    got = {r.doc_id: r for r in suffix_dedup.mark(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r for r in suffix_dedup.mark(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for i, r in got.items():
         assert (flat(r.spans), flat(r.removable)) == want[i], i
         assert (r.n_repeated, r.n_removable) == tuple(map(len, want[i]))
     return got
 
 
-@pytest.mark.parametrize("group", [20_000, 10])
-def test_suffix_dedup_passage_of_many_documents(spark, monkeypatch, group):
+@pytest.mark.parametrize("ranges", [4, 61])
+def test_suffix_dedup_passage_of_many_documents(spark, ranges):
     """Each document but the first loses the passage, whatever stands around it."""
-    monkeypatch.setattr(suffix_dedup, "GROUP", group, raising=False)
     r = random.Random(7)
     passage = prose(57, r)
-    got = check_spans(spark, {i: f"{prose(r.randint(60, 90), r)} {passage} {prose(r.randint(60, 90), r)}" for i in range(120)})
+    got = check_spans(spark, ranges, {i: f"{prose(r.randint(60, 90), r)} {passage} {prose(r.randint(60, 90), r)}" for i in range(120)})
     assert got[0].n_removable == 0 and all(got[i].n_removable >= 57 for i in range(1, 120))
 
 
-@pytest.mark.parametrize("group", [20_000, 10])
-def test_suffix_dedup_one_word_many_times(spark, monkeypatch, group):
+@pytest.mark.parametrize("ranges", [4, 61])
+def test_suffix_dedup_one_word_many_times(spark, ranges):
     """Thousands of equal windows in each of two documents."""
-    monkeypatch.setattr(suffix_dedup, "GROUP", group, raising=False)
     r = random.Random(8)
-    got = check_spans(spark, {i: f"{prose(60, r)} {'word ' * (3000 + 500 * i)} {prose(60, r)}" for i in range(2)})
+    got = check_spans(spark, ranges, {i: f"{prose(60, r)} {'word ' * (3000 + 500 * i)} {prose(60, r)}" for i in range(2)})
     assert got[0].n_repeated >= 3000 and got[1].n_removable >= 3500
 
 
-@pytest.mark.parametrize("group", [20_000, 10])
-def test_suffix_dedup_beside_a_frequent_phrase(spark, monkeypatch, group):
+@pytest.mark.parametrize("ranges", [4, 61])
+def test_suffix_dedup_beside_a_frequent_phrase(spark, ranges):
     """Pairs share a few words of their own before a phrase that many documents hold."""
-    monkeypatch.setattr(suffix_dedup, "GROUP", group, raising=False)
     r = random.Random(9)
     phrase, own = prose(35, r), [prose(25, r) for _ in range(40)]
     texts = {i: f"{prose(40, r)} {phrase} {prose(40, r)}" for i in range(600)}
-    got = check_spans(spark, texts | {1000 + i: f"{prose(40, r)} {own[i % 40]} {phrase} {prose(40, r)}" for i in range(80)})
+    got = check_spans(spark, ranges, texts | {1000 + i: f"{prose(40, r)} {own[i % 40]} {phrase} {prose(40, r)}" for i in range(80)})
     assert all((got[1000 + i].n_repeated >= 60) and (got[1000 + i].n_removable >= 60) == (i >= 40) for i in range(80))
 
 
+@pytest.mark.parametrize("wait", [2, 7, 1_000_000])
+def test_suffix_runs_over_ranges_and_batches(monkeypatch, wait):
+    """Runs of equal windows cut anywhere, by ranges and by batches, and longer than what may wait."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "WAIT", wait)
+    r = random.Random(wait)
+    for _ in range(60):
+        rows = sorted({(r.choice([-5, 0, 3, r.randrange(50)]), r.randrange(r.choice([1, 2, 9])), k) for k in range(r.randrange(1, 80))})
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], pa.int64()) for j in range(3)], ["window", "doc_id", "begin"])
+        cuts = lambda n: sorted({0, n, *(r.randrange(n + 1) for _ in range(r.randrange(5)))})
+        found, at = [], cuts(len(rows))
+        for a, b in zip(at, at[1:], strict=False):
+            part = rows[a:b]
+            inner = cuts(len(part))
+            found += suffix_dedup._compared([batch(part[c:d]) for c, d in zip(inner, inner[1:], strict=False)] + [batch([])])
+        open_ = [(w, d) for b in found for w, d, s in zip(b["window"].to_pylist(), b["doc_id"].to_pylist(), b["state"].to_pylist(), strict=True) if s == suffix_dedup.OPEN]
+        ends = sorted((w, min(d for x, d in open_ if x == w)) for w in {w for w, _ in open_} if len({d for x, d in open_ if x == w}) > 1)
+        got = suffix_dedup._settled(found, np.array([w for w, _ in ends], np.int64), np.array([d for _, d in ends], np.int64))
+        have = sorted((x["doc_id"], x["begin"], x["later"]) for b in got for x in b.to_pylist())
+        docs_of = {w: {d for x, d, _ in rows if x == w} for w, _, _ in rows}
+        assert have == sorted((d, g, d > min(docs_of[w])) for w, d, g in rows if len(docs_of[w]) > 1)
+
+
+def test_suffix_neighbours_over_batches():
+    """Rows that share their suffix with a neighbour stay, wherever batches are cut; the range's edges stay too."""
+    import pyarrow as pa
+
+    r = random.Random(15)
+    for _ in range(60):
+        rows = sorted((r.randrange(12), k) for k in range(r.randrange(1, 30)))
+        cuts = sorted({0, len(rows), *(r.randrange(len(rows) + 1) for _ in range(4))})
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows[a:b]], pa.int64()), pa.array([x[0] for x in rows[a:b]], pa.int64())], ["doc_id", "suffix"]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        got = [(x["suffix"], x["doc_id"]) for b in suffix_dedup._neighbours(batches) for x in b.to_pylist()]
+        many = {s for s, _ in rows if sum(x == s for x, _ in rows) > 1}
+        assert got == [x for i, x in enumerate(rows) if x[0] in many or i in (0, len(rows) - 1)]
+
+
 def test_language_of_few_labels(spark):
     """A language with a few labelled documents does not take the texts of the others."""
     r = random.Random(6)
