@@ -62,40 +62,39 @@ def rounded(x, digits: int = 6) -> Column:
 
 
 #: Vendor security type code, instrument type, security form.
-INSTRUMENT_TYPES = """
-CS common_stock common_stock
-OS ordinary_shares common_stock_like
-PFD preferred_stock preferred
-ETF etf fund
-ETN etn note
-ETV etv fund
-ETS ets fund
-FUND closed_end_fund fund
-BASKET basket fund
-UNIT unit unit
-RIGHT right right
-WARRANT warrant warrant
-ADRC adr_common adr
-ADRP adr_preferred adr
-ADRR adr_right adr
-ADRW adr_warrant adr
-GDR gdr adr
-NYRS ny_registry_shares adr
-SP structured_product structured_product
-BOND bond bond
-AGEN agency_bond bond
-EQLK equity_linked_bond bond
-LT liquidating_trust trust
-"""
+INSTRUMENT_TYPES = (
+    ("CS", "common_stock", "common_stock"),
+    ("OS", "ordinary_shares", "common_stock_like"),
+    ("PFD", "preferred_stock", "preferred"),
+    ("ETF", "etf", "fund"),
+    ("ETN", "etn", "note"),
+    ("ETV", "etv", "fund"),
+    ("ETS", "ets", "fund"),
+    ("FUND", "closed_end_fund", "fund"),
+    ("BASKET", "basket", "fund"),
+    ("UNIT", "unit", "unit"),
+    ("RIGHT", "right", "right"),
+    ("WARRANT", "warrant", "warrant"),
+    ("ADRC", "adr_common", "adr"),
+    ("ADRP", "adr_preferred", "adr"),
+    ("ADRR", "adr_right", "adr"),
+    ("ADRW", "adr_warrant", "adr"),
+    ("GDR", "gdr", "adr"),
+    ("NYRS", "ny_registry_shares", "adr"),
+    ("SP", "structured_product", "structured_product"),
+    ("BOND", "bond", "bond"),
+    ("AGEN", "agency_bond", "bond"),
+    ("EQLK", "equity_linked_bond", "bond"),
+    ("LT", "liquidating_trust", "trust"),
+)
 UNKNOWN_TYPE = "unknown_stock_like"
 CLEAN_COMMON_STOCK = ("CS",)
 
 
 def classify(code) -> Column:
     """Struct (instrument_type, security_form, is_clean_common_stock) of a vendor type code in any case."""
-    rows = [line.split() for line in INSTRUMENT_TYPES.strip().splitlines()]
     code = F.upper(F.coalesce(_c(code), F.lit("")))
-    kind, form = (F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[i])]) for i in (1, 2))
+    kind, form = (F.create_map(*[F.lit(x) for r in INSTRUMENT_TYPES for x in (r[0], r[i])]) for i in (1, 2))
     return F.struct(
         F.coalesce(F.element_at(kind, code), F.lit(UNKNOWN_TYPE)).alias("instrument_type"),
         F.coalesce(F.element_at(form, code), F.lit(UNKNOWN_TYPE)).alias("security_form"),

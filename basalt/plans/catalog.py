@@ -19,98 +19,92 @@ class Metric(NamedTuple):
 
 
 #: Id, family, window, least bars, available at, basis, unit.
-DAILY_TEXT = """
-close_raw state 1 1 close raw currency
-dollar_adv21_log10 state 21 22 close dollar log10_currency
-listed_bars state all 1 close raw bars
-active_at_t state - 1 close raw boolean
-ret_1d returns 1 2 close adj ratio
-ret_5d returns 5 6 close adj ratio
-ret_21d returns 21 22 close adj ratio
-ret_63d returns 63 64 close adj ratio
-ret_126d returns 126 127 close adj ratio
-ret_252d returns 252 253 close adj ratio
-mom_12_1 returns 252 253 close adj ratio
-gap gap 1 2 open adj ratio
-gap_freq_63d gap 63 64 close adj share
-abs_gap_med_63d gap 63 64 close adj ratio
-close_vs_sma20 trend 20 20 close adj ratio
-close_vs_sma50 trend 50 50 close adj ratio
-close_vs_sma200 trend 200 200 close adj ratio
-sma50_vs_sma200 trend 200 200 close adj ratio
-high_252_dist trend 252 252 close adj ratio
-low_252_dist trend 252 252 close adj ratio
-drawdown_252 trend 252 252 close adj ratio
-up_streak trend all 2 close adj bars
-up_days_21d trend 21 22 close adj share
-vol_21d volatility 21 22 close adj annualized
-vol_63d volatility 63 64 close adj annualized
-vol_ratio_21_63 volatility 63 64 close adj ratio
-parkinson_21d volatility 21 21 close raw annualized
-atr_pct_14 volatility 14 15 close adj ratio
-max_abs_ret_21d volatility 21 22 close adj ratio
-range_pct volatility 1 1 close raw ratio
-clv volatility 1 1 close raw ratio
-rvol_21d volume 21 22 close dollar ratio
-volume_trend_5_63 volume 63 63 close dollar ratio
-amihud_21d volume 21 22 close dollar per_1e6_currency
-suspended_days_63d volume 63 1 close raw share
-days_since_split events all 1 close raw bars
-days_since_dividend events all 1 close raw bars
-declared_ex_days events - 1 close raw open_days
-div_yield_ttm events 252 253 close raw ratio
-beta_63_spy context 63 64 close adj beta
-corr_63_spy context 63 64 close adj correlation
-resid_ret_21_spy context 21 64 close adj ratio
-resid_ret_63_spy context 63 64 close adj ratio
-idio_vol_63_spy context 63 64 close adj annualized
-rel_ret_21 context 21 22 close adj ratio
-rel_ret_63 context 63 64 close adj ratio
-tracking_etf context 63 64 close adj symbol
-tracking_corr_63 context 63 64 close adj correlation
-tracking_beta_63 context 63 64 close adj beta
-resid_ret_21_tracking context 21 64 close adj ratio
-resid_ret_63_tracking context 63 64 close adj ratio
-idio_vol_63_tracking context 63 64 close adj annualized
-resid_z_spy context 63 65 close adj sigma
-resid_z_vadj_spy context 63 65 close adj sigma
-yz_vol_21d volatility 21 22 close adj annualized
-range_med_21d surprise 21 22 close adj ratio
-range_surprise surprise 21 22 close adj ratio
-ret_z_21d surprise 21 22 close adj sigma
-ret_z_vadj_21d surprise 21 22 close dollar sigma
-ret_pctile_252d surprise 252 253 close adj share
-ret_kurt_252d surprise 252 253 close adj ratio
-"""
-SESSION_TEXT = """
-last_price session 1 1 minute raw currency
-cum_dollar_volume session all 1 minute dollar currency
-minutes_since_open session all 1 minute raw bars
-session_fraction session all 1 minute raw share
-gap_at_open session 1 1 minute adj ratio
-session_ret session all 1 minute raw ratio
-ret_from_prev_close session all 1 minute adj ratio
-vwap_dist session all 1 minute raw ratio
-session_range_pos session all 1 minute raw ratio
-session_high_dist session all 1 minute raw ratio
-session_low_dist session all 1 minute raw ratio
-range_pct_so_far session all 1 minute adj ratio
-ret_30m session 30 31 minute raw ratio
-ret_60m session 60 61 minute raw ratio
-session_vol session all 22 minute raw annualized
-up_minutes_share session all 22 minute raw share
-rvol_pace session all 1 minute dollar ratio
-"""
+DAILY = (
+    Metric("close_raw", "state", "1", 1, "close", "raw", "currency"),
+    Metric("dollar_adv21_log10", "state", "21", 22, "close", "dollar", "log10_currency"),
+    Metric("listed_bars", "state", "all", 1, "close", "raw", "bars"),
+    Metric("active_at_t", "state", "-", 1, "close", "raw", "boolean"),
+    Metric("ret_1d", "returns", "1", 2, "close", "adj", "ratio"),
+    Metric("ret_5d", "returns", "5", 6, "close", "adj", "ratio"),
+    Metric("ret_21d", "returns", "21", 22, "close", "adj", "ratio"),
+    Metric("ret_63d", "returns", "63", 64, "close", "adj", "ratio"),
+    Metric("ret_126d", "returns", "126", 127, "close", "adj", "ratio"),
+    Metric("ret_252d", "returns", "252", 253, "close", "adj", "ratio"),
+    Metric("mom_12_1", "returns", "252", 253, "close", "adj", "ratio"),
+    Metric("gap", "gap", "1", 2, "open", "adj", "ratio"),
+    Metric("gap_freq_63d", "gap", "63", 64, "close", "adj", "share"),
+    Metric("abs_gap_med_63d", "gap", "63", 64, "close", "adj", "ratio"),
+    Metric("close_vs_sma20", "trend", "20", 20, "close", "adj", "ratio"),
+    Metric("close_vs_sma50", "trend", "50", 50, "close", "adj", "ratio"),
+    Metric("close_vs_sma200", "trend", "200", 200, "close", "adj", "ratio"),
+    Metric("sma50_vs_sma200", "trend", "200", 200, "close", "adj", "ratio"),
+    Metric("high_252_dist", "trend", "252", 252, "close", "adj", "ratio"),
+    Metric("low_252_dist", "trend", "252", 252, "close", "adj", "ratio"),
+    Metric("drawdown_252", "trend", "252", 252, "close", "adj", "ratio"),
+    Metric("up_streak", "trend", "all", 2, "close", "adj", "bars"),
+    Metric("up_days_21d", "trend", "21", 22, "close", "adj", "share"),
+    Metric("vol_21d", "volatility", "21", 22, "close", "adj", "annualized"),
+    Metric("vol_63d", "volatility", "63", 64, "close", "adj", "annualized"),
+    Metric("vol_ratio_21_63", "volatility", "63", 64, "close", "adj", "ratio"),
+    Metric("parkinson_21d", "volatility", "21", 21, "close", "raw", "annualized"),
+    Metric("atr_pct_14", "volatility", "14", 15, "close", "adj", "ratio"),
+    Metric("max_abs_ret_21d", "volatility", "21", 22, "close", "adj", "ratio"),
+    Metric("range_pct", "volatility", "1", 1, "close", "raw", "ratio"),
+    Metric("clv", "volatility", "1", 1, "close", "raw", "ratio"),
+    Metric("rvol_21d", "volume", "21", 22, "close", "dollar", "ratio"),
+    Metric("volume_trend_5_63", "volume", "63", 63, "close", "dollar", "ratio"),
+    Metric("amihud_21d", "volume", "21", 22, "close", "dollar", "per_1e6_currency"),
+    Metric("suspended_days_63d", "volume", "63", 1, "close", "raw", "share"),
+    Metric("days_since_split", "events", "all", 1, "close", "raw", "bars"),
+    Metric("days_since_dividend", "events", "all", 1, "close", "raw", "bars"),
+    Metric("declared_ex_days", "events", "-", 1, "close", "raw", "open_days"),
+    Metric("div_yield_ttm", "events", "252", 253, "close", "raw", "ratio"),
+    Metric("beta_63_spy", "context", "63", 64, "close", "adj", "beta"),
+    Metric("corr_63_spy", "context", "63", 64, "close", "adj", "correlation"),
+    Metric("resid_ret_21_spy", "context", "21", 64, "close", "adj", "ratio"),
+    Metric("resid_ret_63_spy", "context", "63", 64, "close", "adj", "ratio"),
+    Metric("idio_vol_63_spy", "context", "63", 64, "close", "adj", "annualized"),
+    Metric("rel_ret_21", "context", "21", 22, "close", "adj", "ratio"),
+    Metric("rel_ret_63", "context", "63", 64, "close", "adj", "ratio"),
+    Metric("tracking_etf", "context", "63", 64, "close", "adj", "symbol"),
+    Metric("tracking_corr_63", "context", "63", 64, "close", "adj", "correlation"),
+    Metric("tracking_beta_63", "context", "63", 64, "close", "adj", "beta"),
+    Metric("resid_ret_21_tracking", "context", "21", 64, "close", "adj", "ratio"),
+    Metric("resid_ret_63_tracking", "context", "63", 64, "close", "adj", "ratio"),
+    Metric("idio_vol_63_tracking", "context", "63", 64, "close", "adj", "annualized"),
+    Metric("resid_z_spy", "context", "63", 65, "close", "adj", "sigma"),
+    Metric("resid_z_vadj_spy", "context", "63", 65, "close", "adj", "sigma"),
+    Metric("yz_vol_21d", "volatility", "21", 22, "close", "adj", "annualized"),
+    Metric("range_med_21d", "surprise", "21", 22, "close", "adj", "ratio"),
+    Metric("range_surprise", "surprise", "21", 22, "close", "adj", "ratio"),
+    Metric("ret_z_21d", "surprise", "21", 22, "close", "adj", "sigma"),
+    Metric("ret_z_vadj_21d", "surprise", "21", 22, "close", "dollar", "sigma"),
+    Metric("ret_pctile_252d", "surprise", "252", 253, "close", "adj", "share"),
+    Metric("ret_kurt_252d", "surprise", "252", 253, "close", "adj", "ratio"),
+)
+SESSION = (
+    Metric("last_price", "session", "1", 1, "minute", "raw", "currency"),
+    Metric("cum_dollar_volume", "session", "all", 1, "minute", "dollar", "currency"),
+    Metric("minutes_since_open", "session", "all", 1, "minute", "raw", "bars"),
+    Metric("session_fraction", "session", "all", 1, "minute", "raw", "share"),
+    Metric("gap_at_open", "session", "1", 1, "minute", "adj", "ratio"),
+    Metric("session_ret", "session", "all", 1, "minute", "raw", "ratio"),
+    Metric("ret_from_prev_close", "session", "all", 1, "minute", "adj", "ratio"),
+    Metric("vwap_dist", "session", "all", 1, "minute", "raw", "ratio"),
+    Metric("session_range_pos", "session", "all", 1, "minute", "raw", "ratio"),
+    Metric("session_high_dist", "session", "all", 1, "minute", "raw", "ratio"),
+    Metric("session_low_dist", "session", "all", 1, "minute", "raw", "ratio"),
+    Metric("range_pct_so_far", "session", "all", 1, "minute", "adj", "ratio"),
+    Metric("ret_30m", "session", "30", 31, "minute", "raw", "ratio"),
+    Metric("ret_60m", "session", "60", 61, "minute", "raw", "ratio"),
+    Metric("session_vol", "session", "all", 22, "minute", "raw", "annualized"),
+    Metric("up_minutes_share", "session", "all", 22, "minute", "raw", "share"),
+    Metric("rvol_pace", "session", "all", 1, "minute", "dollar", "ratio"),
+)
 #: Candidates for the tracking ETF, the market's first.
 CONTEXT_ETFS = ("SPY", "QQQ", "IWM", "DIA", "XLK", "XLF", "XLE", "XLV", "XLI", "XLY", "XLP", "XLB", "XLRE", "XLU", "XLC", "SMH", "XBI", "KRE", "XOP")
 
 
-def _read(text: str) -> tuple[Metric, ...]:
-    rows = (line.split() for line in text.strip().splitlines())
-    return tuple(Metric(r[0], r[1], r[2], int(r[3]), r[4], r[5], r[6]) for r in rows)
-
-
-DAILY, SESSION = _read(DAILY_TEXT), _read(SESSION_TEXT)
 DAILY_BY_ID = {m.id: m for m in DAILY}
 #: Metrics for which an absent value means that nothing is known to have happened or to come.
 NO_EVENT_IDS = ("days_since_split", "days_since_dividend", "declared_ex_days")

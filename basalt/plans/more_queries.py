@@ -17,7 +17,7 @@ from basalt.plans import queries as Q
 from basalt.plans.catalog import DAILY
 from basalt.plans.market import from_driver
 from basalt.plans.queries import ADJUSTED_COLUMNS, MARKET_SQL, T, adjusted_sql, q
-from basalt.sources import schemas
+from basalt.sources import readers, schemas
 from basalt.sources.store import shared_folder
 
 ONE, EVENT = "1", "EV_click"
@@ -113,6 +113,13 @@ def _contract(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in found], "difference string")
 
 
+def _catalog(spark, sf_dir):
+    """Own views and functions; those that come with Spark are not listed."""
+    spark.read.parquet(f"{sf_dir}/region.parquet").createOrReplaceTempView("listed_view")
+    spark.sql("create or replace temporary function listed_function(x int) returns int return x + 1")
+    return readers.catalog(spark).filter(F.col("name").isin("listed_view", "listed_function", "abs", "sum"))
+
+
 def _guarded(spark, sf_dir):
     """A statement through the read-only guard, limited, with whether there was more."""
     spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("guarded_nation")
@@ -157,7 +164,7 @@ def _cap(spark, sf_dir):
 
 QUERIES = {
     "d29_one_instrument": _one, "d31_minutes_of_one": _minutes_one, "d32_cache": _cached, "d34_date_gate": _gate, "d35_metrics_of_one": _metrics_one, "d35_context_family": _context_rows, "d41_rank_sorts": _sorts, "d43_session_new_york": _session_ny, "d44_forward_new_york": _forward_ny,
-    "d45_one_ticker": _one_ticker, "d47_summary": _summary, "u2_differences": _differences, "d51_contract": _contract, "f14_guarded_sql": _guarded, "d50_scopes": lambda s, d: verify.scopes(from_driver(s, d)), "d50_bars": _bars_read, "d50_minute_days": _day_list, "d50_minute_bars": _day_minutes,
+    "d45_one_ticker": _one_ticker, "d47_summary": _summary, "u2_differences": _differences, "d51_contract": _contract, "f14_guarded_sql": _guarded, "s13_catalog": _catalog, "d50_scopes": lambda s, d: verify.scopes(from_driver(s, d)), "d50_bars": _bars_read, "d50_minute_days": _day_list, "d50_minute_bars": _day_minutes,
     "d50_runs": lambda s, d: verify.recent_runs(Q._runs(s), 2).select("run_id", "job", "status", "seconds", "error"), "d50_unresolved": _unresolved, "d50_detail": _detail, "w14_session_vwap": _vwap, "w14_volume_cap": _cap,
 }
 
@@ -205,6 +212,7 @@ ORACLE_SQL = {
     "u2_differences": f"{M}, {adjusted_sql('split')}, a AS (SELECT instrument_id, market_date, {q('rc')} AS close FROM adjusted), b AS (SELECT instrument_id, market_date, {q('close')} AS close FROM adjusted), d AS (SELECT 'first' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'second', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT side, count(*) AS n, count(DISTINCT instrument_id) AS instruments FROM d GROUP BY 1",
     "d51_contract": "SELECT unnest(['trade_count: bigint / None', 'volume: double / bigint']) AS difference",
     "f14_guarded_sql": "SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM nation) > 10 AS more FROM nation ORDER BY 1 LIMIT 10",
+    "s13_catalog": "SELECT * FROM (VALUES ('view', 'listed_view'), ('function', 'listed_function')) v(kind, name)",
     "d50_scopes": f"{M} SELECT DISTINCT market_scope AS scope FROM symbols",
     "d50_bars": f"{M}, {adjusted_sql('split_dividend', Q.AS_OF)} SELECT market_date AS date, {q('open')} AS open, {q('close')} AS close, {q('volume')} AS volume, {q('cum_price_factor')} AS cum_price_factor, symbol_as_traded FROM adjusted WHERE instrument_id = 'MKT'",
     "d50_minute_days": f"{M} SELECT market_date, count(*) AS bars, strftime(min({_ny}), '%H:%M') AS first_et, strftime(max({_ny}), '%H:%M') AS last_et, {O.q4('min(low)')} AS low, {O.q4('max(high)')} AS high, CAST(sum(volume) AS BIGINT) AS volume FROM minutes WHERE instrument_id = '{EVENT}' GROUP BY 1 ORDER BY 1 DESC LIMIT 10",

@@ -206,8 +206,7 @@ def minute_forward_sql(zone: str) -> str:
 SELECT instrument_id, horizon, CASE WHEN e IS NOT NULL THEN date END AS date, CASE WHEN e IS NOT NULL THEN ret END AS ret, CASE WHEN e IS NOT NULL THEN mae END AS mae, CASE WHEN e IS NOT NULL THEN mfe END AS mfe, false AS delisted, coalesce(e IS NOT NULL AND stale, false) AS stale, CAST(CASE WHEN e IS NULL THEN 0 ELSE bars_used END AS BIGINT) AS bars_used, CASE WHEN e IS NULL THEN 'no_entry_bar' END AS reason FROM o"""
 
 
-_types = [line.split() for line in INSTRUMENT_TYPES.strip().splitlines()]
-_case = lambda i: "CASE upper(code) " + " ".join(f"WHEN '{r[0]}' THEN '{r[i]}'" for r in _types) + " ELSE 'unknown_stock_like' END"
+_case = lambda i: "CASE upper(code) " + " ".join(f"WHEN '{r[0]}' THEN '{r[i]}'" for r in INSTRUMENT_TYPES) + " ELSE 'unknown_stock_like' END"
 _uuid = "md5('ns:instrument:k' || s_suppkey)"
 COMPARE = f"""cmp AS (
   SELECT d.symbol_as_traded AS symbol, d.market_date, d.close AS daily_close, coalesce(m.ao, m.lc) AS rc, m.ao IS NOT NULL AS auction, d.volume AS dvol, m.mv, m.n, m.mv / nullif(d.volume, 0) AS ratio, abs(coalesce(m.ao, m.lc) - d.close) > greatest(0.01, d.close * 0.001) AS bad, m.mv > coalesce(d.volume, 0) * 1.02 + 100 AS viol
@@ -218,7 +217,7 @@ WEEK = "SELECT CAST(d AS DATE) AS market_date FROM (SELECT unnest(generate_serie
 
 ORACLE_SQL = {
     "d1_deterministic_uuid": f"SELECT s_suppkey, substr({_uuid}, 1, 8) || '-' || substr({_uuid}, 9, 4) || '-3' || substr({_uuid}, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr({_uuid}, 17, 1)) - 1) % 4, 1) || substr({_uuid}, 18, 3) || '-' || substr({_uuid}, 21, 12) AS id FROM supplier",
-    "f7_classification": f"SELECT {_case(1)} AS instrument_type, {_case(2)} AS security_form, coalesce(upper(code) = 'CS', false) AS is_clean_common_stock, count(*) AS n FROM (SELECT ['CS', 'etf', 'PFD', 'zz', 'ADRC', 'LT'][1 + p_partkey % 7] AS code FROM part) GROUP BY ALL",
+    "f7_classification": f"SELECT code, {_case(1)} AS instrument_type, {_case(2)} AS security_form, coalesce(upper(code) = 'CS', false) AS is_clean_common_stock, count(*) AS n FROM (SELECT {Q.CODES}[1 + p_partkey % {len(Q.CODES)}] AS code FROM part) GROUP BY ALL",
     "s1_json_parse": "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1",
     "j2_temporal_join": f"{M}, b AS (SELECT DISTINCT s.symbol, b.market_date FROM bars b JOIN (SELECT DISTINCT instrument_id, symbol FROM symbols) s USING (instrument_id)), r AS (SELECT b.symbol, b.market_date, s.instrument_id AS resolved FROM b LEFT JOIN symbols s ON s.symbol = b.symbol AND (s.valid_from IS NULL OR b.market_date >= s.valid_from) AND (s.valid_to IS NULL OR b.market_date < s.valid_to) QUALIFY row_number() OVER (PARTITION BY b.symbol, b.market_date ORDER BY s.valid_from DESC NULLS LAST) = 1) SELECT symbol, resolved, count(*) AS days FROM r GROUP BY 1, 2",
     "w14_moving_averages": f"{M} SELECT instrument_id, market_date, " + ", ".join(f"CASE WHEN row_number() OVER (PARTITION BY instrument_id ORDER BY market_date) >= {n} THEN {q4(f'avg(close) OVER (PARTITION BY instrument_id ORDER BY market_date ROWS {n - 1} PRECEDING)', 3)} END AS sma{n}" for n in (20, 50, 200)) + " FROM canonical",

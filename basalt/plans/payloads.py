@@ -100,23 +100,21 @@ def _paged(df: DataFrame, key: str, text, path: str) -> str:
     return path
 
 
-def envelopes(spark: SparkSession, df: DataFrame, key: str = "snap", rename: str = "snapshot_date") -> str:
-    """Pages ``{"results": [...]}`` below ``<rename>=<value>``; the pattern that reads them."""
-    path = shared_folder(spark, "raw")
-    _paged(df.withColumnRenamed(key, rename), rename, F.to_json(F.struct(F.col("r").alias("results"))), path)
-    return f"{path}/*/*/*.txt.gz"
+def envelopes(spark: SparkSession, df: DataFrame, key: str = "snap", rename: str = "snapshot_date", path: str | None = None) -> str:
+    """Pages ``{"results": [...]}`` below ``<rename>=<value>`` in a folder; the folder."""
+    path = path or shared_folder(spark, "raw")
+    return _paged(df.withColumnRenamed(key, rename), rename, F.to_json(F.struct(F.col("r").alias("results"))), path)
 
 
-def arrays(spark: SparkSession, df: DataFrame, key: str = "snap", rename: str = "snapshot_date") -> str:
+def arrays(spark: SparkSession, df: DataFrame, key: str = "snap", rename: str = "snapshot_date", path: str | None = None) -> str:
     """Pages that are one array."""
-    path = shared_folder(spark, "raw")
-    _paged(df.withColumnRenamed(key, rename), rename, F.to_json("r"), path)
-    return f"{path}/*/*/*.txt.gz"
+    path = path or shared_folder(spark, "raw")
+    return _paged(df.withColumnRenamed(key, rename), rename, F.to_json("r"), path)
 
 
-def frames(spark: SparkSession, df: DataFrame, method: str, width: int, key: str = "snap", rename: str = "snapshot_date", per: str | None = None) -> str:
+def frames(spark: SparkSession, df: DataFrame, method: str, width: int, key: str = "snap", rename: str = "snapshot_date", per: str | None = None, path: str | None = None) -> str:
     """Framed responses whose records have the columns c1..c<width> (absent ones empty); ``per``: a column, of one value in each frame, for field 8."""
-    path, soh = shared_folder(spark, "raw"), "\u0001"
+    path, soh = path or shared_folder(spark, "raw"), "\u0001"
     records = F.transform("r", lambda x: F.array(*[F.coalesce(x[f"c{i}"], F.lit("")) if f"c{i}" in df.columns else F.lit("") for i in range(1, width + 1)]))
     field8 = F.get("r", F.lit(0))[per] if per else F.lit("")
     body = F.concat_ws(soh, F.lit("0"), F.lit("success"), F.lit(method), F.lit(""), F.lit("1"), F.lit(str(PAGE)), F.to_json(F.struct(records.alias("record"))), field8, F.lit(""))
@@ -124,5 +122,4 @@ def frames(spark: SparkSession, df: DataFrame, method: str, width: int, key: str
     df = df.withColumnRenamed(key, rename)
     if per:
         df = df.withColumn(rename, F.concat(rename, F.lit("_"), per))
-    _paged(df, rename, text, path)
-    return f"{path}/*/*/*.txt.gz"
+    return _paged(df, rename, text, path)

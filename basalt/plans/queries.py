@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.functions.columns import classify, deterministic_uuid, rounded
+from basalt.functions.columns import INSTRUMENT_TYPES, classify, deterministic_uuid, rounded
 from basalt.operators import adjust, asof, context, forward, metrics, rank, series, session, verify
 from basalt.plans.catalog import DAILY
 from basalt.plans.market import EVENT_TYPES, UNRESOLVED_EVENT, from_driver
@@ -296,11 +296,14 @@ def _d1(spark, sf_dir):
     return s.select("s_suppkey", deterministic_uuid("instrument", F.concat(F.lit("k"), "s_suppkey"), "ns").alias("id"))
 
 
+#: All type codes, some in lower case, and codes that are none.
+CODES = [*(r[0] for r in INSTRUMENT_TYPES), "etf", "adrc", "zz", ""]
+
+
 def _f7(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    codes = F.array(*[F.lit(c) for c in ("CS", "etf", "PFD", "zz", "ADRC", "LT")])
-    k = classify(F.get(codes, (F.col("p_partkey") % 7).cast("int")))
-    return p.select(k.alias("k")).select("k.*").groupBy("instrument_type", "security_form", "is_clean_common_stock").agg(F.count(F.lit(1)).alias("n"))
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("p_partkey") % len(CODES)).cast("int"))
+    return p.select(code.alias("code"), classify(code).alias("k")).select("code", "k.*").groupBy("code", "instrument_type", "security_form", "is_clean_common_stock").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _s3_json(spark, sf_dir):

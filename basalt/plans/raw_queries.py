@@ -9,12 +9,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions import dates
 from basalt.functions.columns import INSTRUMENT_TYPES, rounded
 from basalt.operators import facts, facts_cn, verify
+from basalt.plans import build
 from basalt.plans import payloads as P
 from basalt.plans.market import from_driver
 from basalt.plans.queries import MARKET_SQL
@@ -31,26 +32,27 @@ def uuid_sql(kind: str, key: str) -> str:
 # -- payloads, written and read back ---------------------------------------------
 
 
-def _envelope(spark, sf_dir, name: str, fields: str, key: str = "snap", rename: str = "snapshot_date") -> DataFrame:
-    return readers.envelope(spark, P.envelopes(spark, P.rows(spark, sf_dir, name), key, rename), fields)
+def _envelope(spark, sf_dir, name: str, fields: str, key: str = "snap", rename: str = "snapshot_date", path=None) -> DataFrame:
+    rows = P.rows(spark, sf_dir, name).withColumnsRenamed({"symbol": "T"} if name == "daily" else {})
+    return readers.envelope(spark, P.envelopes(spark, rows, key, rename, path), fields)
 
 
-def tickers(spark, sf_dir) -> DataFrame:
-    return _envelope(spark, sf_dir, "tickers", schemas.TICKERS)
+def tickers(spark, sf_dir, path=None) -> DataFrame:
+    return _envelope(spark, sf_dir, "tickers", schemas.TICKERS, path=path)
 
 
-def ticker_events(spark, sf_dir) -> DataFrame:
+def ticker_events(spark, sf_dir, path=None) -> DataFrame:
     e = P.rows(spark, sf_dir, "events").groupBy("figi").agg(F.collect_list(F.struct(F.struct(F.col("symbol").alias("ticker")).alias("ticker_change"), F.lit("ticker_change").alias("type"), F.col("day").alias("date"))).alias("events"))
     pages = e.select(F.struct(F.col("figi").alias("composite_figi"), "events").alias("results"), F.lit("2025-01-10").alias("snap"))
-    return readers.ticker_events(spark, P.arrays(spark, pages))
+    return readers.ticker_events(spark, P.arrays(spark, pages, path=path))
 
 
-def holidays(spark, sf_dir) -> DataFrame:
-    return readers.holidays(spark, P.arrays(spark, P.rows(spark, sf_dir, "holidays").withColumnRenamed("day", "date")))
+def holidays(spark, sf_dir, path=None) -> DataFrame:
+    return readers.holidays(spark, P.arrays(spark, P.rows(spark, sf_dir, "holidays").withColumnRenamed("day", "date"), path=path))
 
 
-def daily(spark, sf_dir) -> DataFrame:
-    return _envelope(spark, sf_dir, "daily", schemas.GROUPED_DAILY.replace("T string", "symbol string"), "day", "date").withColumnRenamed("symbol", "T")
+def daily(spark, sf_dir, path=None) -> DataFrame:
+    return _envelope(spark, sf_dir, "daily", schemas.GROUPED_DAILY, "day", "date", path)
 
 
 def cn(spark, sf_dir, name: str, method: str, width: int, **more) -> DataFrame:
@@ -80,7 +82,7 @@ def _s6(spark, sf_dir):
 
 def _s7(spark, sf_dir):
     """Frames of a whole zone, checked in bulk; one kind is cut short."""
-    pattern = P.frames(spark, P.rows(spark, sf_dir, "basics"), "query_stock_basic", 6)
+    pattern = P.frames(spark, P.rows(spark, sf_dir, "basics"), "query_stock_basic", 6) + "/*/*/*.gz"
     good = readers.frame_checks(spark, pattern)
     cut, path = spark.read.text(pattern, wholetext=True).select(F.substring("value", 1, 400).alias("value")), shared_folder(spark, "raw")
     cut.write.text(path)
@@ -228,6 +230,29 @@ def _quarantine(spark, sf_dir):
     return raw_zone.quarantine(bad, bad, existing=old).groupBy("dataset", "reason").agg(F.count(F.lit(1)).alias("entries"), F.min("symbol").alias("first"), F.max("symbol").alias("last"))
 
 
+def _build(spark, sf_dir):
+    """A whole raw zone, built into a generation of facts that takes the place of an older one: rows of each table."""
+    raw, root = shared_folder(spark, "zone"), shared_folder(spark, "facts")
+    us, cn_ = f"{raw}/polygon", f"{raw}/baostock"
+    tickers(spark, sf_dir, f"{us}/reference_tickers"), ticker_events(spark, sf_dir, f"{us}/ticker_events"), holidays(spark, sf_dir, f"{us}/market_holidays"), daily(spark, sf_dir, f"{us}/grouped_daily")
+    for name, folder, fields in (("exchanges", "exchanges", schemas.EXCHANGES), ("splits", "splits", schemas.SPLITS), ("dividends", "dividends", schemas.DIVIDENDS)):
+        _envelope(spark, sf_dir, name, fields, "snap" if name == "exchanges" else "one", path=f"{us}/{folder}")
+    for name, folder, method, width, more in (("basics", "stock_basic", "query_stock_basic", 6, {}), ("calendar", "trade_cal", "query_trade_dates", 2, {}), ("universe", "universe", "query_all_stock", 3, {"per": "field8"}), ("plans", "dividend", "query_dividend_data", 14, {"key": "year", "rename": "year"}), ("k_lines", "daily_k", "query_history_k_data_plus", 14, {"key": "win", "rename": "window"})):
+        cn(spark, sf_dir, name, method, width, path=f"{cn_}/{folder}", **more)
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():  # 25 fetches, by sidecar
+        raw_zone.land(spark, raw, f"polygon/notes/{r.n_nationkey}.json", b"{}", source_id="polygon", dataset="grouped_daily", market_date=f"2025-01-{1 + r.n_nationkey:02d}", row_count=int(r.n_nationkey))
+    first = raw_zone.write_generation({"exchanges": facts_cn.exchanges(spark)}, root)
+    second = build.build(spark, raw, root)
+    raw_zone.drop_generations(spark, root, 1)
+    if first == second or raw_zone.current_generation(spark, root) != second:
+        raise ValueError("the pointer did not move")
+    out = None
+    for t in ("exchanges", "instruments", "symbols", "instrument_identifiers", "instrument_events", "trading_days", "corporate_actions", "bars_daily", "unresolved"):
+        n = raw_zone.read_generation(spark, root, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("item"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def _date_math(spark, sf_dir):
     """Calendar arithmetic as columns: years on, weekdays between."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
@@ -256,13 +281,13 @@ QUERIES = {
     "d10_actions": _actions(0, *ACTION), "d10_unresolved": _actions(1, *UNRESOLVED), "d11_bars": _bars(0, *BAR), "d11_unresolved": _bars(1, *UNRESOLVED), "d21_minute_facts": _minute_facts, "k5_quarantine": _quarantine,
     "d13_cn_exchanges": lambda s, d: facts_cn.exchanges(s), "d14_cn_instruments": _cn_identity("instruments", *CN_INST), "d14_cn_symbols": _cn_identity("symbols", "symbol_id", "instrument_id", "symbol", "exchange_mic", "valid_from", "valid_to"), "d14_cn_unresolved": _cn_identity("unresolved", *UNRESOLVED[:5]), "d15_cn_name_changes": _cn_names,
     "d16_cn_days": _cn_days(0, "market_date", "is_open"), "d16_cn_unresolved": _cn_days(1, *UNRESOLVED), "d17_cn_actions": _cn_actions(0, *CN_ACTION), "d17_cn_unresolved": _cn_actions(1, *UNRESOLVED[:5]), "d18_cn_bars": _cn_bars(0, *BAR[:-1]), "d18_cn_unresolved": _cn_bars(1, *UNRESOLVED[:5]),
-    "d19_vendor_factors": _cn_factors(0), "d19_invalid": _cn_factors(1), "d20_coverage": _cn_coverage(0), "d20_invalid": _cn_coverage(1), "d48_factor_comparison": _factor_comparison, "j12_cn_gaps": _cn_gaps, "date_math": _date_math, "date_cutoffs": _cutoffs,
+    "d19_vendor_factors": _cn_factors(0), "d19_invalid": _cn_factors(1), "d20_coverage": _cn_coverage(0), "d20_invalid": _cn_coverage(1), "d48_factor_comparison": _factor_comparison, "j12_cn_gaps": _cn_gaps, "d12_build": _build, "date_math": _date_math, "date_cutoffs": _cutoffs,
 }
 
 
 # -- the same in SQL ---------------------------------------------------------------
 
-_kind = lambda i: "CASE upper(coalesce(type, '')) " + " ".join(f"WHEN '{r.split()[0]}' THEN '{r.split()[i]}'" for r in INSTRUMENT_TYPES.strip().splitlines()) + " ELSE 'unknown_stock_like' END"
+_kind = lambda i: "CASE upper(coalesce(type, '')) " + " ".join(f"WHEN '{r[0]}' THEN '{r[i]}'" for r in INSTRUMENT_TYPES) + " ELSE 'unknown_stock_like' END"
 IDENTITY = f"""{P.sql("tickers", "events")}, keyed AS (
   SELECT *, nullif(composite_figi, '') AS figi, TRY_CAST(substr(delisted_utc, 1, 10) AS DATE) AS gone, CAST(snap AS DATE) AS seen, coalesce(active, false) AS live, coalesce(last_updated_utc, '') AS upd,
     coalesce(nullif(composite_figi, ''), 'nofigi:' || ticker || ':' || coalesce(CAST(TRY_CAST(substr(delisted_utc, 1, 10) AS DATE) AS VARCHAR), 'active')) AS key
@@ -390,3 +415,20 @@ ORACLE_SQL = {
     "date_cutoffs": """WITH e AS (SELECT DISTINCT unnest([CAST(ts AS TIMESTAMP), CAST(ts AS TIMESTAMP) + INTERVAL 120 DAY]) AS t FROM events), z AS (SELECT timezone('America/New_York', timezone('UTC', t)) AS ny, timezone('Asia/Shanghai', timezone('UTC', t)) AS sh FROM e)
       SELECT CAST(ny AS DATE) - 1 AS completed, CAST(ny AS DATE) - CASE WHEN hour(ny) >= 6 THEN 1 ELSE 2 END AS published, CAST(sh AS DATE) - 1 AS completed_cn, count(*) AS n, CAST(sum(hour(ny) * 60 + minute(ny)) AS BIGINT) AS minutes FROM z GROUP BY 1, 2, 3""",
 }
+
+#: All facts of both scopes, counted; a row that could not be resolved counts once for each key.
+_parts = {
+    "exchanges": ["d2_exchanges", "d13_cn_exchanges"], "instruments": ["d5_instruments", "d14_cn_instruments"], "symbols": ["d8_symbols", "d14_cn_symbols"], "instrument_events": ["d15_cn_name_changes"], "corporate_actions": ["d10_actions", "d17_cn_actions"], "bars_daily": ["d11_bars", "d18_cn_bars"],
+}
+_count = lambda item, names: f"SELECT '{item}' AS item, " + " + ".join(f"(SELECT count(*) FROM ({ORACLE_SQL[n]}))" for n in names) + " AS n"
+_lost = " UNION ALL ".join(f"SELECT dataset, market_scope, symbol, market_date FROM ({ORACLE_SQL[n]})" for n in ("d8_unresolved", "d10_unresolved", "d11_unresolved", "d14_cn_unresolved", "d16_cn_unresolved", "d17_cn_unresolved", "d18_cn_unresolved"))
+_landed = "SELECT DATE '2025-01-01' + CAST(n_nationkey AS INT) AS market_date FROM nation"
+_future = f"WITH {P.sql('holidays')} SELECT DISTINCT CAST(day AS DATE) AS market_date FROM holidays_rows WHERE snap = (SELECT max(snap) FROM holidays_rows)"
+ORACLE_SQL["d12_build"] = " UNION ALL ".join(
+    [
+        *(_count(k, v) for k, v in _parts.items()),
+        f"SELECT 'instrument_identifiers', (SELECT count(*) FROM ({ORACLE_SQL['d9_identifiers']})) + (SELECT count(*) FROM ({ORACLE_SQL['d14_cn_instruments']}))",
+        f"SELECT 'trading_days', (SELECT count(*) FROM ({_landed})) + (SELECT count(*) FROM ({_future}) WHERE market_date NOT IN ({_landed})) + (SELECT count(*) FROM ({ORACLE_SQL['d16_cn_days']}))",
+        f"SELECT 'unresolved', count(*) FROM (SELECT DISTINCT * FROM ({_lost}))",
+    ]
+)

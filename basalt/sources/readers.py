@@ -24,11 +24,16 @@ def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def _payloads(spark: SparkSession):
+    """A reader of payload files, each one payload, at any depth below a folder or by a pattern; sidecars are left out."""
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gz,frame}")
+
+
 def envelope(spark: SparkSession, pattern: str, fields: str) -> DataFrame:
     """Rows of ``{"results": [...]}`` pages with the file's path; pages without results have none."""
     if not exists(spark, pattern):
         return empty(spark, _struct(fields).add("file", "string"))
-    pages = spark.read.schema(T.StructType().add("results", T.ArrayType(_struct(fields)))).option("multiLine", True).json(pattern)
+    pages = _payloads(spark).schema(T.StructType().add("results", T.ArrayType(_struct(fields)))).json(pattern)
     return pages.select(F.explode("results").alias("r"), F.col("_metadata.file_path").alias("file")).select("r.*", "file")
 
 
@@ -36,7 +41,7 @@ def ticker_events(spark: SparkSession, pattern: str) -> DataFrame:
     """composite_figi, symbol, event_date of ticker changes."""
     if not exists(spark, pattern):
         return empty(spark, "composite_figi string, symbol string, event_date date")
-    pages = spark.read.schema(schemas.TICKER_EVENTS).option("multiLine", True).json(pattern)
+    pages = _payloads(spark).schema(schemas.TICKER_EVENTS).json(pattern)
     rows = pages.select(F.nullif("results.composite_figi", F.lit("")).alias("composite_figi"), F.explode("results.events").alias("e"))
     rows = rows.select("composite_figi", F.col("e.ticker_change.ticker").alias("symbol"), F.to_date("e.date").alias("event_date"))
     return rows.filter("composite_figi is not null and symbol is not null").distinct()
@@ -46,7 +51,7 @@ def holidays(spark: SparkSession, pattern: str) -> DataFrame:
     """Rows of top-level arrays with the file's path."""
     if not exists(spark, pattern):
         return empty(spark, _struct(schemas.HOLIDAYS).add("file", "string"))
-    return spark.read.schema(schemas.HOLIDAYS).option("multiLine", True).json(pattern).select("*", F.col("_metadata.file_path").alias("file"))
+    return _payloads(spark).schema(schemas.HOLIDAYS).json(pattern).select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def minute_csv(spark: SparkSession, pattern: str) -> DataFrame:
@@ -81,7 +86,7 @@ def frame_records(spark: SparkSession, pattern: str, width: int) -> DataFrame:
     if not exists(spark, pattern):
         return empty(spark, ", ".join(f"{n} string" for n in [*names, "field8", "file"]))
     body = F.split(F.substring("value", 22, 2**31 - 1), "\u0001", -1)
-    pages = spark.read.text(pattern, wholetext=True).select(body.alias("b"), F.col("_metadata.file_path").alias("file"))
+    pages = _payloads(spark).text(pattern, wholetext=True).select(body.alias("b"), F.col("_metadata.file_path").alias("file"))
     pages = pages.select(F.get("b", F.lit(6)).alias("payload"), F.get("b", F.lit(7)).alias("field8"), "file").filter(F.trim("payload") != "")
     rows = pages.select(F.explode(F.from_json("payload", "record array<array<string>>")["record"]).alias("r"), "field8", "file")
     return rows.select(*[F.trim(F.get("r", F.lit(i))).alias(n) for i, n in enumerate(names)], "field8", "file")

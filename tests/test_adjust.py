@@ -83,3 +83,53 @@ def test_one_stream_equals_factor_events(m):
             two = adjust.with_factors(m.canonical, m.factors, policy, as_of)
             see = lambda d: sorted((r.instrument_id, r.market_date, round(r.cum_price_factor, 12), round(r.cum_volume_factor, 12)) for r in d.collect())
             assert see(one) == see(two)
+
+
+@pytest.fixture(scope="module")
+def random_market(spark):
+    """Instruments with gaps, and actions on days with and without bars, before the first bar and after the last."""
+    import random
+
+    r = random.Random(3)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    bars, actions = [], []
+    for i in "ABCDEFGH":
+        bars += [flat(i, day(n), i, r.randint(20, 90), r.randint(1, 900)) for n in range(120) if r.random() < 0.4]
+        for k in range(12):
+            kind = r.choice(["split", "cash_dividend", "stock_dividend"])
+            more = {"split": {"split_from": 1.0, "split_to": 2.0}, "cash_dividend": {"cash_amount": 3.0, "currency": "USD"}, "stock_dividend": {"bonus_ratio": 0.1, "conversion_ratio": 0.2}}[kind]
+            actions.append((f"{kind}{i}{k}", i, kind, day(r.randint(-5, 130)), more))
+    return market(spark, bars=bars, actions=actions, instruments=[(i, "us_stocks", "USD", None) for i in "ABCDEFGH"])
+
+
+@pytest.mark.parametrize("policy", ["none", "split", "split_dividend"])
+def test_a_lower_bound_changes_no_row_that_is_left(random_market, policy):
+    m, upto = random_market, dt.date(2024, 4, 10)
+    key = lambda r: (r.instrument_id, r.market_date)
+    every = {key(r): r for r in m.adjusted(policy, upto).collect()}
+    for since in (dt.date(2024, 1, 1), dt.date(2024, 2, 20), dt.date(2024, 4, 9), dt.date(2024, 4, 11)):
+        got = {key(r): r for r in m.adjusted(policy, upto, since=since).collect()}
+        assert got.keys() == {k for k in every if k[1] >= since}
+        for k, r in got.items():
+            assert (r.close, r.volume, r.cum_price_factor) == pytest.approx((every[k].close, every[k].volume, every[k].cum_price_factor), rel=1e-12)
+
+
+def test_bounds_and_choices_reach_the_scan(spark, random_market, tmp_path):
+    """Folders of dates outside the bounds are never read, and instruments are chosen by the files' statistics."""
+    from dataclasses import replace
+
+    random_market.bars_daily.write.partitionBy("market_date").parquet(f"file://{tmp_path}/bars")
+    stored = spark.read.schema(random_market.bars_daily.schema).parquet(f"file://{tmp_path}/bars")
+    m = replace(random_market, bars_daily=stored)
+    plan = m.adjusted("split_dividend", dt.date(2024, 4, 10), ["A"], since=dt.date(2024, 2, 20))._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line and "market_date" in line]
+    assert scan and all("market_date#" in line.split("PartitionFilters")[1] and "2024-02-20" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in scan)
+    assert all("EqualTo(instrument_id,A)" in line or "In(instrument_id, [A])" in line for line in scan)
+    page = __import__("basalt.operators.rank", fromlist=["scores"]).scores(m, dt.date(2024, 4, 10), "us_stocks")[0]
+    assert "PartitionFilters: [isnotnull(market_date" in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bars_are_dealt_once_and_sorted_once_for_the_product(spark, random_market):
+    plan = random_market.adjusted("split_dividend")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]  # what happens to bars and events together
+    assert above.count("Exchange") == 0 and above.count("Sort ") == 1
