@@ -11,9 +11,10 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     root = tmp_path_factory.mktemp("spark")
+    # the tables are tiny: compiling a plan would take longer than running it
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", f"file://{root}/shared").config("spark.sql.warehouse.dir", f"{root}/warehouse").config("spark.driver.memory", "3g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.checkpoint.dir", f"file://{root}/shared").config("spark.sql.warehouse.dir", f"{root}/warehouse").config("spark.driver.memory", "3g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.codegen.wholeStage", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
