@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": near_dedup.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op7_quotation": quotation.SQL,
     "op8_decontaminate": decontaminate.SQL,

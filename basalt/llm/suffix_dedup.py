@@ -333,6 +333,27 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: passages that all documents repeat."""
+    """op3: passages that all documents repeat; spans as text, ``begin-stop`` parted by commas."""
     m = mark(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return m.select("doc_id", "n_repeated", "n_removable", F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("repeated"), "spans")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
+    return m.select("doc_id", "n_repeated", "n_removable", F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("repeated"), spans.alias("spans"))
+
+
+_islands = """SELECT doc_id, min(p) AS a, max(p) + {0} AS b FROM (
+    SELECT doc_id, p, sum(CASE WHEN p - before <= {0} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM {1}) t
+  ) u GROUP BY doc_id, island"""
+SQL = f"""
+WITH w AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), win AS (
+  SELECT doc_id, p, array_to_string(w[p + 1:p + {PASSAGE}], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - {PASSAGE})) AS p FROM w WHERE len(w) >= {PASSAGE})
+), own AS (
+  SELECT s, min(doc_id) AS low FROM win GROUP BY s HAVING min(doc_id) <> max(doc_id)
+), hit AS (
+  SELECT DISTINCT doc_id, p, low < doc_id AS later FROM win JOIN own USING (s)
+), hit_later AS (SELECT DISTINCT doc_id, p FROM hit WHERE later), hit_all AS (SELECT DISTINCT doc_id, p FROM hit), spans AS ({_islands.format(PASSAGE, "hit_all")}), gone AS ({_islands.format(PASSAGE, "hit_later")}), n AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS k, string_agg(a || '-' || b, ',' ORDER BY a) AS t FROM spans GROUP BY 1
+), g AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_repeated, coalesce(g.n, 0) AS n_removable, coalesce(n.k, 0) AS n_spans, n.n IS NOT NULL AS repeated, coalesce(n.t, '') AS spans
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
