@@ -58,11 +58,13 @@ def scores(market, t: dt.date, scope: str, snapshot: DataFrame | None = None) ->
     return out, spy is not None
 
 
-def rank_at(market, scope: str, t: dt.date | None = None, sort: str | None = None, min_dollar_adv: float = 0, limit: int | None = None, snapshot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def rank_at(market, scope: str, t: dt.date | None = None, sort: str | None = None, min_dollar_adv: float = 0, limit: int | None = None, snapshot: DataFrame | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The ranked page (rank, instrument_id, scores, symbol, name) and a row of counts and gauges of the universe.
 
-    The page comes from a top-k, not from a sorted list on one machine. Each of
-    the two is a plan of its own: who needs both may persist :func:`scores`.
+    The page comes from a top-k, not from a sorted list on one machine; ``whole``
+    ranks every instrument that qualifies, whatever ``limit`` says, and numbers
+    them in one task, a row for each instrument that traded on T. Each of the
+    two is a plan of its own: who needs both may persist :func:`scores`.
     """
     if t is None:
         t = market.bars_daily.filter(F.col("market_scope") == scope).agg(F.max("market_date")).first()[0]
@@ -74,8 +76,9 @@ def rank_at(market, scope: str, t: dt.date | None = None, sort: str | None = Non
         raise ValueError(f"no market baseline in {scope}: sort by ret_z")
     s = s.withColumns({"has_sort": F.col(sort).isNotNull(), "liquid": F.coalesce("dollar_adv21", F.lit(0.0)) >= min_dollar_adv})
     good, k = F.col("has_sort") & F.col("liquid"), clamp(limit, LIMIT, 1, MOST)
-    page = s.filter(good).orderBy(F.desc(F.abs(sort)), "instrument_id").limit(k)
-    page = page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs(sort)), "instrument_id"))).drop("has_sort", "liquid")  # at most 500 rows
+    order, page = [F.desc(F.abs(sort)), F.col("instrument_id")], s.filter(good)
+    page = page if whole else page.orderBy(*order).limit(k)
+    page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("has_sort", "liquid")
     valid = valid_at(F.lit(t), "valid_from", "valid_to")
     label = market.symbols.filter(valid).groupBy("instrument_id").agg(F.min("symbol").alias("symbol"))
     page = page.join(label, "instrument_id", "left").join(market.instruments.select("instrument_id", "name"), "instrument_id", "left")

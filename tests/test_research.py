@@ -1,10 +1,13 @@
 import datetime as dt
 import math
 
+import duckdb
 import pytest
 
 from basalt.operators import context, forward, metrics, rank, session, verify
 from basalt.plans.catalog import DAILY, SESSION
+from basalt.plans.queries import T
+from basalt.plans.registry import ORACLE_SQL, QUERIES
 from tests.markets import flat, market
 
 D = dt.date
@@ -132,6 +135,23 @@ def test_rank_agrees_with_metrics(m):
         rank.rank_at(m, "cn_stocks", t, sort="resid_z")
 
 
+def test_whole_ranking_goes_beyond_a_page(spark, tmp_path):
+    """520 suppliers trade on T, which is more than a page holds; the query ranks them all, as its SQL does."""
+    c, lines = duckdb.connect(), tmp_path / "lineitem.parquet"
+    c.execute(f"""copy (select d * 10000 + s as l_orderkey, s as l_partkey, s as l_suppkey, n::int as l_linenumber, 10::double as l_quantity, (1000 + (s * 37 + d * 53 + n * (11 + s % 7)) % 101)::double as l_extendedprice, 0::double as l_discount,
+        0::double as l_tax, 'N' as l_returnflag, 'O' as l_linestatus, timestamp '{T}' - to_days(d::int) as l_shipdate from range(1, 521) a(s), range(24) b(d), range(1, 3) e(n)) to '{lines}' (format parquet)""")
+    c.execute(f"copy (select s as s_suppkey, 'S' || s as s_name, 1::int as s_nationkey, 0::double as s_acctbal from range(1, 521) a(s)) to '{tmp_path}/supplier.parquet' (format parquet)")
+    for t in ("nation", "region", "events"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    for t in ("nation", "region", "events", "supplier", "lineitem"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    columns = ("rank", "instrument_id", "ret_z", "range_surprise", "dollar_adv21")
+    got = [tuple(r[x] for x in columns) for r in QUERIES["d41_rank_at"](spark, str(tmp_path)).orderBy("rank").collect()]
+    want = c.sql(f"select {', '.join(columns)} from ({ORACLE_SQL['d41_rank_at']}) order by rank").fetchall()
+    assert len(want) > 500 and [r[0] for r in got] == list(range(1, len(want) + 1))
+    assert got == want
+
+
 def test_session_and_minute_forward(spark):
     """A split on the day of T: raw minutes, adjusted previous close."""
     day, prev = D(2025, 1, 3), D(2025, 1, 2)
