@@ -70,30 +70,34 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.leads = np.zeros(max([-1, *vocab.values(), *added]) + 2, bool)  # ids whose bytes begin with a space
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.table = UnitTable(self.encode, self.wide)
+        self.table = UnitTable(self.encode, self.wide, self.joined)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each string. Strings with one space, at their beginning, are encoded many at a time: no id
-        crosses that space, so the ids are parted again where one begins with a space."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace() and " " not in t[1:]]
-        raw_of, size = lambda ids: ids.astype(self.wide).tobytes(), np.dtype(self.wide).itemsize
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for some in (groups[i : i + 8] for i in range(0, len(groups), 8)):  # the library's results are large
-            for g, e in zip(some, self.tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.int64)
-                at = np.flatnonzero(self.leads[ids])
-                if len(at) != len(g) or at[0]:
-                    continue  # encoded alone below
-                raw, stops = raw_of(ids), [*(at * size).tolist(), len(ids) * size]
-                for i, a, b in zip(g, stops, stops[1:], strict=False):
-                    out[i] = raw[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for some in (rest[i : i + 250] for i in range(0, len(rest), 250)):
-            for i, e in zip(some, self.tok.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, self.wide).tobytes()
+        """Ids of each string, each encoded alone."""
+        out = []
+        for i in range(0, len(texts), 250):
+            out += [np.array(e.ids, self.wide).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 250], add_special_tokens=False)]
         return out
 
+    def joined(self, raw: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings of so many bytes that follow one another in ``raw``, each with one space, at its beginning. Many
+        are encoded at a time: no id crosses that space, so the ids are parted again where one begins with a space."""
+        first = range(0, len(size), 256)
+        at = np.concatenate([[0], np.cumsum(size)])
+        texts, ids, counts = [raw[at[i] : at[min(i + 256, len(size))]].decode() for i in first], [], []
+        for j in range(0, len(texts), 8):  # the library's results are large
+            for i, e in zip(first[j : j + 8], self.tok.encode_batch_fast(texts[j : j + 8], add_special_tokens=False), strict=True):
+                some, n = np.array(e.ids, np.int64), min(256, len(size) - i)
+                lead = np.flatnonzero(self.leads[some])
+                if len(lead) == n and lead[0] == 0:
+                    ids.append(some.astype(self.wide))
+                    counts.append(np.diff(lead, append=len(some)))
+                    continue
+                for one in self.encode([raw[a:b].decode() for a, b in zip(at[i : i + n].tolist(), at[i + 1 : i + n + 1].tolist(), strict=True)]):
+                    ids.append(np.frombuffer(one, self.wide))
+                    counts.append(np.array([len(ids[-1])]))
+        return np.concatenate(ids), np.concatenate(counts)
+
     def documents(self, col: pa.Array, end: int):
         """Ids of each text and the end id, in the store's id type."""
         tail = np.array([end], self.wide)

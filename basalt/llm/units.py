@@ -61,10 +61,15 @@ def cut(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class UnitTable:
-    """Ids of units, found by their bytes. ``encode``: strings, each with its leading space or none, to their ids as bytes."""
+    """Ids of units, found by their bytes. ``encode``: strings, each with its leading space or none, to their ids as bytes.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str):
-        self.encode, self.dtype = encode, np.dtype(dtype)
+    ``joined``, if there is one, encodes many units that stand one after the
+    other in one byte string, each with its leading space and no other: from
+    that string and their lengths to the ids of all and the number of each.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, joined: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+        self.encode, self.dtype, self.joined = encode, np.dtype(dtype), joined
         self.size = self.dtype.itemsize
         self._clear()
         self.strings: dict[str, bytes] = {}
@@ -103,14 +108,32 @@ class UnitTable:
             todo, at = todo[on], at[on]
         return out
 
-    def _add(self, k: list[np.ndarray], ids: list[bytes]) -> None:
+    def _flat(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings one after the other, and how many each has."""
+        return np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.size
+
+    def _fresh(self, k: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of units that are not known yet: the units in another order, all their ids, the number of each."""
+        raw = np.stack(k, 1).view(np.uint8)
+        first = raw[:, 0]
+        plain = ~_SPACE[first] & ~_LEAD[first] & ~(raw == 32).any(1) if self.joined else np.zeros(len(raw), bool)
+        order = np.argsort(~plain, kind="stable")
+        k, spaced = [x[order] for x in k], np.full((len(raw), LONG + 1), 32, np.uint8)
+        spaced[:, 1:] = raw[order]
+        size, raw = np.count_nonzero(spaced, 1), spaced[spaced != 0].tobytes()  # no unit holds a zero byte
+        n = int(plain.sum())
+        at = np.cumsum(size) - size
+        ids, counts = self.joined(raw, size[:n]) if n else self._flat([])
+        more, others = self._flat(self.encode([raw[a : a + m].decode() for a, m in zip(at[n:].tolist(), size[n:].tolist(), strict=True)]) if n < len(order) else [])
+        return k, np.concatenate([ids, more]), np.concatenate([counts, others])
+
+    def _add(self, k: list[np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> None:
         """New distinct keys with their ids."""
-        n, lengths = len(ids), np.fromiter(map(len, ids), np.int64, len(ids)) // self.size
-        total = int(lengths.sum())
+        n, total = len(lengths), len(ids)
         entry = np.arange(self.n, self.n + n, dtype=np.int32)
         self.start[entry] = self.used + np.cumsum(lengths) - lengths
         self.count[entry] = lengths
-        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), self.dtype)
+        self.flat[self.used : self.used + total] = ids
         self.n, self.used = self.n + n, self.used + total
         at, todo = self._slot(k), np.arange(n)
         while len(todo):
@@ -148,8 +171,11 @@ class UnitTable:
         head = np.zeros(len(begin), bool)
         head[np.cumsum(n) - n] = True
         # a key ends at its first zero byte, so units that hold one are not for the table
-        zeros = np.concatenate([[0], np.cumsum(buf[: at[-1]] == 0)])
-        short = np.flatnonzero(~head & (length <= LONG) & (length > 0) & (zeros[end] == zeros[begin]))
+        short = ~head & (length <= LONG) & (length > 0)
+        if not buf[at[0] : at[-1]].all():
+            zeros = np.concatenate([[0], np.cumsum(buf[: at[-1]] == 0)])
+            short &= zeros[end] == zeros[begin]
+        short = np.flatnonzero(short)
         raw = buf.tobytes()
         k = self._keys(buf, begin[short], length[short])
         entry = self.find(k)
@@ -160,16 +186,14 @@ class UnitTable:
             same[1:] = True
             for j in range(3):
                 same[1:] &= k[j][order[1:]] == k[j][order[:-1]]
-            one = order[~same]
-            fresh = [raw[a:b].decode() for a, b in zip(begin[short[one]].tolist(), end[short[one]].tolist(), strict=True)]
-            ids = self.encode([f" {t}" for t in fresh])
-            if self.n + len(one) > FULL or self.used + sum(map(len, ids)) // self.size > FULL_IDS:
+            fresh, ids, lengths = self._fresh([x[order[~same]] for x in k])
+            if self.n + len(lengths) > FULL or self.used + len(ids) > FULL_IDS:
                 self._clear()
-                if len(one) > FULL or sum(map(len, ids)) // self.size > FULL_IDS:
+                if len(lengths) > FULL or len(ids) > FULL_IDS:
                     return self._without_table(raw, begin, end, head, n)
-                self._add([x[one] for x in k], ids)
+                self._add(fresh, ids, lengths)
                 return self.ids(col)
-            self._add([x[one] for x in k], ids)
+            self._add(fresh, ids, lengths)
             entry[miss] = self.find([x[miss] for x in k])
         counts, source = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         counts[short], source[short] = self.count[entry], self.start[entry]
@@ -177,11 +201,13 @@ class UnitTable:
         rest[short] = False
         rest = np.flatnonzero(rest)
         texts = [("" if h else " ") + raw[a:b].decode() for h, a, b in zip(head[rest].tolist(), begin[rest].tolist(), end[rest].tolist(), strict=True)]
-        other = self._strings(texts)
-        more = np.frombuffer(b"".join(other), self.dtype)
-        counts[rest] = np.fromiter(map(len, other), np.int64, len(other)) // self.size
+        more, counts[rest] = self._flat(self._strings(texts))
         source[rest] = self.used + np.cumsum(counts[rest]) - counts[rest]
-        pool = np.concatenate([self.flat[: self.used], more]) if len(more) else self.flat
+        if self.used + len(more) <= FULL_IDS:
+            self.flat[self.used : self.used + len(more)] = more  # for this call, as they are not counted as used
+            pool = self.flat
+        else:
+            pool = np.concatenate([self.flat[: self.used], more])
         place = np.cumsum(counts)
         out = pool[np.repeat(source - place + counts, counts) + np.arange(place[-1] if len(place) else 0)]
         last = np.cumsum(n) - 1

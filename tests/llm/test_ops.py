@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("basalt.llm.queries")
 
-from basalt.llm import bpe, components, decontaminate, language_id, line_dedup, near_dedup, quality, quotation, suffix_dedup, token_store, warc
+from basalt.llm import bpe, components, decontaminate, language_id, line_dedup, near_dedup, quality, quotation, suffix_dedup, token_store, units, warc
 from basalt.llm.common import new_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -112,6 +113,26 @@ def test_token_store_round_trip(spark, docs, none):
     assert token_store.verify(spark, empty).count() == 0 and token_store.read_ids(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("full, ids", [(600_000, 4_000_000), (300, 2000)])
+def test_new_units_are_encoded_without_a_string_each(monkeypatch, full, ids):
+    """Ids are the library's, also where the table of units is cleared; only odd, long and first units become strings of their own."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(units, "FULL", full)
+    monkeypatch.setattr(units, "FULL_IDS", ids)
+    path = P.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), token_store.Encoder(bpe.read_vocab(path))
+    odd = ["a<|endoftext|>b", "<|endoftext|>", "\u00a0x", "x\u2003y", "\x00z", "z\x00", "ab\ncd", "\tq", "q\t", "x" * 24, "x" * 40, "\u6f22\u5b57", "\u0085", "\U0001f600", "'s", "1234567", "%%%", "\u00e0\u00e9", "", "y"]
+    words = [f"w{i}v{i * 7919 % 1000}" for i in range(2000)]
+    columns = [[" ".join(words[i : i + 100] + odd), " ".join(odd), None, "", " ", "a  b \n c d"] for i in range(0, 2000, 100)] + [[" ".join(words)]]
+    seen, alone = [], enc.table.encode
+    enc.table.encode = lambda texts: (seen.extend(texts), alone(texts))[1]
+    for texts in columns:
+        got = [x.tolist() for x in enc.documents(pa.array(texts, pa.string()), 0)]
+        assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert full == 300 or len(seen) < 100
+
+
 def test_merkle_tree():
     h = lambda x: hashlib.sha256(x).digest()
     a, b, c = (h(b"\0" + x) for x in (b"a", b"b", b"c"))
