@@ -44,7 +44,7 @@ from basalt.llm.bpe import read_vocab
 from basalt.llm.common import new_path, quiet_threads, small_batches
 from basalt.llm.units import UnitTable
 
-#: Ids in a chunk: least, usual and most; ids that the rolling hash sees.
+#: Ids in a chunk: least, usual and most; ids that the rolling hash sees (a power of two).
 CHUNK_MIN, CHUNK_BITS, CHUNK_MAX, WINDOW = 256, 10, 4096, 8
 #: Chunk names that a task remembers to have sent; those it forgets may be sent again.
 CACHE = 100_000
@@ -70,7 +70,7 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.leads = np.zeros(max([-1, *vocab.values(), *added]) + 2, bool)  # ids whose bytes begin with a space
         self.leads[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.table = UnitTable(self.encode, self.wide, self.joined)
+        self.table = UnitTable(self.encode, self.wide, self.joined, 2)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each string, each encoded alone."""
@@ -122,10 +122,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= CHUNK_MIN:
         return [n]
-    t = _TABLE[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16))
-    h = t[WINDOW - 1 :].copy()
-    for j in range(1, WINDOW):
-        h += t[WINDOW - 1 - j : n - j] * np.uint64(0x9E3779B97F4A7C15 ** j & (1 << 64) - 1)
+    h, span = _TABLE[ids] if ids.dtype.itemsize == 2 else _TABLE[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16)), 1
+    while span < WINDOW:  # the sum over twice as many ids, from two sums over as many
+        h = h[span:] + h[:-span] * np.uint64(0x9E3779B97F4A7C15 ** span & (1 << 64) - 1)
+        span *= 2
     at = np.flatnonzero((h >> np.uint64(64 - CHUNK_BITS)) == 0) + WINDOW
     out, start = [], 0
     for c in [*at.tolist(), n]:

@@ -66,30 +66,31 @@ class UnitTable:
     ``joined``, if there is one, encodes many units that stand one after the
     other in one byte string, each with its leading space and no other: from
     that string and their lengths to the ids of all and the number of each.
+    ``times`` (a power of two) makes the table larger than the usual size.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, joined: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, joined: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, times: int = 1):
         self.encode, self.dtype, self.joined = encode, np.dtype(dtype), joined
+        self.slots, self.full, self.full_ids = SLOTS * times, FULL * times, FULL_IDS * times
         self.size = self.dtype.itemsize
         self._clear()
         self.strings: dict[str, bytes] = {}
 
     def _clear(self) -> None:
-        self.key = np.zeros((3, SLOTS), np.uint64)
-        self.value = np.full(SLOTS, -1, np.int32)
-        self.start, self.count, self.n = np.zeros(FULL + 1, np.int64), np.zeros(FULL + 1, np.int32), 0
-        self.flat, self.used = np.zeros(FULL_IDS, self.dtype), 0
+        self.key = np.zeros((3, self.slots), np.uint64)
+        self.value = np.full(self.slots, -1, np.int32)
+        self.start, self.count, self.n = np.zeros(self.full + 1, np.int64), np.zeros(self.full + 1, np.int32), 0
+        self.flat, self.used = np.zeros(self.full_ids, self.dtype), 0
 
     @staticmethod
     def _keys(buf: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
         words = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))  # the eight bytes from each place on
         return [words[begin + 8 * j] & _MASK[np.clip(length - 8 * j, 0, 8)] for j in range(3)]
 
-    @staticmethod
-    def _slot(k: list[np.ndarray]) -> np.ndarray:
+    def _slot(self, k: list[np.ndarray]) -> np.ndarray:
         h = k[0] * _MIX[0] ^ (k[1] + _MIX[1]) * _MIX[2] ^ (k[2] + _MIX[2]) * _MIX[1]
         h ^= h >> np.uint64(32)
-        return (h * _MIX[0] >> np.uint64(44)).astype(np.int64)
+        return (h * _MIX[0] >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
 
     def find(self, k: list[np.ndarray]) -> np.ndarray:
         """Entry of each key, -1 where there is none. A zero byte ends a key, so lengths need not be compared."""
@@ -100,7 +101,7 @@ class UnitTable:
         out[todo] = -1
         at = at[todo]
         while len(todo):
-            at = at + 1 & SLOTS - 1
+            at = at + 1 & self.slots - 1
             v = self.value[at]
             same = (self.key[0][at] == k[0][todo]) & (self.key[1][at] == k[1][todo]) & (self.key[2][at] == k[2][todo]) & (v >= 0)
             out[todo[same]] = v[same]
@@ -142,7 +143,7 @@ class UnitTable:
             won = self.value[at] == entry[todo]
             for j in range(3):
                 self.key[j][at[won]] = k[j][todo[won]]
-            todo, at = todo[~won], at[~won] + 1 & SLOTS - 1
+            todo, at = todo[~won], at[~won] + 1 & self.slots - 1
 
     def _strings(self, texts: list[str]) -> list[bytes]:
         """Ids of strings that are not kept in the table."""
@@ -187,9 +188,9 @@ class UnitTable:
             for j in range(3):
                 same[1:] &= k[j][order[1:]] == k[j][order[:-1]]
             fresh, ids, lengths = self._fresh([x[order[~same]] for x in k])
-            if self.n + len(lengths) > FULL or self.used + len(ids) > FULL_IDS:
+            if self.n + len(lengths) > self.full or self.used + len(ids) > self.full_ids:
                 self._clear()
-                if len(lengths) > FULL or len(ids) > FULL_IDS:
+                if len(lengths) > self.full or len(ids) > self.full_ids:
                     return self._without_table(raw, begin, end, head, n)
                 self._add(fresh, ids, lengths)
                 return self.ids(col)
@@ -203,7 +204,7 @@ class UnitTable:
         texts = [("" if h else " ") + raw[a:b].decode() for h, a, b in zip(head[rest].tolist(), begin[rest].tolist(), end[rest].tolist(), strict=True)]
         more, counts[rest] = self._flat(self._strings(texts))
         source[rest] = self.used + np.cumsum(counts[rest]) - counts[rest]
-        if self.used + len(more) <= FULL_IDS:
+        if self.used + len(more) <= self.full_ids:
             self.flat[self.used : self.used + len(more)] = more  # for this call, as they are not counted as used
             pool = self.flat
         else:
